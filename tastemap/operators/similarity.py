@@ -14,15 +14,15 @@ Plan, chosen so that no key (term, product, dim) can blow up a shuffle:
 * *hot* keys (a popular product, a term in every document, every dimension of
   a dense vector) are never self-joined.  Rows that carry hot keys are placed
   on a grid of (left chunk x right block) cells; each cell receives its left
-  and right hot sub-vectors plus the cold pair scores that fall into it, and a
+  and right hot entries plus the cold pair scores that fall into it, and a
   NumPy kernel multiplies the two small blocks and keeps only the top ``n`` per
-  left row.  Every row is replicated to a bounded number of cells, cells have
-  bounded size, and the shuffle carries only vectors and top-n results.
+  left row.  Every entry is replicated to a fixed number of cells, cells have
+  bounded size, and the shuffle carries only entries and top-n results.
 * the final ranking takes per left id the union of grid winners and
   cold-only pairs and keeps the top ``n`` (WindowGroupLimit).
 
-The result is exact: a pair missing from both the grid and the cold pairs has
-score 0.
+The result is exact: a pair missing from both the grid and the cold pairs
+shares no key.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import SCORE_DECIMALS, top_n_per_group
 
-DEFAULT_HOT_DF = 1000
+DEFAULT_HOT_DF = None  # auto: max(MIN_HOT_DF, sqrt(number of right ids))
+MIN_HOT_DF = 64
 LEFT_CHUNK = 1024
 RIGHT_BLOCK = 4096
 DENSE_KEYS = 2048
@@ -44,69 +45,63 @@ DENSE_KEYS = 2048
 _PAIR_SCHEMA = "lid long, rid long, score double"
 
 
+def _empty_pairs() -> pd.DataFrame:
+    return pd.DataFrame({"lid": pd.Series([], dtype="int64"),
+                         "rid": pd.Series([], dtype="int64"),
+                         "score": pd.Series([], dtype="float64")})
+
+
 def _cell_kernel(n: int, exclude_self: bool, positive_only: bool):
+    """Score one grid cell.
+
+    ``left`` rows are either vector entries (``rid`` null: ``lid, key, v``) or
+    cold pair scores (``key`` null: ``lid, rid, v``); ``right`` rows are vector
+    entries ``rid, key, v``.  All columns are scalars (cheap Arrow batches).
+    """
+
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"lid": pd.Series([], dtype="int64"),
-                                 "rid": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        vec_rows = left[left["rid"].isna()]
-        cold_rows = left[left["rid"].notna()]
-        right = right.sort_values("rid", kind="stable").reset_index(drop=True)
-        lids = vec_rows["lid"].to_numpy(dtype=np.int64)
-        rids = right["rid"].to_numpy(dtype=np.int64)
-        if lids.size == 0:
-            return kernel(left.iloc[0:0], right.iloc[0:0])
-
-        # local key index over the keys that occur in this cell
-        vocab: dict = {}
-        def encode(keys_col):
-            out = []
-            for keys in keys_col:
-                if keys is None:
-                    out.append(np.empty(0, dtype=np.int64))
-                    continue
-                out.append(np.fromiter((vocab.setdefault(k, len(vocab)) for k in keys),
-                                       dtype=np.int64, count=len(keys)))
-            return out
-        l_idx = encode(vec_rows["keys"])
-        r_idx = encode(right["keys"])
+            return _empty_pairs()
+        is_vec = left["rid"].isna().to_numpy()
+        lvec, cold = left[is_vec], left[~is_vec]
+        if lvec.empty:
+            return _empty_pairs()
+        lids, l_row = np.unique(lvec["lid"].to_numpy(dtype=np.int64), return_inverse=True)
+        # sorted right ids: a stable sort on -score then breaks ties by id
+        rids, r_row = np.unique(right["rid"].to_numpy(dtype=np.int64), return_inverse=True)
+        codes, vocab = pd.factorize(pd.concat([lvec["key"], right["key"]], ignore_index=True))
+        l_key, r_key = codes[: len(lvec)], codes[len(lvec):]
+        lv = lvec["v"].to_numpy(dtype=np.float64)
+        rv = right["v"].to_numpy(dtype=np.float64)
         k = max(len(vocab), 1)
-        scores = np.zeros((lids.size, rids.size))
-        shared = np.zeros((lids.size, rids.size), dtype=bool)
         if k <= DENSE_KEYS:
             lm = np.zeros((lids.size, k))
             rm = np.zeros((rids.size, k))
-            for i, (ix, ws) in enumerate(zip(l_idx, vec_rows["ws"])):
-                if ix.size:
-                    np.add.at(lm[i], ix, np.asarray(ws, dtype=np.float64))
-            for j, (ix, ws) in enumerate(zip(r_idx, right["ws"])):
-                if ix.size:
-                    np.add.at(rm[j], ix, np.asarray(ws, dtype=np.float64))
-            scores += lm @ rm.T
-            shared |= ((lm != 0).astype(np.float32) @ (rm != 0).astype(np.float32).T) > 0
+            np.add.at(lm, (l_row, l_key), lv)
+            np.add.at(rm, (r_row, r_key), rv)
+            scores = lm @ rm.T
+            shared = ((lm != 0).astype(np.float32) @ (rm != 0).astype(np.float32).T) > 0
         else:
             # many distinct keys in the cell: accumulate key by key (sparse)
-            def postings(idx_list, ws_col):
-                rows = np.concatenate([np.full(ix.size, i, dtype=np.int64) for i, ix in enumerate(idx_list)] or [np.empty(0, np.int64)])
-                keys = np.concatenate(idx_list or [np.empty(0, np.int64)])
-                vals = np.concatenate([np.asarray(w, dtype=np.float64) if w is not None else np.empty(0) for w in ws_col] or [np.empty(0)])
-                order = np.argsort(keys, kind="stable")
-                return keys[order], rows[order], vals[order]
-            lk, lr, lv = postings(l_idx, vec_rows["ws"])
-            rk, rr, rv = postings(r_idx, right["ws"])
-            common = np.intersect1d(lk, rk)
-            for key in common:
+            scores = np.zeros((lids.size, rids.size))
+            shared = np.zeros((lids.size, rids.size), dtype=bool)
+            lo, ro = np.argsort(l_key, kind="stable"), np.argsort(r_key, kind="stable")
+            lk, lr, lw = l_key[lo], l_row[lo], lv[lo]
+            rk, rr, rw = r_key[ro], r_row[ro], rv[ro]
+            for key in np.intersect1d(lk, rk):
                 a0, a1 = np.searchsorted(lk, key), np.searchsorted(lk, key, side="right")
                 b0, b1 = np.searchsorted(rk, key), np.searchsorted(rk, key, side="right")
-                scores[np.ix_(lr[a0:a1], rr[b0:b1])] += np.outer(lv[a0:a1], rv[b0:b1])
-                shared[np.ix_(lr[a0:a1], rr[b0:b1])] = True
-
-        if not cold_rows.empty:
-            lpos = pd.Index(lids).get_indexer(cold_rows["lid"].to_numpy(dtype=np.int64))
-            rpos = pd.Index(rids).get_indexer(cold_rows["rid"].to_numpy(dtype=np.int64))
-            ok = (lpos >= 0) & (rpos >= 0)
-            np.add.at(scores, (lpos[ok], rpos[ok]), cold_rows["s"].to_numpy(dtype=np.float64)[ok])
+                ix = np.ix_(lr[a0:a1], rr[b0:b1])
+                scores[ix] += np.outer(lw[a0:a1], rw[b0:b1])
+                shared[ix] = True
+
+        if not cold.empty:
+            c_l = cold["lid"].to_numpy(dtype=np.int64)
+            c_r = cold["rid"].to_numpy(dtype=np.int64)
+            lpos = np.minimum(np.searchsorted(lids, c_l), lids.size - 1)
+            rpos = np.minimum(np.searchsorted(rids, c_r), rids.size - 1)
+            ok = (lids[lpos] == c_l) & (rids[rpos] == c_r)
+            np.add.at(scores, (lpos[ok], rpos[ok]), cold["v"].to_numpy(dtype=np.float64)[ok])
             shared[lpos[ok], rpos[ok]] = True
 
         valid = shared if positive_only else np.ones_like(shared)
@@ -116,48 +111,48 @@ def _cell_kernel(n: int, exclude_self: bool, positive_only: bool):
             valid &= lids[:, None] != rids[None, :]
         ranked = np.where(valid, np.round(scores, SCORE_DECIMALS), -np.inf)
         take = min(n, rids.size)
-        # columns are sorted by rid, a stable sort on -score breaks ties by id
         order = np.argsort(-ranked, axis=1, kind="stable")[:, :take]
         top = np.take_along_axis(ranked, order, axis=1)
         keep = np.isfinite(top)
-        rows = np.repeat(np.arange(lids.size), take).reshape(lids.size, take)
-        return pd.DataFrame({
-            "lid": lids[rows[keep]],
-            "rid": rids[order[keep]],
-            "score": top[keep],
-        })
+        rows = np.broadcast_to(np.arange(lids.size)[:, None], order.shape)
+        return pd.DataFrame({"lid": lids[rows[keep]], "rid": rids[order[keep]], "score": top[keep]})
 
     return kernel
 
 
-def _vectors(long_df: DataFrame, id_col: str) -> DataFrame:
-    """``(id, keys array<string>, ws array<double>)`` from ``(id, key, w)``."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col("key").cast("string").alias("k"), F.col("w").alias("v"))))
-    return (long_df.groupBy(id_col).agg(entries.alias("e"))
-            .select(F.col(id_col), F.col("e.k").alias("keys"), F.col("e.v").alias("ws")))
-
-
 def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool = False,
                  positive_only: bool = True, hot_df: int | None = DEFAULT_HOT_DF,
                  left_chunk: int = LEFT_CHUNK, right_block: int = RIGHT_BLOCK) -> DataFrame:
     """Top ``n`` right ids per left id by ``sum(w_l * w_r)``.
 
-    ``left``/``right``: ``(id, key, w)`` with weights already L2-normalised.
-    Returns ``(lid, rid, score, rank)``; score rounded to 6 decimals, ties by
-    ``rid`` ascending.  ``hot_df=0`` sends every key to the grid (dense input).
-    ``positive_only`` keeps only pairs that share a key and score above zero.
+    ``left``/``right``: ``(id, key, w)`` with weights already L2-normalised and
+    ``id`` a long.  Returns ``(lid, rid, score, rank)``; score rounded to 6
+    decimals, ties by ``rid`` ascending.  ``positive_only`` keeps only pairs that
+    share a key and score above zero; without it (dense vectors, where any pair
+    may rank) pass ``hot_df=0`` so that every key goes to the grid.
+    ``hot_df=None`` picks ``max(64, sqrt(#right ids))``.
     """
+    same = left is right
+    # the inputs feed several small sizing jobs and the final plan: keep them
+    # (memory, spilling to disk; lost blocks are recomputed from lineage)
+    left = left.persist()
+    right = left if same else right.persist()
     l = left.select(F.col("id").alias("lid"), "key", F.col("w").alias("lw"))
     r = right.select(F.col("id").alias("rid"), "key", F.col("w").alias("rw"))
     spark = left.sparkSession
+    if hot_df is None:
+        # a key with df > sqrt(N) emits more join pairs than a whole grid row
+        n_right = r.select(F.count_distinct("rid")).first()[0] or 0
+        hot_df = max(MIN_HOT_DF, int(math.isqrt(n_right)))
+    cap = hot_df
 
     key_df = r.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    hot_keys = key_df.filter(F.col("df") > (hot_df if hot_df is not None else 1 << 62)).select("key")
-    cold_keys = key_df.filter(F.col("df") <= (hot_df if hot_df is not None else 1 << 62)).select("key")
-
-    # one small job sizes the plan: hot key count and ids that carry hot keys
+    hot_keys = key_df.filter(F.col("df") > cap).select("key")
+    cold_keys = key_df.filter(F.col("df") <= cap).select("key")
     lh = l.join(hot_keys, "key", "left_semi").select(F.col("lid").alias("id"), "key", F.col("lw").alias("w"))
     rh = r.join(hot_keys, "key", "left_semi").select(F.col("rid").alias("id"), "key", F.col("rw").alias("w"))
+
+    # one small job sizes the grid: how many ids on each side carry hot keys
     sizes = spark.range(1).select(
         lh.select(F.count_distinct("id")).scalar().alias("nl"),
         rh.select(F.count_distinct("id")).scalar().alias("nr"),
@@ -175,35 +170,37 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
         scored = scored.select("lid", "rid", F.round("s", SCORE_DECIMALS).alias("score"))
         return top_n_per_group(scored, "lid", "score", "rid", n)
 
-    lvec = _vectors(lh, "id").withColumnRenamed("id", "lid")
-    rvec = _vectors(rh, "id").withColumnRenamed("id", "rid")
+    l_ids = lh.select(F.col("id").alias("lid")).distinct()
+    r_ids = rh.select(F.col("id").alias("rid")).distinct()
 
-    n_lchunks = max(1, math.ceil((sizes["nl"] or 1) / left_chunk))
-    n_rblocks = max(1, math.ceil((sizes["nr"] or 1) / right_block))
+    n_lchunks = max(1, math.ceil(sizes["nl"] / left_chunk))
+    n_rblocks = max(1, math.ceil(sizes["nr"] / right_block))
     lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
     rblock = F.pmod(F.xxhash64("rid"), F.lit(n_rblocks))
 
-    left_cells = (lvec.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1))))
+    # each left entry goes to every right block, each right entry to every
+    # left chunk: replication factors are n_rblocks and n_lchunks
+    left_cells = (lh.withColumnRenamed("id", "lid")
+                  .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1))))
                   .select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid",
-                          F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("s"),
-                          "keys", "ws"))
+                          F.lit(None).cast("long").alias("rid"), F.col("key").cast("string").alias("key"),
+                          F.col("w").alias("v")))
     # cold scores of pairs whose both sides carry hot keys are added inside the cell
-    inner_cold = (cold_pairs.join(lvec.select("lid"), "lid", "left_semi")
-                  .join(rvec.select("rid"), "rid", "left_semi"))
-    cold_cells = inner_cold.select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid", "s",
-                                   F.lit(None).cast("array<string>").alias("keys"),
-                                   F.lit(None).cast("array<double>").alias("ws"))
-    right_cells = (rvec.withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
-                   .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid", "keys", "ws"))
+    inner_cold = cold_pairs.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_semi")
+    cold_cells = inner_cold.select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid",
+                                   F.lit(None).cast("string").alias("key"), F.col("s").alias("v"))
+    right_cells = (rh.withColumnRenamed("id", "rid")
+                   .withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
+                   .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid",
+                           F.col("key").cast("string").alias("key"), F.col("w").alias("v")))
 
     grid = (left_cells.unionByName(cold_cells).groupBy("cell")
             .cogroup(right_cells.groupBy("cell"))
             .applyInPandas(_cell_kernel(n, exclude_self, positive_only), _PAIR_SCHEMA))
 
     # pairs where at least one side has no hot key are fully scored by the join
-    outer_cold = (cold_pairs.join(lvec.select("lid"), "lid", "left_anti")
-                  .unionByName(cold_pairs.join(lvec.select("lid"), "lid", "left_semi")
-                               .join(rvec.select("rid"), "rid", "left_anti")))
+    outer_cold = (cold_pairs.join(l_ids, "lid", "left_anti")
+                  .unionByName(cold_pairs.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_anti")))
     if positive_only:
         outer_cold = outer_cold.filter(F.col("s") > 0)
     outer_cold = outer_cold.select("lid", "rid", F.round("s", SCORE_DECIMALS).alias("score"))
