@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import content, neighbours, popularity, tfidf
+from ..operators import catalogue as catalogue_ops
+from ..operators import cleaning, content, lookup, neighbours, popularity, profile, sampling, tfidf
 from ..operators.similarity import cosine_top_n, l2_normalise
 from ..sources import tables as T
 from . import oracle as O
@@ -243,3 +244,277 @@ def q_dense_cosine_neighbours(spark, sf):
     unit = l2_normalise(long, "id", "key", "v")
     res = cosine_top_n(unit, unit, 10, exclude_self=True, positive_only=False, hot_df=0)
     return res.select(F.col("lid").alias("vec_id"), F.col("rid").alias("neighbour_id"), "rank", "score")
+
+
+# --------------------------------------------------------------------------- A3-A7 profiles
+
+def _events_with_nulls(spark, sf):
+    """events with nulls made from the data: error events lose their type,
+    signup events lose their value."""
+    ev = T.table(spark, sf, "events")
+    return ev.select("event_id", "ts", "user_id",
+                     F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"),
+                     F.when(F.col("event_type") != "signup", F.col("value")).alias("value"),
+                     "props")
+
+
+EVENTS_NULLS_SQL = ("SELECT event_id, ts, user_id, nullif(event_type, 'error') AS event_type, "
+                    "CASE WHEN event_type <> 'signup' THEN value END AS value, props FROM events")
+EVENT_COLS = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+              ("value", "double"), ("props", "string"))
+
+
+@register("null_profile", f"""
+WITH e AS ({EVENTS_NULLS_SQL})
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS row_count, count({c}) AS non_null_count, "
+    f"count(*) - count({c}) AS null_count FROM e" for c, t in EVENT_COLS))
+def q_null_profile(spark, sf):
+    return profile.null_profile(_events_with_nulls(spark, sf))
+
+
+STRING_COLS = ("o_orderstatus", "o_orderpriority")
+
+
+@register("distinct_profile", "WITH l AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in STRING_COLS) + """),
+c AS (SELECT column_name, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY column_name, value)
+SELECT column_name, sum(n) AS count, count(*) AS "unique", arg_min(value, (-n, value)) AS top, max(n) AS freq
+FROM c GROUP BY column_name
+""")
+def q_distinct_profile(spark, sf):
+    return profile.string_summary(T.table(spark, sf, "orders"), STRING_COLS)
+
+
+NUMERIC_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("column_summary", "WITH l AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM lineitem" for c in NUMERIC_COLS) + """)
+SELECT column_name, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       min(value) AS min, max(value) AS max
+FROM l GROUP BY column_name
+""")
+def q_column_summary(spark, sf):
+    return profile.numeric_summary(T.table(spark, sf, "lineitem"), NUMERIC_COLS)
+
+
+# --------------------------------------------------------------------------- P9, P10
+
+@register("fill_constant", f"""
+WITH e AS ({EVENTS_NULLS_SQL})
+SELECT event_id, coalesce(event_type, '') AS event_type, value FROM e
+""")
+def q_fill_constant(spark, sf):
+    ev = _events_with_nulls(spark, sf).select("event_id", "event_type", "value")
+    return cleaning.fill_constant(ev, "", ["event_type"])
+
+
+@register("impute_mean", f"""
+WITH e AS ({EVENTS_NULLS_SQL})
+SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM e)), 6) AS value FROM e
+""")
+def q_impute_mean(spark, sf):
+    ev = _events_with_nulls(spark, sf).select("event_id", "value")
+    out = cleaning.impute_mean(ev, ["value"])
+    return out.select("event_id", F.round("value", 6).alias("value"))
+
+
+# --------------------------------------------------------------------------- W1, W2
+
+@register("group_first", f"""
+WITH e AS ({EVENTS_NULLS_SQL}),
+f AS (SELECT user_id, arg_min(event_type, event_id) FILTER (WHERE event_type IS NOT NULL) AS first_type
+      FROM e WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT e.event_id, e.user_id, f.first_type AS event_type FROM e LEFT JOIN f USING (user_id)
+""")
+def q_group_first(spark, sf):
+    ev = _events_with_nulls(spark, sf).select("event_id", "user_id", "event_type")
+    return cleaning.group_first(ev, "user_id", ["event_type"], order_col="event_id")
+
+
+@register("group_ffill_bfill", f"""
+WITH e AS ({EVENTS_NULLS_SQL})
+SELECT event_id, user_id,
+       coalesce(last_value(event_type IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                first_value(event_type IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS event_type,
+       coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value
+FROM e
+""")
+def q_group_ffill_bfill(spark, sf):
+    ev = _events_with_nulls(spark, sf).select("event_id", "user_id", "event_type", "value")
+    return cleaning.group_ffill_bfill(ev, "user_id", ["event_type", "value"], order_col="event_id")
+
+
+# --------------------------------------------------------------------------- F1, F2
+
+@register("category_head", """
+SELECT p_partkey AS product_id, split_part(p_type || ' > ' || p_brand, '>', 1) AS category FROM part
+""")
+def q_category_head(spark, sf):
+    part = T.table(spark, sf, "part")
+    path = F.concat(F.col("p_type"), F.lit(" > "), F.col("p_brand"))
+    return part.select(F.col("p_partkey").alias("product_id"), tx.first_segment(path).alias("category"))
+
+
+@register("truncate_name", """
+SELECT doc_id,
+       CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS snippet,
+       CASE WHEN length(source) > 3 THEN substring(source, 1, 3) || '...' ELSE source END AS source_short
+FROM documents
+""")
+def q_truncate_name(spark, sf):
+    docs = T.table(spark, sf, "documents")
+    return docs.select("doc_id", tx.truncate("text", 100).alias("snippet"), tx.truncate("source", 3).alias("source_short"))
+
+
+# --------------------------------------------------------------------------- A9, A8
+
+@register("dedup_first", """
+SELECT doc_id, lang, source, n_chars FROM documents
+WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)
+""")
+def q_dedup_first(spark, sf):
+    docs = T.table(spark, sf, "documents").select(
+        F.sha2("text", 256).alias("text_key"), "doc_id", "lang", "source", "n_chars")
+    kept = catalogue_ops.dedup_first(docs, "text_key", order_col="doc_id")
+    return kept.select("doc_id", "lang", "source", "n_chars")
+
+
+@register("distinct_first_seen", """
+SELECT lang, min(doc_id) AS first_pos,
+       CAST(row_number() OVER (ORDER BY min(doc_id), lang) AS INTEGER) AS seen_order
+FROM documents WHERE lang IS NOT NULL GROUP BY lang
+""")
+def q_distinct_first_seen(spark, sf):
+    docs = T.table(spark, sf, "documents")
+    return catalogue_ops.distinct_first_seen(docs, "lang", order_col="doc_id")
+
+
+# --------------------------------------------------------------------------- M5, J2, P14, J10
+
+@register("id_index", """
+SELECT c_name AS id, CAST(row_number() OVER (ORDER BY c_name) - 1 AS INTEGER) AS idx FROM customer
+""")
+def q_id_index(spark, sf):
+    return lookup.id_index(T.table(spark, sf, "customer").select(F.col("c_name").alias("id")))
+
+
+@register("unknown_users", """
+SELECT DISTINCT c_custkey AS user_id FROM customer
+WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)
+""")
+def q_unknown_users(spark, sf):
+    requests = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    known = T.table(spark, sf, "events").select("user_id")
+    return lookup.unknown_ids(requests, known, "user_id")
+
+
+@register("missing_products", f"""
+WITH i AS ({O.INTERACTIONS}),
+p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS s FROM i GROUP BY product_id),
+top AS (SELECT product_id FROM p ORDER BY s DESC, product_id LIMIT 50),
+cat AS (SELECT p_partkey AS product_id FROM part
+        ORDER BY {O.md5_u32("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 1000)
+SELECT product_id FROM top WHERE product_id NOT IN (SELECT product_id FROM cat)
+""")
+def q_missing_products(spark, sf):
+    pop = popularity.popularity_table(T.interactions(spark, sf))
+    top = pop.orderBy(F.col("popularity_score").desc(), "product_id").limit(50)
+    cat = sampling.sample_exact(T.catalogue(spark, sf).select("product_id"), 1000, "product_id", seed=42)
+    return lookup.missing_ids(top, cat, "product_id")
+
+
+# --------------------------------------------------------------------------- G1-G7
+
+def _u32(expr: str) -> str:
+    return O.md5_u32(expr)
+
+
+@register("sample_exact", f"""
+SELECT p_partkey AS product_id, p_name AS name FROM part
+ORDER BY {_u32("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 500
+""")
+def q_sample_exact(spark, sf):
+    cat = T.catalogue(spark, sf).select("product_id", "name")
+    return sampling.sample_exact(cat, 500, "product_id", seed=42)
+
+
+@register("sample_fraction", f"""
+SELECT user_id, product_id, rating FROM ({O.INTERACTIONS}) i
+WHERE {_u32("CAST(user_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) || '|42'")} < {int(0.05 * (1 << 32))}
+""")
+def q_sample_fraction(spark, sf):
+    inter = T.interactions(spark, sf).withColumn("pair", F.concat_ws("|", F.col("user_id").cast("string"),
+                                                                      F.col("product_id").cast("string")))
+    return sampling.sample_fraction(inter, 0.05, "pair", seed=42).drop("pair")
+
+
+@register("sample_replace", f"""
+WITH c AS (SELECT p_partkey AS product_id, p_name AS name,
+                  row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part),
+d AS (SELECT range AS draw_no, {_u32("CAST(range AS VARCHAR) || '|42'")} % (SELECT count(*) FROM c) AS pos
+      FROM range(6000))
+SELECT d.draw_no, c.product_id, c.name FROM d JOIN c USING (pos)
+""")
+def q_sample_replace(spark, sf):
+    cat = T.catalogue(spark, sf).select("product_id", "name", "row_pos")
+    out = sampling.sample_with_replacement(cat, 6000, "row_pos", seed=42)
+    return out.select("draw_no", "product_id", "name")
+
+
+@register("random_assign", f"""
+WITH dom AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS pos FROM (SELECT DISTINCT c_name FROM customer)),
+o AS (SELECT o_orderkey, {_u32("CAST(o_orderkey AS VARCHAR) || '|assign|42'")} % (SELECT count(*) FROM dom) AS pos
+      FROM orders)
+SELECT o.o_orderkey, dom.c_name AS user_name,
+       CAST(0 + {_u32("CAST(o_orderkey AS VARCHAR) || '|rating|42'")} % 5 AS INTEGER) AS rating
+FROM o JOIN dom USING (pos)
+""")
+def q_random_assign(spark, sf):
+    orders = T.table(spark, sf, "orders").select("o_orderkey")
+    dom = T.table(spark, sf, "customer").select(F.col("c_name"))
+    out = sampling.assign_from_domain(orders, dom, "o_orderkey", "c_name", seed=42)
+    from ..functions.hashing import randint
+    return out.select("o_orderkey", F.col("c_name").alias("user_name"),
+                      randint(0, 5, "o_orderkey", F.lit("rating"), seed=42).alias("rating"))
+
+
+def _draws_sql(users_sql: str, k: int, n_draws: int) -> str:
+    return f"""
+items AS (SELECT p_partkey AS product_id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part),
+u AS ({users_sql}),
+d AS (SELECT u.user_id, j.range AS j,
+             {_u32("CAST(u.user_id AS VARCHAR) || '|' || CAST(j.range AS VARCHAR) || '|42'")}
+               % (SELECT count(*) FROM items) AS pos
+      FROM u, range({n_draws}) j),
+f AS (SELECT user_id, pos, min(j) AS j FROM d GROUP BY user_id, pos),
+r AS (SELECT user_id, pos, CAST(row_number() OVER (PARTITION BY user_id ORDER BY j) AS INTEGER) AS rank FROM f),
+picked AS (SELECT r.user_id, items.product_id, r.rank FROM r JOIN items USING (pos) WHERE r.rank <= {k})"""
+
+
+@register("synthetic_interactions", "WITH " + _draws_sql("SELECT DISTINCT c_custkey AS user_id FROM customer", 50, 100) + f"""
+SELECT user_id, product_id,
+       CAST(1 + {_u32("CAST(user_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) || '|rating|42'")} % 5 AS INTEGER)
+         AS rating
+FROM picked
+""")
+def q_synthetic_interactions(spark, sf):
+    users = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    items = T.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"))
+    picks = sampling.distinct_draws(users, "user_id", items, "product_id", 50, seed=42)
+    return sampling.synthetic_ratings(picks, "user_id", "product_id", 1, 6, seed=42).drop("rank")
+
+
+@register("user_random_list", "WITH " + _draws_sql("SELECT DISTINCT c_custkey AS user_id FROM customer", 12, 24) + """
+SELECT user_id, product_id, rank FROM picked
+""")
+def q_user_random_list(spark, sf):
+    users = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    items = T.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"))
+    return sampling.distinct_draws(users, "user_id", items, "product_id", 12, seed=42)
