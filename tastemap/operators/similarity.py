@@ -109,6 +109,7 @@ def _cell_kernel(n: int, exclude_self: bool, positive_only: bool):
             valid &= scores > 0
         if exclude_self:
             valid &= lids[:, None] != rids[None, :]
+        valid &= np.isfinite(scores)
         ranked = np.where(valid, np.round(scores, SCORE_DECIMALS), -np.inf)
         take = min(n, rids.size)
         order = np.argsort(-ranked, axis=1, kind="stable")[:, :take]
@@ -122,9 +123,12 @@ def _cell_kernel(n: int, exclude_self: bool, positive_only: bool):
 
 def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool = False,
                  positive_only: bool = True, hot_df: int | None = DEFAULT_HOT_DF,
+                 exclude_pairs: DataFrame | None = None,
                  left_chunk: int = LEFT_CHUNK, right_block: int = RIGHT_BLOCK) -> DataFrame:
     """Top ``n`` right ids per left id by ``sum(w_l * w_r)``.
 
+    ``exclude_pairs`` (``lid, rid``) are never returned (rated items, J3).
+
     ``left``/``right``: ``(id, key, w)`` with weights already L2-normalised and
     ``id`` a long.  Returns ``(lid, rid, score, rank)``; score rounded to 6
     decimals, ties by ``rid`` ascending.  ``positive_only`` keeps only pairs that
@@ -164,6 +168,9 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
                   .groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("s")))
     if exclude_self:
         cold_pairs = cold_pairs.filter(F.col("lid") != F.col("rid"))
+    if exclude_pairs is not None:
+        excluded = exclude_pairs.select("lid", "rid").distinct()
+        cold_pairs = cold_pairs.join(excluded, ["lid", "rid"], "left_anti")
 
     if not sizes["nl"] or not sizes["nr"]:
         scored = cold_pairs.filter(F.col("s") > 0) if positive_only else cold_pairs
@@ -189,6 +196,12 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
     inner_cold = cold_pairs.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_semi")
     cold_cells = inner_cold.select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid",
                                    F.lit(None).cast("string").alias("key"), F.col("s").alias("v"))
+    if exclude_pairs is not None:
+        # an excluded pair gets -inf inside its cell and can never rank
+        banned = (excluded.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_semi")
+                  .select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid",
+                          F.lit(None).cast("string").alias("key"), F.lit(float("-inf")).alias("v")))
+        cold_cells = cold_cells.unionByName(banned)
     right_cells = (rh.withColumnRenamed("id", "rid")
                    .withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
                    .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid",

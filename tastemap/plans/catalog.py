@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalogue as catalogue_ops
-from ..operators import cleaning, content, lookup, neighbours, popularity, profile, sampling, tfidf
+from ..operators import als, cleaning, content, factors, lookup, neighbours, popularity, profile, sampling, serving, tfidf
 from ..operators.similarity import cosine_top_n, l2_normalise
 from ..sources import tables as T
 from . import oracle as O
@@ -518,3 +518,101 @@ def q_user_random_list(spark, sf):
     users = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     items = T.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"))
     return sampling.distinct_draws(users, "user_id", items, "product_id", 12, seed=42)
+
+
+# --------------------------------------------------------------------------- M3/M4, R7, R8, R9 (no SQL)
+
+def _svd(spark, sf, k):
+    m = neighbours.rating_matrix(T.interactions(spark, sf))
+    return m, factors.truncated_svd(m, k=k, oversample=10, power_iters=5, seed=42)
+
+
+@register("svd_recs")
+def q_svd_recs(spark, sf):
+    """Rank-50 factor scores, unrated items only, top 15 per user."""
+    m, f = _svd(spark, sf, 50)
+    return factors.recommend(f, m, 15, exclude_rated=True)
+
+
+@register("svd_recs_with_rating")
+def q_svd_recs_with_rating(spark, sf):
+    """Rank-5 factor scores over all items (rated included), top 12 per
+    user with the predicted rating and catalogue details."""
+    m, f = _svd(spark, sf, 5)
+    recs = factors.recommend(f, m, 12, exclude_rated=False).withColumnRenamed("score", "predicted_rating")
+    det = catalogue_ops.details(T.catalogue(spark, sf))
+    return recs.join(det, "product_id", "left").select(
+        "user_id", "rank", "product_id", "name", "brand", "predicted_rating")
+
+
+@register("hybrid_recs")
+def q_hybrid_recs(spark, sf):
+    """Rank-50 factor score + mean content similarity of the item to the
+    catalogue, unrated items only, top 10 per user."""
+    m, f = _svd(spark, sf, 50)
+    model = _part_model(spark, sf)
+    cent = tfidf.centrality(model.weights, T.table(spark, sf, "part")).select(
+        F.col("doc_id").alias("product_id"), F.col("centrality").alias("bias"))
+    return factors.recommend(f, m, 10, exclude_rated=True, item_bias=cent)
+
+
+@register("als_recs")
+def q_als_recs(spark, sf):
+    """ALS (rank 10) predicted ratings over all items, top 10 per user."""
+    m = neighbours.rating_matrix(T.interactions(spark, sf))
+    f = als.fit(m, rank=10, max_iter=10, reg=0.1, seed=42)
+    return als.recommend(f, n=10)
+
+
+# --------------------------------------------------------------------------- R11, R12
+
+@register("home_lists", "WITH " + _draws_sql(
+    "SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer)", 12, 24) + """,
+unknown AS (SELECT DISTINCT c_custkey AS user_id FROM customer
+            WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)),
+head AS (SELECT p_partkey AS product_id, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS rank
+         FROM part ORDER BY p_partkey LIMIT 12)
+SELECT user_id, 'personal' AS source, rank, product_id FROM picked
+UNION ALL
+SELECT unknown.user_id, 'default' AS source, head.rank, head.product_id FROM unknown, head
+""")
+def q_home_lists(spark, sf):
+    requests = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    known = T.table(spark, sf, "events").select("user_id")
+    return serving.home_lists(requests, known, T.catalogue(spark, sf), n=12, seed=42)
+
+
+def _raw_marketplace(spark, sf):
+    """part as a raw marketplace table (raw column names, path-like category)."""
+    part = T.table(spark, sf, "part")
+    return part.select(
+        F.col("p_partkey").alias("row_pos"),
+        F.col("p_partkey").cast("string").alias("Product Id"),
+        F.concat(F.col("p_type"), F.lit(" > "), F.col("p_brand")).alias("Product Category"),
+        F.col("p_brand").alias("Product Brand"),
+        F.col("p_name").alias("Product Name"),
+        F.concat(F.lit("img/"), F.col("p_partkey").cast("string")).alias("Product Image Url"),
+        F.col("p_name").alias("Product Description"),
+        F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("Product Tags"),
+    )
+
+
+@register("prep_pipeline", f"""
+WITH s AS (SELECT p_partkey AS row_pos, CAST(p_partkey AS VARCHAR) AS ProdID, p_type || ' > ' || p_brand AS Category,
+                  coalesce(p_brand, '') AS Brand, p_name AS Name, 'img/' || CAST(p_partkey AS VARCHAR) AS ImageURL,
+                  coalesce(p_name, '') AS Description, concat_ws(' ', p_name, p_brand, p_type) AS Tags
+           FROM part ORDER BY {_u32("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 3500),
+c AS (SELECT *, row_number() OVER (ORDER BY row_pos) - 1 AS pos FROM s),
+d AS (SELECT range AS draw_no, {_u32("CAST(range AS VARCHAR) || '|42'")} % (SELECT count(*) FROM c) AS pos
+      FROM range(6000)),
+dom AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS upos
+        FROM (SELECT 'USER_' || CAST(range AS VARCHAR) AS user_id FROM range(1, 1401)))
+SELECT d.draw_no, c.ProdID, split_part(c.Category, '>', 1) AS Category, c.Brand, c.Name, c.ImageURL,
+       c.Description, c.Tags, dom.user_id,
+       CAST({_u32("CAST(d.draw_no AS VARCHAR) || '|rating|42'")} % 5 AS INTEGER) AS Rating
+FROM d JOIN c USING (pos)
+JOIN dom ON dom.upos = {_u32("CAST(d.draw_no AS VARCHAR) || '|assign|42'")} % 1400
+""")
+def q_prep_pipeline(spark, sf):
+    domain = sampling.generated_ids(spark, "USER_", 1, 1401, "user_id")
+    return serving.prepare_catalogue(_raw_marketplace(spark, sf), domain, 3500, 6000, seed=42)
