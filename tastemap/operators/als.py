@@ -30,21 +30,19 @@ def fit(matrix: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1,
               ratingCol="rating", coldStartStrategy="drop", nonnegative=False)
     model = als.fit(train)
     uf = (model.userFactors.join(users, F.col("id") == F.col("u_idx"))
-          .select(F.col("user_id").alias("id"), F.posexplode("features").alias("c", "value")))
+          .select(F.col("user_id").alias("id"), F.col("features").cast("array<double>").alias("vec")))
     itf = (model.itemFactors.join(items, F.col("id") == F.col("i_idx"))
-           .select(F.col("product_id").alias("id"), F.posexplode("features").alias("c", "value")))
-    uf = uf.select("id", "c", F.col("value").cast("double").alias("value"))
-    itf = itf.select("id", "c", F.col("value").cast("double").alias("value"))
+           .select(F.col("product_id").alias("id"), F.col("features").cast("array<double>").alias("vec")))
     return Factors(user_factors=uf, item_factors=itf, singular_values=np.zeros(0))
 
 
 def recommend(f: Factors, n: int = 10, users: DataFrame | None = None) -> DataFrame:
     """Top ``n`` items per user by predicted rating over all items.
     Returns ``user_id, product_id, rank, predicted_rating``."""
-    left = f.user_factors.select("id", F.col("c").cast("string").alias("key"), F.col("value").alias("w"))
+    left = f.long("user").select("id", F.col("c").cast("string").alias("key"), F.col("value").alias("w"))
     if users is not None:
         left = left.join(users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
-    right = f.item_factors.select("id", F.col("c").cast("string").alias("key"), F.col("value").alias("w"))
+    right = f.long("item").select("id", F.col("c").cast("string").alias("key"), F.col("value").alias("w"))
     res = cosine_top_n(left, right, n, positive_only=False, hot_df=0)
     return res.select(F.col("lid").alias("user_id"), F.col("rid").alias("product_id"), "rank",
                       F.round("score", SCORE_DECIMALS).alias("predicted_rating"))
