@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import SCORE_DECIMALS
 from .factors import Factors
 from .lookup import dense_index
-from .similarity import cosine_top_n
+from .similarity import dense_top_n
 
 
 def fit(matrix: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1, seed: int = 42) -> Factors:
@@ -39,10 +39,9 @@ def fit(matrix: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1,
 def recommend(f: Factors, n: int = 10, users: DataFrame | None = None) -> DataFrame:
     """Top ``n`` items per user by predicted rating over all items.
     Returns ``user_id, product_id, rank, predicted_rating``."""
-    left = f.long("user").select("id", F.col("c").cast("string").alias("key"), F.col("value").alias("w"))
+    left = f.user_factors
     if users is not None:
         left = left.join(users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
-    right = f.long("item").select("id", F.col("c").cast("string").alias("key"), F.col("value").alias("w"))
-    res = cosine_top_n(left, right, n, positive_only=False, hot_df=0)
+    res = dense_top_n(left, f.item_factors, n)
     return res.select(F.col("lid").alias("user_id"), F.col("rid").alias("product_id"), "rank",
                       F.round("score", SCORE_DECIMALS).alias("predicted_rating"))

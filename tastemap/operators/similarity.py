@@ -230,3 +230,83 @@ def l2_normalise(long_df: DataFrame, id_col: str, key_col: str, value_col: str)
     norms = (v.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
              .filter(F.col("norm") > 0))
     return v.join(norms, "id").select("id", "key", (F.col("v") / F.col("norm")).alias("w"))
+
+
+_DENSE_LEFT_CHUNK = 2048
+
+
+def _dense_kernel(n: int, exclude_self: bool):
+    """One grid cell of dense vectors: ``left (lid, vec, excl)``,
+    ``right (rid, vec)``; scores ``L R^T``, excluded pairs never rank."""
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return _empty_pairs()
+        right = right.sort_values("rid", kind="stable")
+        lids = left["lid"].to_numpy(dtype=np.int64)
+        rids = right["rid"].to_numpy(dtype=np.int64)
+        lm = np.vstack(left["vec"].to_numpy()).astype(np.float64, copy=False)
+        rm = np.vstack(right["vec"].to_numpy()).astype(np.float64, copy=False)
+        ranked = np.round(lm @ rm.T, SCORE_DECIMALS)
+        if exclude_self:
+            ranked[lids[:, None] == rids[None, :]] = -np.inf
+        excl = left["excl"].to_numpy()
+        counts = np.fromiter((0 if e is None else len(e) for e in excl), dtype=np.int64, count=len(excl))
+        if counts.sum():
+            rows = np.repeat(np.arange(lids.size), counts)
+            cols = np.searchsorted(rids, np.concatenate([e for e in excl if e is not None and len(e)]))
+            cols = np.minimum(cols, rids.size - 1)
+            hit = rids[cols] == np.concatenate([e for e in excl if e is not None and len(e)])
+            ranked[rows[hit], cols[hit]] = -np.inf
+        ranked[~np.isfinite(ranked)] = -np.inf
+        take = min(n, rids.size)
+        order = np.argsort(-ranked, axis=1, kind="stable")[:, :take]
+        top = np.take_along_axis(ranked, order, axis=1)
+        keep = np.isfinite(top)
+        r = np.broadcast_to(np.arange(lids.size)[:, None], order.shape)
+        return pd.DataFrame({"lid": lids[r[keep]], "rid": rids[order[keep]], "score": top[keep]})
+
+    return kernel
+
+
+def dense_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool = False,
+                exclude_pairs: DataFrame | None = None, left_chunk: int = _DENSE_LEFT_CHUNK,
+                right_block: int = RIGHT_BLOCK) -> DataFrame:
+    """Top ``n`` right ids per left id by the dot product of dense vectors.
+
+    ``left``/``right``: ``(id, vec array<double>)`` of equal width.  The same
+    grid as ``cosine_top_n``: each left row is replicated to every right block
+    and each right row to every left chunk; the kernel scores one
+    ``left_chunk x right_block`` block with one matrix product and keeps the
+    top ``n`` per row.  ``exclude_pairs (lid, rid)`` travel with the left row
+    of their cell as an id list, which is bounded by the block size.
+    Returns ``(lid, rid, score, rank)``; ties by ``rid``.
+    """
+    spark = left.sparkSession
+    same = left is right
+    left = left.persist()
+    right = left if same else right.persist()
+    sizes = spark.range(1).select(left.select(F.count(F.lit(1))).scalar().alias("nl"),
+                                  right.select(F.count(F.lit(1))).scalar().alias("nr")).first()
+    n_lchunks = max(1, math.ceil((sizes["nl"] or 1) / left_chunk))
+    n_rblocks = max(1, math.ceil((sizes["nr"] or 1) / right_block))
+    lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
+    rblock = F.pmod(F.xxhash64("rid"), F.lit(n_rblocks))
+
+    # fresh aliases keep the two sides distinct when left is right
+    lrep = (left.select(F.col("id").alias("lid"), F.col("vec").alias("vec"))
+            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1)))))
+    if exclude_pairs is not None:
+        lists = (exclude_pairs.select("lid", "rid").distinct().withColumn("rb", rblock)
+                 .groupBy("lid", "rb").agg(F.collect_list("rid").alias("excl")))
+        lrep = lrep.join(lists, ["lid", "rb"], "left")
+    else:
+        lrep = lrep.withColumn("excl", F.lit(None).cast("array<long>"))
+    left_cells = lrep.select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid", "vec",
+                             F.coalesce("excl", F.array().cast("array<long>")).alias("excl"))
+    right_cells = (right.select(F.col("id").alias("rid"), F.col("vec").alias("vec"))
+                   .withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
+                   .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid", "vec"))
+    grid = (left_cells.groupBy("cell").cogroup(right_cells.groupBy("cell"))
+            .applyInPandas(_dense_kernel(n, exclude_self), _PAIR_SCHEMA))
+    return top_n_per_group(grid, "lid", "score", "rid", n)

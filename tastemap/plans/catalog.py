@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import catalogue as catalogue_ops
 from ..operators import als, cleaning, content, factors, lookup, neighbours, popularity, profile, sampling, serving, tfidf
-from ..operators.similarity import cosine_top_n, l2_normalise
+from ..operators.similarity import dense_top_n
 from ..sources import tables as T
 from . import oracle as O
 
@@ -240,9 +240,10 @@ SELECT vec_id, neighbour_id, rank, score FROM r WHERE rank <= 10
 """)
 def q_dense_cosine_neighbours(spark, sf):
     vec = T.dense_vectors(spark, sf)
-    long = vec.select("id", F.posexplode("vec").alias("key", "v"))
-    unit = l2_normalise(long, "id", "key", "v")
-    res = cosine_top_n(unit, unit, 10, exclude_self=True, positive_only=False, hot_df=0)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = (vec.withColumn("norm", norm).filter(F.col("norm") > 0)
+            .select("id", F.transform("vec", lambda x: x / F.col("norm")).alias("vec")))
+    res = dense_top_n(unit, unit, 10, exclude_self=True)
     return res.select(F.col("lid").alias("vec_id"), F.col("rid").alias("neighbour_id"), "rank", "score")
 
 

@@ -100,3 +100,17 @@ def test_grid_with_several_cells(spark):
     got = result(cosine_top_n(df, df, 3, exclude_self=True, hot_df=0, left_chunk=7, right_block=9))
     want = brute(vecs, vecs, 3, True, True)
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_dense_top_n_matches_brute_force(spark):
+    from tastemap.operators.similarity import dense_top_n
+
+    rng = np.random.default_rng(5)
+    mats = {i: rng.normal(size=6) for i in range(40)}
+    excluded = {(i, (3 * i + 1) % 40) for i in range(40)} | {(0, j) for j in range(0, 40, 2)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in mats.items()], "id long, vec array<double>")
+    ex = spark.createDataFrame(sorted(excluded), "lid long, rid long")
+    got = result(dense_top_n(df, df, 5, exclude_self=True, exclude_pairs=ex, left_chunk=9, right_block=13))
+    vecs = {i: dict(enumerate(v)) for i, v in mats.items()}
+    want = brute(vecs, vecs, 5, True, False, excluded)
+    assert got == want
