@@ -1,28 +1,26 @@
-"""Exact top-n cosine neighbours between two sets of L2-normalised vectors.
-
-Vectors are long tables ``(id, key, w)``: a TF-IDF row is ``(doc, term,
-weight)``, a user rating vector is ``(user, product, rating/norm)``, a dense
-embedding is ``(id, dim, value/norm)``.  The score of a pair is
-``sum(w_left * w_right)`` over shared keys, i.e. the cosine.
-
-Plan, chosen so that no key (term, product, dim) can blow up a shuffle:
-
-* keys are split by their document frequency on the right side.  *Cold* keys
-  (``df <= hot_df``) are scored by an equi-join on the key and a partial
-  aggregation by pair; each cold key emits at most ``hot_df`` partners per
-  left posting, so the join output is bounded by ``hot_df * postings``.
-* *hot* keys (a popular product, a term in every document, every dimension of
-  a dense vector) are never self-joined.  Rows that carry hot keys are placed
-  on a grid of (left chunk x right block) cells; each cell receives its left
-  and right hot entries plus the cold pair scores that fall into it, and a
-  NumPy kernel multiplies the two small blocks and keeps only the top ``n`` per
-  left row.  Every entry is replicated to a fixed number of cells, cells have
-  bounded size, and the shuffle carries only entries and top-n results.
-* the final ranking takes per left id the union of grid winners and
-  cold-only pairs and keeps the top ``n`` (WindowGroupLimit).
-
-The result is exact: a pair missing from both the grid and the cold pairs
-shares no key.
+"""Exact top-n neighbours by dot product (cosine on L2-normalised input).
+
+Sparse vectors are long tables ``(id, key, w)``: a TF-IDF row is ``(doc, term,
+weight)``, a user rating vector is ``(user, product, rating/norm)``.  Dense
+vectors are ``(id, vec array<double>)`` (embeddings, latent factors).
+
+Two exact plans, chosen by measured cost (one small sizing job):
+
+* **key join** -- self/equi-join on the key and a partial aggregation by pair.
+  It emits exactly ``P = sum_k df_left(k) * df_right(k)`` pairs; a key that is
+  very frequent on the large side is split by AQE's skew-join handling.  Used
+  when ``P`` is at most a quarter of all ``N_left x N_right`` pairs.
+* **block grid** -- when a few keys are in a large share of the rows (a term
+  in every document, a product a third of all users rated), the join would
+  emit nearly all pairs.  Then rows are placed on a grid of (left chunk x
+  right block) cells: every left entry is replicated to each right block and
+  every right entry to each left chunk (fixed factors), a NumPy kernel scores
+  the block (dense product for frequent keys, per-key outer products for the
+  rest) and returns only the top ``n`` per left row.  No pair is shuffled and
+  no group can exceed one cell.
+
+Both plans end with a per-left-id top-``n`` (WindowGroupLimit) over the
+candidates; scores are rounded to 6 decimals and ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -36,11 +34,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import SCORE_DECIMALS, top_n_per_group
 
-DEFAULT_HOT_DF = None  # auto: max(MIN_HOT_DF, sqrt(number of right ids))
-MIN_HOT_DF = 64
+DEFAULT_HOT_DF = None  # kept for callers; the plan is chosen by cost
 LEFT_CHUNK = 1024
 RIGHT_BLOCK = 4096
-DENSE_KEYS = 2048
+DENSE_KEYS = 1024
+JOIN_SHARE = 0.25
 
 _PAIR_SCHEMA = "lid long, rid long, score double"
 
@@ -51,11 +49,32 @@ def _empty_pairs() -> pd.DataFrame:
                          "score": pd.Series([], dtype="float64")})
 
 
-def _cell_kernel(n: int, exclude_self: bool, positive_only: bool):
-    """Score one grid cell.
+def _top_rows(ranked: np.ndarray, lids: np.ndarray, rids: np.ndarray, n: int) -> pd.DataFrame:
+    """Top ``n`` finite entries per row of a score block whose columns are
+    sorted by id: ties go to the smaller id.
 
-    ``left`` rows are either vector entries (``rid`` null: ``lid, key, v``) or
-    cold pair scores (``key`` null: ``lid, rid, v``); ``right`` rows are vector
+    ``np.partition`` finds each row's n-th largest score in linear time; only
+    entries at or above it (ties included) are sorted.
+    """
+    n_rows, n_cols = ranked.shape
+    take = min(n, n_cols)
+    if take <= 0 or n_rows == 0:
+        return _empty_pairs()
+    thr = np.partition(ranked, n_cols - take, axis=1)[:, n_cols - take]
+    rr, cc = np.nonzero((ranked >= thr[:, None]) & np.isfinite(ranked))
+    vals = ranked[rr, cc]
+    order = np.lexsort((cc, -vals, rr))
+    rr, cc, vals = rr[order], cc[order], vals[order]
+    pos = np.arange(rr.size) - np.searchsorted(rr, rr)
+    keep = pos < take
+    return pd.DataFrame({"lid": lids[rr[keep]], "rid": rids[cc[keep]], "score": vals[keep]})
+
+
+def _sparse_kernel(n: int, exclude_self: bool, positive_only: bool):
+    """Score one grid cell of sparse vectors.
+
+    ``left`` rows are vector entries (``rid`` null: ``lid, key, v``) or
+    excluded pairs (``key`` null: ``lid, rid``); ``right`` rows are vector
     entries ``rid, key, v``.  All columns are scalars (cheap Arrow batches).
     """
 
@@ -63,161 +82,133 @@ def _cell_kernel(n: int, exclude_self: bool, positive_only: bool):
         if left.empty or right.empty:
             return _empty_pairs()
         is_vec = left["rid"].isna().to_numpy()
-        lvec, cold = left[is_vec], left[~is_vec]
+        lvec, banned = left[is_vec], left[~is_vec]
         if lvec.empty:
             return _empty_pairs()
         lids, l_row = np.unique(lvec["lid"].to_numpy(dtype=np.int64), return_inverse=True)
-        # sorted right ids: a stable sort on -score then breaks ties by id
         rids, r_row = np.unique(right["rid"].to_numpy(dtype=np.int64), return_inverse=True)
         codes, vocab = pd.factorize(pd.concat([lvec["key"], right["key"]], ignore_index=True))
         l_key, r_key = codes[: len(lvec)], codes[len(lvec):]
         lv = lvec["v"].to_numpy(dtype=np.float64)
         rv = right["v"].to_numpy(dtype=np.float64)
-        k = max(len(vocab), 1)
-        if k <= DENSE_KEYS:
-            lm = np.zeros((lids.size, k))
-            rm = np.zeros((rids.size, k))
-            np.add.at(lm, (l_row, l_key), lv)
-            np.add.at(rm, (r_row, r_key), rv)
-            scores = lm @ rm.T
-            shared = ((lm != 0).astype(np.float32) @ (rm != 0).astype(np.float32).T) > 0
-        else:
-            # many distinct keys in the cell: accumulate key by key (sparse)
-            scores = np.zeros((lids.size, rids.size))
-            shared = np.zeros((lids.size, rids.size), dtype=bool)
-            lo, ro = np.argsort(l_key, kind="stable"), np.argsort(r_key, kind="stable")
-            lk, lr, lw = l_key[lo], l_row[lo], lv[lo]
-            rk, rr, rw = r_key[ro], r_row[ro], rv[ro]
-            for key in np.intersect1d(lk, rk):
-                a0, a1 = np.searchsorted(lk, key), np.searchsorted(lk, key, side="right")
-                b0, b1 = np.searchsorted(rk, key), np.searchsorted(rk, key, side="right")
-                ix = np.ix_(lr[a0:a1], rr[b0:b1])
-                scores[ix] += np.outer(lw[a0:a1], rw[b0:b1])
-                shared[ix] = True
-
-        if not cold.empty:
-            c_l = cold["lid"].to_numpy(dtype=np.int64)
-            c_r = cold["rid"].to_numpy(dtype=np.int64)
-            lpos = np.minimum(np.searchsorted(lids, c_l), lids.size - 1)
-            rpos = np.minimum(np.searchsorted(rids, c_r), rids.size - 1)
-            ok = (lids[lpos] == c_l) & (rids[rpos] == c_r)
-            np.add.at(scores, (lpos[ok], rpos[ok]), cold["v"].to_numpy(dtype=np.float64)[ok])
-            shared[lpos[ok], rpos[ok]] = True
-
-        valid = shared if positive_only else np.ones_like(shared)
-        if positive_only:
-            valid &= scores > 0
+        k = len(vocab)
+        # frequent keys (by right-side count in this cell) go through one dense
+        # product, the long tail through per-key outer products
+        r_count = np.bincount(r_key, minlength=k)
+        l_count = np.bincount(l_key, minlength=k)
+        work = r_count * l_count
+        dense_keys = np.argsort(-work, kind="stable")[:DENSE_KEYS]
+        dense_keys = dense_keys[work[dense_keys] > 0]
+        is_dense = np.zeros(k, dtype=bool)
+        is_dense[dense_keys] = True
+        col_of = np.full(k, -1, dtype=np.int64)
+        col_of[dense_keys] = np.arange(dense_keys.size)
+        scores = np.zeros((lids.size, rids.size))
+        shared = np.zeros((lids.size, rids.size), dtype=bool)
+        if dense_keys.size:
+            lm = np.zeros((lids.size, dense_keys.size))
+            rm = np.zeros((rids.size, dense_keys.size))
+            ld, rd = is_dense[l_key], is_dense[r_key]
+            np.add.at(lm, (l_row[ld], col_of[l_key[ld]]), lv[ld])
+            np.add.at(rm, (r_row[rd], col_of[r_key[rd]]), rv[rd])
+            scores += lm @ rm.T
+            if positive_only:
+                shared |= ((lm != 0).astype(np.float32) @ (rm != 0).astype(np.float32).T) > 0
+        ls, rs = ~is_dense[l_key], ~is_dense[r_key]
+        if ls.any() and rs.any():
+            lk, lr, lw = l_key[ls], l_row[ls], lv[ls]
+            rk, rr, rw = r_key[rs], r_row[rs], rv[rs]
+            lo, ro = np.argsort(lk, kind="stable"), np.argsort(rk, kind="stable")
+            lk, lr, lw, rk, rr, rw = lk[lo], lr[lo], lw[lo], rk[ro], rr[ro], rw[ro]
+            common = np.intersect1d(lk, rk)
+            a0, a1 = np.searchsorted(lk, common), np.searchsorted(lk, common, side="right")
+            b0, b1 = np.searchsorted(rk, common), np.searchsorted(rk, common, side="right")
+            for i in range(common.size):
+                ix = np.ix_(lr[a0[i]:a1[i]], rr[b0[i]:b1[i]])
+                scores[ix] += np.outer(lw[a0[i]:a1[i]], rw[b0[i]:b1[i]])
+                if positive_only:
+                    shared[ix] = True
+
+        valid = shared & (scores > 0) if positive_only else np.ones_like(shared)
         if exclude_self:
             valid &= lids[:, None] != rids[None, :]
-        valid &= np.isfinite(scores)
+        if not banned.empty:
+            b_l = banned["lid"].to_numpy(dtype=np.int64)
+            b_r = banned["rid"].to_numpy(dtype=np.int64)
+            lpos = np.minimum(np.searchsorted(lids, b_l), lids.size - 1)
+            rpos = np.minimum(np.searchsorted(rids, b_r), rids.size - 1)
+            ok = (lids[lpos] == b_l) & (rids[rpos] == b_r)
+            valid[lpos[ok], rpos[ok]] = False
         ranked = np.where(valid, np.round(scores, SCORE_DECIMALS), -np.inf)
-        take = min(n, rids.size)
-        order = np.argsort(-ranked, axis=1, kind="stable")[:, :take]
-        top = np.take_along_axis(ranked, order, axis=1)
-        keep = np.isfinite(top)
-        rows = np.broadcast_to(np.arange(lids.size)[:, None], order.shape)
-        return pd.DataFrame({"lid": lids[rows[keep]], "rid": rids[order[keep]], "score": top[keep]})
+        return _top_rows(ranked, lids, rids, n)
 
     return kernel
 
 
 def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool = False,
-                 positive_only: bool = True, hot_df: int | None = DEFAULT_HOT_DF,
-                 exclude_pairs: DataFrame | None = None,
-                 left_chunk: int = LEFT_CHUNK, right_block: int = RIGHT_BLOCK) -> DataFrame:
-    """Top ``n`` right ids per left id by ``sum(w_l * w_r)``.
-
-    ``exclude_pairs`` (``lid, rid``) are never returned (rated items, J3).
-
-    ``left``/``right``: ``(id, key, w)`` with weights already L2-normalised and
-    ``id`` a long.  Returns ``(lid, rid, score, rank)``; score rounded to 6
-    decimals, ties by ``rid`` ascending.  ``positive_only`` keeps only pairs that
-    share a key and score above zero; without it (dense vectors, where any pair
-    may rank) pass ``hot_df=0`` so that every key goes to the grid.
-    ``hot_df=None`` picks ``max(64, sqrt(#right ids))``.
+                 positive_only: bool = True, hot_df=None, exclude_pairs: DataFrame | None = None,
+                 method: str = "auto", left_chunk: int = LEFT_CHUNK, right_block: int = RIGHT_BLOCK) -> DataFrame:
+    """Top ``n`` right ids per left id by ``sum(w_l * w_r)`` over shared keys.
+
+    ``left``/``right``: ``(id long, key, w)``, already L2-normalised for a
+    cosine.  ``positive_only`` keeps only pairs that share a key and score
+    above zero (without it every pair may rank, which forces the grid).
+    ``exclude_pairs (lid, rid)`` are never returned.  ``method`` is
+    ``'auto'`` (by cost), ``'join'`` or ``'grid'``.  ``hot_df`` is accepted for
+    compatibility and ignored.  Returns ``(lid, rid, score, rank)``.
     """
     same = left is right
-    # the inputs feed several small sizing jobs and the final plan: keep them
-    # (memory, spilling to disk; lost blocks are recomputed from lineage)
+    # the inputs feed a sizing job and the final plan: keep them (memory,
+    # spilling to disk; lost blocks are recomputed from lineage)
     left = left.persist()
     right = left if same else right.persist()
-    l = left.select(F.col("id").alias("lid"), "key", F.col("w").alias("lw"))
-    r = right.select(F.col("id").alias("rid"), "key", F.col("w").alias("rw"))
+    l = left.select(F.col("id").alias("lid"), F.col("key").alias("key"), F.col("w").alias("lw"))
+    r = right.select(F.col("id").alias("rid"), F.col("key").alias("key"), F.col("w").alias("rw"))
+    if not same:
+        # right entries whose key no left row has can never score
+        r = r.join(l.select("key").distinct(), "key", "left_semi")
     spark = left.sparkSession
-    if hot_df is None:
-        # a key with df > sqrt(N) emits more join pairs than a whole grid row
-        n_right = r.select(F.count_distinct("rid")).first()[0] or 0
-        hot_df = max(MIN_HOT_DF, int(math.isqrt(n_right)))
-    cap = hot_df
-
-    key_df = r.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    hot_keys = key_df.filter(F.col("df") > cap).select("key")
-    cold_keys = key_df.filter(F.col("df") <= cap).select("key")
-    lh = l.join(hot_keys, "key", "left_semi").select(F.col("lid").alias("id"), "key", F.col("lw").alias("w"))
-    rh = r.join(hot_keys, "key", "left_semi").select(F.col("rid").alias("id"), "key", F.col("rw").alias("w"))
-
-    # one small job sizes the grid: how many ids on each side carry hot keys
+
+    dl = l.groupBy("key").agg(F.count(F.lit(1)).alias("dl"))
+    dr = r.groupBy("key").agg(F.count(F.lit(1)).alias("dr"))
     sizes = spark.range(1).select(
-        lh.select(F.count_distinct("id")).scalar().alias("nl"),
-        rh.select(F.count_distinct("id")).scalar().alias("nr"),
+        l.select(F.count_distinct("lid")).scalar().alias("nl"),
+        r.select(F.count_distinct("rid")).scalar().alias("nr"),
+        dl.join(dr, "key").select(F.sum(F.col("dl") * F.col("dr"))).scalar().alias("pairs"),
     ).first()
+    nl, nr, pairs = sizes["nl"] or 0, sizes["nr"] or 0, sizes["pairs"] or 0
+    use_join = method == "join" or (method == "auto" and positive_only and pairs <= JOIN_SHARE * nl * nr)
 
-    lc = l.join(cold_keys, "key", "left_semi")
-    rc = r.join(cold_keys, "key", "left_semi")
-    cold_pairs = (lc.join(rc, "key")
-                  .groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("s")))
-    if exclude_self:
-        cold_pairs = cold_pairs.filter(F.col("lid") != F.col("rid"))
-    if exclude_pairs is not None:
-        excluded = exclude_pairs.select("lid", "rid").distinct()
-        cold_pairs = cold_pairs.join(excluded, ["lid", "rid"], "left_anti")
-
-    if not sizes["nl"] or not sizes["nr"]:
-        scored = cold_pairs.filter(F.col("s") > 0) if positive_only else cold_pairs
-        scored = scored.select("lid", "rid", F.round("s", SCORE_DECIMALS).alias("score"))
-        return top_n_per_group(scored, "lid", "score", "rid", n)
-
-    l_ids = lh.select(F.col("id").alias("lid")).distinct()
-    r_ids = rh.select(F.col("id").alias("rid")).distinct()
+    if use_join:
+        cand = (l.join(r, "key").groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("s")))
+        if exclude_self:
+            cand = cand.filter(F.col("lid") != F.col("rid"))
+        if exclude_pairs is not None:
+            cand = cand.join(exclude_pairs.select("lid", "rid"), ["lid", "rid"], "left_anti")
+        if positive_only:
+            cand = cand.filter(F.col("s") > 0)
+        cand = cand.select("lid", "rid", F.round("s", SCORE_DECIMALS).alias("score"))
+        return top_n_per_group(cand, "lid", "score", "rid", n)
 
-    n_lchunks = max(1, math.ceil(sizes["nl"] / left_chunk))
-    n_rblocks = max(1, math.ceil(sizes["nr"] / right_block))
+    n_lchunks = max(1, math.ceil(max(nl, 1) / left_chunk))
+    n_rblocks = max(1, math.ceil(max(nr, 1) / right_block))
     lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
     rblock = F.pmod(F.xxhash64("rid"), F.lit(n_rblocks))
-
-    # each left entry goes to every right block, each right entry to every
-    # left chunk: replication factors are n_rblocks and n_lchunks
-    left_cells = (lh.withColumnRenamed("id", "lid")
-                  .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1))))
+    left_cells = (l.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1))))
                   .select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid",
                           F.lit(None).cast("long").alias("rid"), F.col("key").cast("string").alias("key"),
-                          F.col("w").alias("v")))
-    # cold scores of pairs whose both sides carry hot keys are added inside the cell
-    inner_cold = cold_pairs.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_semi")
-    cold_cells = inner_cold.select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid",
-                                   F.lit(None).cast("string").alias("key"), F.col("s").alias("v"))
+                          F.col("lw").alias("v")))
     if exclude_pairs is not None:
-        # an excluded pair gets -inf inside its cell and can never rank
-        banned = (excluded.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_semi")
+        banned = (exclude_pairs.select("lid", "rid").distinct()
                   .select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid",
-                          F.lit(None).cast("string").alias("key"), F.lit(float("-inf")).alias("v")))
-        cold_cells = cold_cells.unionByName(banned)
-    right_cells = (rh.withColumnRenamed("id", "rid")
-                   .withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
+                          F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("v")))
+        left_cells = left_cells.unionByName(banned)
+    right_cells = (r.withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
                    .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid",
-                           F.col("key").cast("string").alias("key"), F.col("w").alias("v")))
-
-    grid = (left_cells.unionByName(cold_cells).groupBy("cell")
-            .cogroup(right_cells.groupBy("cell"))
-            .applyInPandas(_cell_kernel(n, exclude_self, positive_only), _PAIR_SCHEMA))
-
-    # pairs where at least one side has no hot key are fully scored by the join
-    outer_cold = (cold_pairs.join(l_ids, "lid", "left_anti")
-                  .unionByName(cold_pairs.join(l_ids, "lid", "left_semi").join(r_ids, "rid", "left_anti")))
-    if positive_only:
-        outer_cold = outer_cold.filter(F.col("s") > 0)
-    outer_cold = outer_cold.select("lid", "rid", F.round("s", SCORE_DECIMALS).alias("score"))
-    return top_n_per_group(grid.unionByName(outer_cold), "lid", "score", "rid", n)
+                           F.col("key").cast("string").alias("key"), F.col("rw").alias("v")))
+    grid = (left_cells.groupBy("cell").cogroup(right_cells.groupBy("cell"))
+            .applyInPandas(_sparse_kernel(n, exclude_self, positive_only), _PAIR_SCHEMA))
+    return top_n_per_group(grid, "lid", "score", "rid", n)
 
 
 def l2_normalise(long_df: DataFrame, id_col: str, key_col: str, value_col: str) -> DataFrame:
@@ -259,12 +250,7 @@ def _dense_kernel(n: int, exclude_self: bool):
             hit = rids[cols] == np.concatenate([e for e in excl if e is not None and len(e)])
             ranked[rows[hit], cols[hit]] = -np.inf
         ranked[~np.isfinite(ranked)] = -np.inf
-        take = min(n, rids.size)
-        order = np.argsort(-ranked, axis=1, kind="stable")[:, :take]
-        top = np.take_along_axis(ranked, order, axis=1)
-        keep = np.isfinite(top)
-        r = np.broadcast_to(np.arange(lids.size)[:, None], order.shape)
-        return pd.DataFrame({"lid": lids[r[keep]], "rid": rids[order[keep]], "score": top[keep]})
+        return _top_rows(ranked, lids, rids, n)
 
     return kernel
 

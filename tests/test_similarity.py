@@ -50,12 +50,12 @@ def random_vectors(rng, n_ids, n_keys, per_row, hot_key=None):
     return vecs
 
 
-@pytest.mark.parametrize("hot_df", [None, 5, 0, 10_000])
-def test_matches_brute_force(spark, hot_df):
+@pytest.mark.parametrize("method", ["auto", "join", "grid"])
+def test_matches_brute_force(spark, method):
     rng = np.random.default_rng(7)
     vecs = random_vectors(rng, 60, 25, 3, hot_key=99)  # key 99 is in every row
     df = to_df(spark, vecs)
-    got = result(cosine_top_n(df, df, 5, exclude_self=True, hot_df=hot_df))
+    got = result(cosine_top_n(df, df, 5, exclude_self=True, method=method))
     want = brute(vecs, vecs, 5, True, True)
     assert {k: v for k, v in want.items() if v} == got
 
@@ -64,15 +64,15 @@ def test_twin_and_self_exclusion(spark):
     # users 1 and 2 identical: each is the other's best neighbour, never itself
     vecs = {1: {"a": 0.6, "b": 0.8}, 2: {"a": 0.6, "b": 0.8}, 3: {"a": 1.0}}
     df = to_df(spark, vecs)
-    got = result(cosine_top_n(df, df, 1, exclude_self=True, hot_df=0))
+    got = result(cosine_top_n(df, df, 1, exclude_self=True, method="grid"))
     assert got[1] == [(1.0, 2)] and got[2] == [(1.0, 1)]
 
 
 def test_ties_break_by_id(spark):
     vecs = {1: {"a": 1.0}, 5: {"a": 1.0}, 3: {"a": 1.0}, 4: {"a": 1.0}}
     df = to_df(spark, vecs)
-    for hot_df in (0, 100):
-        got = result(cosine_top_n(df, df, 2, exclude_self=True, hot_df=hot_df))
+    for method in ("grid", "join"):
+        got = result(cosine_top_n(df, df, 2, exclude_self=True, method=method))
         assert [rid for _, rid in got[5]] == [1, 3]
 
 
@@ -82,7 +82,7 @@ def test_dense_and_excluded_pairs(spark):
     excluded = {(i, (i * 7) % 30) for i in range(30)}
     df = to_df(spark, vecs)
     ex = spark.createDataFrame(sorted(excluded), "lid long, rid long")
-    got = result(cosine_top_n(df, df, 4, positive_only=False, hot_df=0, exclude_pairs=ex))
+    got = result(cosine_top_n(df, df, 4, positive_only=False, exclude_pairs=ex))
     want = brute(vecs, vecs, 4, False, False, excluded)
     assert got == want
 
@@ -97,7 +97,7 @@ def test_grid_with_several_cells(spark):
     rng = np.random.default_rng(11)
     vecs = random_vectors(rng, 50, 6, 2, hot_key=77)
     df = to_df(spark, vecs)
-    got = result(cosine_top_n(df, df, 3, exclude_self=True, hot_df=0, left_chunk=7, right_block=9))
+    got = result(cosine_top_n(df, df, 3, exclude_self=True, method="grid", left_chunk=7, right_block=9))
     want = brute(vecs, vecs, 3, True, True)
     assert got == {k: v for k, v in want.items() if v}
 
@@ -114,3 +114,17 @@ def test_dense_top_n_matches_brute_force(spark):
     vecs = {i: dict(enumerate(v)) for i, v in mats.items()}
     want = brute(vecs, vecs, 5, True, False, excluded)
     assert got == want
+
+
+def test_sparse_kernel_long_tail_keys(spark, monkeypatch):
+    import tastemap.operators.similarity as S
+
+    monkeypatch.setattr(S, "DENSE_KEYS", 3)          # force most keys through the outer-product loop
+    rng = np.random.default_rng(21)
+    vecs = random_vectors(rng, 45, 30, 4, hot_key=5)
+    df = to_df(spark, vecs)
+    ex = spark.createDataFrame([(i, (i + 1) % 45) for i in range(45)], "lid long, rid long")
+    got = result(S.cosine_top_n(df, df, 4, exclude_self=True, method="grid", exclude_pairs=ex,
+                                left_chunk=10, right_block=16))
+    want = brute(vecs, vecs, 4, True, True, {(i, (i + 1) % 45) for i in range(45)})
+    assert got == {k: v for k, v in want.items() if v}
