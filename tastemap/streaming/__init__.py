@@ -1 +1,6 @@
-"""streaming."""
+"""Streaming.
+
+The reference has no streaming, watermark or stateful operator (real-time
+updates are only listed as a future idea), so this package is intentionally
+empty; every operator in the library is a batch DataFrame plan.
+"""
