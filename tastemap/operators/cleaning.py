@@ -45,15 +45,48 @@ def group_first(df: DataFrame, key: str, cols, order_col: str = "row_pos") -> Da
     return joined.select(*[F.col(f"_first_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def group_ffill_bfill(df: DataFrame, key: str, cols, order_col: str = "row_pos") -> DataFrame:
+BUCKET_ROWS = 4096
+
+
+def group_ffill_bfill(df: DataFrame, key: str, cols, order_col: str = "row_pos",
+                      bucket: int = BUCKET_ROWS) -> DataFrame:
     """W2 ``transform(lambda g: g.ffill().bfill())``: the last non-null value
-    at or before the row, else the first one after it; null-key rows untouched
-    in pandas' sense (they form no group), so they get null where null.
+    at or before the row (by ``order_col``), else the first one after it;
+    null-key rows form no group and get null.
+
+    Two-level scan, so a key holding a third of all rows is never one task:
+    rows are windowed inside ``(key, floor(pos / bucket))`` groups (at most
+    ``bucket`` rows each, positions being unique), every bucket is summarised
+    by its last / first non-null value (a partial aggregate), the carry into
+    a bucket comes from a window over those summaries (``bucket`` times fewer
+    rows), and one equi-join on ``(key, bucket)`` brings it back.
+    ``order_col`` must be numeric and unique within a key.
     """
-    before = Window.partitionBy(key).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(key).orderBy(order_col).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = df
+    cols = list(cols)
+    b = F.floor(F.col(order_col) / F.lit(bucket)).cast("long")
+    base = df.withColumn("_b", F.when(F.col(key).isNotNull(), b))
+    before = Window.partitionBy(key, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(key, "_b").orderBy(order_col).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = base
     for c in cols:
-        filled = F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after))
-        out = out.withColumn(c, F.when(F.col(key).isNotNull(), filled).otherwise(F.lit(None).cast(df.schema[c].dataType)))
-    return out
+        local = (local.withColumn(f"_f_{c}", F.last(c, ignorenulls=True).over(before))
+                 .withColumn(f"_a_{c}", F.first(c, ignorenulls=True).over(after)))
+
+    summary = base.filter(F.col(key).isNotNull()).groupBy(key, "_b").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_last_{c}") for c in cols],
+        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_first_{c}") for c in cols])
+    prev = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    nxt = Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    carry = summary.select(key, "_b",
+                           *[F.last(f"_last_{c}", ignorenulls=True).over(prev).alias(f"_cf_{c}") for c in cols],
+                           *[F.first(f"_first_{c}", ignorenulls=True).over(nxt).alias(f"_cb_{c}") for c in cols])
+
+    joined = local.join(carry, [key, "_b"], "left")
+    out = []
+    for c in df.columns:
+        if c in cols:
+            filled = F.coalesce(f"_f_{c}", f"_cf_{c}", f"_a_{c}", f"_cb_{c}")
+            out.append(F.when(F.col(key).isNotNull(), filled).otherwise(F.lit(None).cast(df.schema[c].dataType)).alias(c))
+        else:
+            out.append(F.col(c))
+    return joined.select(*out)

@@ -122,3 +122,20 @@ def test_entry_and_contract(spark):
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
     assert {"svd_recs", "svd_recs_with_rating", "hybrid_recs", "als_recs"} == set(qs) - set(sql)
+
+
+def test_ffill_bfill_across_buckets_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({"row_pos": rng.permutation(n) * 3,
+                        "k": rng.choice(["a", "b", None], size=n, p=[0.6, 0.3, 0.1]),
+                        "v": np.where(rng.random(n) < 0.8, None, rng.integers(0, 9, n).astype(str))})
+    df = spark.createDataFrame(pdf, "row_pos long, k string, v string")
+    got = {r["row_pos"]: r["v"] for r in cleaning.group_ffill_bfill(df, "k", ["v"], bucket=16).collect()}
+    srt = pdf.sort_values("row_pos")
+    want = srt.groupby("k")["v"].transform(lambda g: g.ffill().bfill())
+    exp = {int(p): (None if k is None or pd.isna(w) else w) for p, k, w in zip(srt["row_pos"], srt["k"], want)}
+    assert got == exp
