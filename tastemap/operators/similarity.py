@@ -180,7 +180,12 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
     use_join = method == "join" or (method == "auto" and positive_only and pairs <= JOIN_SHARE * nl * nr)
 
     if use_join:
-        cand = (l.join(r, "key").groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("s")))
+        # one shuffle by left id serves both the sum by pair and the top-n
+        # window; one id's candidates are bounded by the number of right ids
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cand = (l.join(r, "key").select("lid", "rid", (F.col("lw") * F.col("rw")).alias("p"))
+                .repartition(parts, "lid")
+                .groupBy("lid", "rid").agg(F.sum("p").alias("s")))
         if exclude_self:
             cand = cand.filter(F.col("lid") != F.col("rid"))
         if exclude_pairs is not None:
