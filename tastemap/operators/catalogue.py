@@ -59,9 +59,12 @@ def distinct_first_seen(df: DataFrame, value_col: str, order_col: str = "row_pos
     """A8/U1 ``col.unique()``: each distinct non-null value with the position
     where it first occurs and its first-seen order (``seen_order``, 1-based).
 
-    The distinct values are usually few; the order number is a window over
-    the distinct values only, not over the input rows."""
-    from pyspark.sql import Window
+    First positions are a partial aggregate; the order number comes from the
+    distributed dense index (range partitions plus per-partition offsets), so
+    a column with billions of distinct values is never numbered in one task.
+    """
+    from .lookup import dense_index
 
     firsts = df.filter(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.min(order_col).alias("first_pos"))
-    return firsts.withColumn("seen_order", F.row_number().over(Window.orderBy("first_pos", value_col)))
+    ranked = dense_index(firsts, "first_pos", "seen_order")
+    return ranked.select(value_col, "first_pos", (F.col("seen_order") + 1).alias("seen_order"))

@@ -31,7 +31,7 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "idx", partition
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"))
     return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(index_col, (F.col("_offset") + F.col("_local")).cast("int"))
+            .withColumn(index_col, (F.col("_offset") + F.col("_local")).cast("long"))
             .drop("_pid", "_local", "_offset"))
 
 

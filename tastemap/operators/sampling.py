@@ -1,6 +1,6 @@
 """Seeded sampling and synthetic data.
 
-All draws come from ``hashing.md5_u32`` on (key, draw number, seed), so a
+All draws come from ``hashing.md5_draw`` on (key, draw number, seed), so a
 result does not depend on partitioning or retries and can be checked in SQL.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import U32, md5_u32, randint
+from ..functions.hashing import DRAW_RANGE, md5_draw, randint
 from ..functions.text import format_id
 from .lookup import dense_index
 
@@ -23,14 +23,14 @@ def sample_exact(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFra
     """G1 ``sample(n, random_state)`` without replacement: the ``n`` rows with
     the smallest draw (ties by key).  ``orderBy().limit()`` keeps at most ``n``
     rows per task before the merge (TakeOrderedAndProject)."""
-    return (df.withColumn("_h", md5_u32(key_col, seed=seed))
+    return (df.withColumn("_h", md5_draw(key_col, seed=seed))
             .orderBy("_h", key_col).limit(n).drop("_h"))
 
 
 def sample_fraction(df: DataFrame, fraction: float, key_col: str, seed: int = 42) -> DataFrame:
     """G3 ``sample(frac)``: keep a row when its draw falls below ``fraction``.
     A pure filter (no shuffle); the count is ``fraction * N`` in expectation."""
-    return df.filter(md5_u32(key_col, seed=seed) < F.lit(int(fraction * U32)))
+    return df.filter(md5_draw(key_col, seed=seed) < F.lit(int(fraction * DRAW_RANGE)))
 
 
 def sample_with_replacement(df: DataFrame, n: int, order_col: str, seed: int = 42,
@@ -41,7 +41,7 @@ def sample_with_replacement(df: DataFrame, n: int, order_col: str, seed: int = 4
     indexed = dense_index(df, order_col, "_pos")
     n_rows = indexed.select(F.count(F.lit(1))).scalar()
     draws = (df.sparkSession.range(n).select(F.col("id").alias(draw_col))
-             .withColumn("_pos", F.pmod(md5_u32(draw_col, seed=seed), n_rows).cast("int")))
+             .withColumn("_pos", F.pmod(md5_draw(draw_col, seed=seed), n_rows)))
     return draws.join(indexed, "_pos").drop("_pos")
 
 
@@ -51,7 +51,7 @@ def assign_from_domain(df: DataFrame, domain: DataFrame, key_col: str, value_col
     position ``md5(key|salt|seed) mod |domain|`` (domain numbered by value)."""
     dom = dense_index(domain.select(value_col).distinct(), value_col, "_pos")
     size = dom.select(F.count(F.lit(1))).scalar()
-    picked = df.withColumn("_pos", F.pmod(md5_u32(key_col, F.lit(salt), seed=seed), size).cast("int"))
+    picked = df.withColumn("_pos", F.pmod(md5_draw(key_col, F.lit(salt), seed=seed), size))
     return picked.join(dom, "_pos").drop("_pos")
 
 
@@ -75,7 +75,7 @@ def distinct_draws(keys: DataFrame, key_col: str, items: DataFrame, item_col: st
     pending = users
     while True:
         draws = (pending.withColumn("_j", F.explode(F.sequence(F.lit(start), F.lit(start + batch - 1))))
-                 .withColumn("_pos", F.pmod(md5_u32(key_col, "_j", seed=seed), F.lit(n_items)).cast("int")))
+                 .withColumn("_pos", F.pmod(md5_draw(key_col, "_j", seed=seed), F.lit(n_items))))
         picked = draws if picked is None else picked.unionByName(draws)
         firsts = picked.groupBy(key_col, "_pos").agg(F.min("_j").alias("_j"))
         short = firsts.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < want)

@@ -280,7 +280,7 @@ STRING_COLS = ("o_orderstatus", "o_orderpriority")
 @register("distinct_profile", "WITH l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in STRING_COLS) + """),
 c AS (SELECT column_name, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY column_name, value)
-SELECT column_name, sum(n) AS count, count(*) AS "unique", arg_min(value, (-n, value)) AS top, max(n) AS freq
+SELECT column_name, CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique", arg_min(value, (-n, value)) AS top, max(n) AS freq
 FROM c GROUP BY column_name
 """)
 def q_distinct_profile(spark, sf):
@@ -389,7 +389,7 @@ def q_dedup_first(spark, sf):
 
 @register("distinct_first_seen", """
 SELECT lang, min(doc_id) AS first_pos,
-       CAST(row_number() OVER (ORDER BY min(doc_id), lang) AS INTEGER) AS seen_order
+       CAST(row_number() OVER (ORDER BY min(doc_id), lang) AS BIGINT) AS seen_order
 FROM documents WHERE lang IS NOT NULL GROUP BY lang
 """)
 def q_distinct_first_seen(spark, sf):
@@ -400,7 +400,7 @@ def q_distinct_first_seen(spark, sf):
 # --------------------------------------------------------------------------- M5, J2, P14, J10
 
 @register("id_index", """
-SELECT c_name AS id, CAST(row_number() OVER (ORDER BY c_name) - 1 AS INTEGER) AS idx FROM customer
+SELECT c_name AS id, CAST(row_number() OVER (ORDER BY c_name) - 1 AS BIGINT) AS idx FROM customer
 """)
 def q_id_index(spark, sf):
     return lookup.id_index(T.table(spark, sf, "customer").select(F.col("c_name").alias("id")))
@@ -421,7 +421,7 @@ WITH i AS ({O.INTERACTIONS}),
 p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS s FROM i GROUP BY product_id),
 top AS (SELECT product_id FROM p ORDER BY s DESC, product_id LIMIT 50),
 cat AS (SELECT p_partkey AS product_id FROM part
-        ORDER BY {O.md5_u32("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 1000)
+        ORDER BY {O.md5_draw("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 1000)
 SELECT product_id FROM top WHERE product_id NOT IN (SELECT product_id FROM cat)
 """)
 def q_missing_products(spark, sf):
@@ -433,8 +433,8 @@ def q_missing_products(spark, sf):
 
 # --------------------------------------------------------------------------- G1-G7
 
-def _u32(expr: str) -> str:
-    return O.md5_u32(expr)
+def _u32(expr: str) -> str:  # 60-bit md5 draw in SQL
+    return O.md5_draw(expr)
 
 
 @register("sample_exact", f"""
@@ -448,7 +448,7 @@ def q_sample_exact(spark, sf):
 
 @register("sample_fraction", f"""
 SELECT user_id, product_id, rating FROM ({O.INTERACTIONS}) i
-WHERE {_u32("CAST(user_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) || '|42'")} < {int(0.05 * (1 << 32))}
+WHERE {_u32("CAST(user_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) || '|42'")} < {int(0.05 * (1 << 60))}
 """)
 def q_sample_fraction(spark, sf):
     inter = T.interactions(spark, sf).withColumn("pair", F.concat_ws("|", F.col("user_id").cast("string"),

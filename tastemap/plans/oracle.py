@@ -70,6 +70,6 @@ def rank_col(partition: str | None, score: str, id_col: str, alias: str = "rank"
     return f"CAST(row_number() OVER ({part}ORDER BY {score} DESC NULLS LAST, {id_col}) AS INTEGER) AS {alias}"
 
 
-def md5_u32(expr: str) -> str:
-    """First 8 hex digits of md5 as an integer (same as ``hashing.md5_u32``)."""
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+def md5_draw(expr: str) -> str:
+    """First 15 hex digits of md5 as an integer (same as ``hashing.md5_draw``)."""
+    return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
