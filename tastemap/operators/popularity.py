@@ -32,7 +32,9 @@ def popular_items(interactions: DataFrame, catalogue: DataFrame, n: int = 12) ->
     Details are looked up after the top-n, for the ``n`` winners only (broadcast
     of at most ``n`` ids); products without a catalogue row keep null details.
     """
-    top = top_n(popularity_table(interactions), "popularity_score", "product_id", n)
+    # n rows, read by two branches (result and catalogue filter): keep them
+    # so the interactions join and aggregate run once
+    top = top_n(popularity_table(interactions), "popularity_score", "product_id", n).persist()
     det = cat_ops.details(catalogue, F.broadcast(top.select("product_id")))
     return top.join(F.broadcast(det), "product_id", "left").select(
         "rank", "product_id", "name", "brand", "category", "avg_rating", "rating_count", "popularity_score")
@@ -45,7 +47,7 @@ def trending(popularity: DataFrame, catalogue: DataFrame, n: int = 13, exclude_i
     pop = popularity
     if exclude_ids:
         pop = pop.filter(~F.col("product_id").isin(list(exclude_ids)))
-    top = top_n(pop.select("product_id", "popularity_score"), "popularity_score", "product_id", n)
+    top = top_n(pop.select("product_id", "popularity_score"), "popularity_score", "product_id", n).persist()
     det = cat_ops.details(catalogue, F.broadcast(top.select("product_id")))
     return (top.join(F.broadcast(det), "product_id", "inner")
             .select("rank", page_number("rank", page_size).alias("page_no"), "product_id", "name", "brand",

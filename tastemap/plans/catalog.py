@@ -221,7 +221,7 @@ r AS (SELECT user_id, product_id, score, {O.rank_col('user_id', 'score', 'produc
 SELECT user_id, product_id, rank, score FROM r WHERE rank <= 10
 """)
 def q_user_based_recs(spark, sf):
-    m = neighbours.rating_matrix(T.interactions(spark, sf))
+    m = neighbours.rating_matrix(T.interactions(spark, sf)).persist()   # read by three branches
     nb = neighbours.similar_users(m, n=10)
     return neighbours.user_based(m, nb, n=10)
 
