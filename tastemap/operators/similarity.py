@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import SCORE_DECIMALS, top_n_per_group
 
-DEFAULT_HOT_DF = None  # kept for callers; the plan is chosen by cost
 LEFT_CHUNK = 1024
 RIGHT_BLOCK = 4096
 DENSE_KEYS = 1024
@@ -146,7 +145,7 @@ def _sparse_kernel(n: int, exclude_self: bool, positive_only: bool):
 
 
 def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool = False,
-                 positive_only: bool = True, hot_df=None, exclude_pairs: DataFrame | None = None,
+                 positive_only: bool = True, exclude_pairs: DataFrame | None = None,
                  method: str = "auto", left_chunk: int = LEFT_CHUNK, right_block: int = RIGHT_BLOCK) -> DataFrame:
     """Top ``n`` right ids per left id by ``sum(w_l * w_r)`` over shared keys.
 
@@ -154,8 +153,8 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
     cosine.  ``positive_only`` keeps only pairs that share a key and score
     above zero (without it every pair may rank, which forces the grid).
     ``exclude_pairs (lid, rid)`` are never returned.  ``method`` is
-    ``'auto'`` (by cost), ``'join'`` or ``'grid'``.  ``hot_df`` is accepted for
-    compatibility and ignored.  Returns ``(lid, rid, score, rank)``.
+    ``'auto'`` (by cost), ``'join'`` or ``'grid'``.  Returns
+    ``(lid, rid, score, rank)``.
     """
     same = left is right
     # the inputs feed a sizing job and the final plan: keep them (memory,
