@@ -617,3 +617,42 @@ JOIN dom ON dom.upos = {_u32("CAST(d.draw_no AS VARCHAR) || '|assign|42'")} % 14
 def q_prep_pipeline(spark, sf):
     domain = sampling.generated_ids(spark, "USER_", 1, 1401, "user_id")
     return serving.prepare_catalogue(_raw_marketplace(spark, sf), domain, 3500, 6000, seed=42)
+
+
+# --------------------------------------------------------------------------- P14/J10 on raw ids, P15
+
+@register("unknown_ids", """
+SELECT user_id FROM (SELECT o_custkey AS user_id FROM orders UNION SELECT user_id FROM events) r
+WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer)
+""")
+def q_unknown_ids(spark, sf):
+    """Customer keys referenced by orders or events without a customer row."""
+    requests = (T.table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
+                .unionByName(T.table(spark, sf, "events").select("user_id"))
+                .filter(F.col("user_id").isNotNull()))
+    known = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return lookup.unknown_ids(requests, known, "user_id")
+
+
+SEARCH_LOG = (PART_QUERIES + " UNION ALL SELECT -1 - item_id AS request_key, text AS query FROM benchmark")
+
+
+@register("search_no_results", f"""
+WITH {O.tfidf_ctes(PART_DOCS)},
+{O.query_vector_ctes(SEARCH_LOG, 'idf')}
+SELECT request_key FROM qs
+WHERE request_key NOT IN (SELECT DISTINCT qv.request_key FROM qv JOIN dv USING (term) WHERE qv.w * dv.w > 0)
+""")
+def q_search_no_results(spark, sf):
+    """Requests of a search log (product-name searches and benchmark
+    passages) that get no result from the product catalogue -- the "no
+    recommendations" branch, in batch form."""
+    model = _part_model(spark, sf)
+    part = T.table(spark, sf, "part")
+    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("request_key")) \
+                .select("request_key", F.col("p_name").alias("query"))
+    passages = T.table(spark, sf, "benchmark").select((F.lit(-1) - F.col("item_id")).alias("request_key"),
+                                                       F.col("text").alias("query"))
+    log = names.unionByName(passages)
+    hits = content.search(model, log, n=10)
+    return lookup.requests_without_results(log, hits, "request_key")
