@@ -293,7 +293,9 @@ NUMERIC_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 @register("column_summary", "WITH l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM lineitem" for c in NUMERIC_COLS) + """)
 SELECT column_name, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-       min(value) AS min, max(value) AS max
+       min(value) AS min, max(value) AS max,
+       round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+       round(quantile_cont(value, 0.75), 6) AS q75
 FROM l GROUP BY column_name
 """)
 def q_column_summary(spark, sf):

@@ -80,3 +80,14 @@ def test_neighbours_exact_under_skew(spark):
         cands.sort(key=lambda t: (-t[0], t[1]))
         want = [(i + 1, s, v) for i, (s, v) in enumerate(cands[:3])]
         assert sorted(got[u]) == want
+
+
+def test_quantiles_match_numpy_with_a_hot_value(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.full(300, 7.0), rng.normal(size=600)])      # one value is a third of the column
+    y = rng.integers(0, 50, size=900).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    got = {r["column_name"]: (r["q25"], r["q50"], r["q75"]) for r in profile.quantiles(df, ["x", "y"]).collect()}
+    for name, arr in (("x", x), ("y", y)):
+        want = tuple(round(float(np.percentile(arr, q)), 6) for q in (25, 50, 75))
+        assert got[name] == pytest.approx(want, abs=1e-6)
