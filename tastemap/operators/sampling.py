@@ -19,12 +19,23 @@ def generated_ids(spark: SparkSession, prefix: str, start: int, stop: int, col:
     return spark.range(start, stop).select(format_id(prefix, "id").alias(col))
 
 
+TAKE_ORDERED_MAX = 100_000
+
+
 def sample_exact(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFrame:
     """G1 ``sample(n, random_state)`` without replacement: the ``n`` rows with
-    the smallest draw (ties by key).  ``orderBy().limit()`` keeps at most ``n``
-    rows per task before the merge (TakeOrderedAndProject)."""
-    return (df.withColumn("_h", md5_draw(key_col, seed=seed))
-            .orderBy("_h", key_col).limit(n).drop("_h"))
+    the smallest draw (ties by key).
+
+    Up to ``TAKE_ORDERED_MAX`` rows: ``orderBy().limit()`` (each task keeps at
+    most ``n`` rows, one task merges them).  Larger samples rank every row by
+    its draw with the distributed dense index and keep ranks below ``n``, so
+    no single task ever holds the sample.
+    """
+    drawn = df.withColumn("_h", md5_draw(key_col, seed=seed))
+    if n <= TAKE_ORDERED_MAX:
+        return drawn.orderBy("_h", key_col).limit(n).drop("_h")
+    ranked = dense_index(drawn.withColumn("_o", F.struct("_h", key_col)), "_o", "_r")
+    return ranked.filter(F.col("_r") < n).drop("_h", "_o", "_r")
 
 
 def sample_fraction(df: DataFrame, fraction: float, key_col: str, seed: int = 42) -> DataFrame:

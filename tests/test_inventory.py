@@ -91,3 +91,13 @@ def test_quantiles_match_numpy_with_a_hot_value(spark):
     for name, arr in (("x", x), ("y", y)):
         want = tuple(round(float(np.percentile(arr, q)), 6) for q in (25, 50, 75))
         assert got[name] == pytest.approx(want, abs=1e-6)
+
+
+def test_large_sample_path_equals_take_ordered(spark, monkeypatch):
+    from tastemap.operators import sampling
+
+    df = spark.range(0, 3000).withColumnRenamed("id", "row_pos")
+    small = sorted(r[0] for r in sampling.sample_exact(df, 700, "row_pos").collect())
+    monkeypatch.setattr(sampling, "TAKE_ORDERED_MAX", 10)
+    large = sorted(r[0] for r in sampling.sample_exact(df, 700, "row_pos").collect())
+    assert small == large and len(large) == 700
