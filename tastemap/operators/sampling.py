@@ -84,11 +84,16 @@ def distinct_draws(keys: DataFrame, key_col: str, items: DataFrame, item_col: st
     start = 0
     picked = None
     pending = users
+    firsts = None
     while True:
         draws = (pending.withColumn("_j", F.explode(F.sequence(F.lit(start), F.lit(start + batch - 1))))
                  .withColumn("_pos", F.pmod(md5_draw(key_col, "_j", seed=seed), F.lit(n_items))))
         picked = draws if picked is None else picked.unionByName(draws)
-        firsts = picked.groupBy(key_col, "_pos").agg(F.min("_j").alias("_j"))
+        previous = firsts
+        # read by the completeness check and by the result: keep it once
+        firsts = picked.groupBy(key_col, "_pos").agg(F.min("_j").alias("_j")).persist()
+        if previous is not None:
+            previous.unpersist()
         short = firsts.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < want)
         if want == 0 or short.isEmpty():
             break
