@@ -67,3 +67,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings to start a cluster session with, sized from the input volume.
+
+    Shuffle partitions are chosen so that one partition is about
+    ``target_partition_bytes`` of shuffled input (at least two waves of tasks
+    over all cores); AQE then coalesces small partitions and splits skewed
+    ones at run time.  ``spark.checkpoint.dir`` is not set here: it must name
+    a folder shared by the cluster.
+    """
+    partitions = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        **RUNTIME_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
