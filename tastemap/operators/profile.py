@@ -66,9 +66,14 @@ def quantiles(df: DataFrame, cols, probs=QUARTILES) -> DataFrame:
     """
     from .lookup import dense_index
 
-    longv = _long(df, cols, "DOUBLE").filter(F.col("value").isNotNull())
-    keyed = longv.withColumn("_k", F.struct("column_name", "value", F.rand(42).alias("tb")))
-    ranked = dense_index(keyed, "_k", "_i").select("column_name", "value", "_i")
+    cols = list(cols)
+    # compact sort key: column position, value, random tie-breaker
+    stack = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
+    longv = df.selectExpr(f"stack({len(cols)}, {stack}) AS (ci, value)").filter(F.col("value").isNotNull())
+    keyed = longv.select("ci", "value", F.struct("ci", "value", F.rand(42).alias("tb")).alias("_k"))
+    ranked = dense_index(keyed, "_k", "_i").select("ci", "value", "_i")
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("ci") + 1)
+    ranked = ranked.withColumn("column_name", names)
     bounds = ranked.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("start"))
     wanted = (bounds.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
               .withColumn("h", (F.col("n") - 1) * F.col("p"))

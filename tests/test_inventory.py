@@ -101,3 +101,12 @@ def test_large_sample_path_equals_take_ordered(spark, monkeypatch):
     monkeypatch.setattr(sampling, "TAKE_ORDERED_MAX", 10)
     large = sorted(r[0] for r in sampling.sample_exact(df, 700, "row_pos").collect())
     assert small == large and len(large) == 700
+
+
+def test_cluster_conf_sizes_partitions():
+    from tastemap.session import cluster_conf
+
+    c = cluster_conf(100 * 10**12, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert cluster_conf(10**6, 64)["spark.sql.shuffle.partitions"] == "128"     # at least two waves
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
