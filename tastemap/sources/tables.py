@@ -60,7 +60,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text corpus ``doc_id, text`` with ``row_pos = doc_id``."""
+    """Text corpus ``doc_id, text`` (``doc_id`` doubles as the row position)."""
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
