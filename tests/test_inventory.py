@@ -110,3 +110,14 @@ def test_cluster_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
     assert cluster_conf(10**6, 64)["spark.sql.shuffle.partitions"] == "128"     # at least two waves
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_rank_path_quantiles_match_bracket_path(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.full(200, -1.5), rng.exponential(size=500)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    a = profile.quantiles(df, ["x"]).first()
+    b = profile.quantiles_by_rank(df, ["x"]).first()
+    want = [round(float(np.percentile(x, q)), 6) for q in (25, 50, 75)]
+    assert [a["q25"], a["q50"], a["q75"]] == pytest.approx(want, abs=1e-6)
+    assert [b["q25"], b["q50"], b["q75"]] == pytest.approx(want, abs=1e-6)
