@@ -41,6 +41,7 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -88,3 +89,36 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     }
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tastemap`` importable in the Python workers.
+
+    Kernels run inside Arrow UDFs and refer to functions of this package, so
+    every executor needs it on its path: the package is zipped once per
+    process and added with ``SparkContext.addPyFile`` (Spark distributes it to
+    the executors).  A no-op when already shipped to this context.
+    """
+    import os
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions ship code differently
+        return
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tastemap-pkg-"), "tastemap.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("tastemap", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
