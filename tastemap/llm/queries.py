@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from tastemap.llm.decontaminate import OP1_SQL, op1_decontaminate
+from tastemap.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_exact_dedup": op3_exact_dedup,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
+    "op3_exact_dedup": OP3_SQL,
 }
