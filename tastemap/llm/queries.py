@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from tastemap.llm.chat_format import OP10_SQL, op10_chat_format
 from tastemap.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tastemap.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tastemap.llm.secrets_scan import op6_secret_scan
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op10_chat_format": OP10_SQL,
 }
