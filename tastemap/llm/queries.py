@@ -5,12 +5,14 @@ from __future__ import annotations
 from tastemap.llm.chat_format import OP10_SQL, op10_chat_format
 from tastemap.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tastemap.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tastemap.llm.language_id import op2_language_id
 from tastemap.llm.near_dedup import op9_near_dedup
 from tastemap.llm.pii import op5_personal_data
 from tastemap.llm.secrets_scan import op6_secret_scan
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_secret_scan": op6_secret_scan,
