@@ -7,15 +7,19 @@ from tastemap.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tastemap.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tastemap.llm.language_id import op2_language_id
 from tastemap.llm.near_dedup import op9_near_dedup
+from tastemap.llm.packing import op8_best_fit_packing
 from tastemap.llm.pii import op5_personal_data
 from tastemap.llm.secrets_scan import op6_secret_scan
+from tastemap.llm.token_rollup import op4_token_rollup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_rollup": op4_token_rollup,
     "op5_personal_data": op5_personal_data,
     "op6_secret_scan": op6_secret_scan,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
