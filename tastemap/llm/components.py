@@ -34,11 +34,12 @@ def _checked(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return edges, tuple(mark)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, *, contract: bool = True) -> DataFrame:
     """``(node, root)`` for every node of the undirected edges ``(u, v)`` (longs),
     except the roots themselves; the root is the smallest node reachable.
 
-    Edges are first contracted to stars inside each Arrow batch; then the
+    Edges are first contracted to stars inside each Arrow batch (without
+    ``contract`` this step, the only Python one, is left out); then the
     alternating large-star and small-star steps run until nothing changes (a
     logarithmic number of rounds in practice).  Each step groups by a node and
     joins its minimum back, both as hash aggregates and equi-joins, so a hub is
@@ -46,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     checkpointed.  Loops and repeated edges are ignored; no edges give no rows.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
-    stars, mark = _checked(edges.mapInArrow(_local_stars, "u long, v long").distinct())
+    stars, mark = _checked((edges.mapInArrow(_local_stars, "u long, v long") if contract else edges).distinct())
     while mark[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))

@@ -6,6 +6,7 @@ from tastemap.llm.chat_format import OP10_SQL, op10_chat_format
 from tastemap.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tastemap.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tastemap.llm.language_id import op2_language_id
+from tastemap.llm.line_dedup import op7_line_dedup
 from tastemap.llm.near_dedup import op9_near_dedup
 from tastemap.llm.packing import op8_best_fit_packing
 from tastemap.llm.pii import op5_personal_data
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_rollup": op4_token_rollup,
     "op5_personal_data": op5_personal_data,
     "op6_secret_scan": op6_secret_scan,
+    "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
