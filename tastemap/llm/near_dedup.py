@@ -8,18 +8,21 @@ MinHash bytes in each of ``TREES`` orders and a 256-bit sketch.
    once).  A *region* is a run with a common prefix of ``MIN_DEPTH`` bytes; where
    more than ``REGION`` rows share it, the prefix grows byte by byte, and a run
    that still agrees on the whole label is cut into chunks, dealt differently in
-   each order.  Rows whose sketch and size allow a link to a row of the region
-   stay, a few for each near-duplicate; all others are done.
-2. Longest-common-prefix neighbours, that is adjacent rows, are the first
-   candidates, in two orders and then in all.  Candidates are confirmed on full
-   sets and merged into components.
-3. Then every pair of a region that the sketch allows and that still lies in
-   two components is confirmed too.  Pairs inside one component need no check,
-   so a group of copies costs a few pairs per document and not all pairs.
+   each order.  Longest-common-prefix neighbours, the rows of one region, are
+   candidates if their sketch and size allow a link.
+2. Candidates are joined to *clumps*, connected components of the candidate
+   graph; most documents are in none.
+3. A clump is dealt in blocks of ``BLOCK`` classes, each pair of blocks to one
+   group; a clump of more than ``TREES`` blocks is dealt by its regions instead, which
+   is then the smaller number of copies.  A group compares all its full sets at
+   once, by matrix products over the shared shingles, and reports a spanning
+   forest of the confirmed links, so no pair is ever a row.  The links give the
+   components.
 
 The only things lost are links that meet in no order or fail the sketch: at a
 similarity of exactly 0.8 a pair misses all 48 orders with a chance of 4e-7 and
-the sketch with one of 1e-7; more similar pairs far more rarely.
+the sketch with one of 1e-7; more similar pairs far more rarely, and a pair
+that shares a clump is compared anyway.
 """
 
 from __future__ import annotations
@@ -41,13 +44,17 @@ TREES = 48
 LABEL_BYTES = 8
 MIN_DEPTH = 6
 REGION = 256
-FIRST_TREES = 2
+BLOCK = 256
 SKETCH_BITS = 256
 #: Most differing sketch bits of a candidate; at a similarity of 0.8 the mean is 25.6 and the deviation 4.8.
 MAX_DIFFERENT = 53
 SEED = 20240917
-#: Rows that a task sorts out at a time (about 64 bytes each); a longer run is cut there.
-CHUNK = 1 << 19
+#: Rows of a sorted order that a task holds at a time (about 100 bytes each); a longer run is cut there.
+CHUNK = 1 << 18
+#: Rows with full sets that a task holds at a time, besides the group that goes on.
+SET_CHUNK = 1 << 10
+#: Shingles in one matrix product.
+COLUMNS = 1 << 13
 
 _SIGNATURE = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
@@ -134,12 +141,13 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def _collected(batches: Iterator[pa.RecordBatch], key) -> Iterator[pa.Table]:
-    """Tables of about ``CHUNK`` rows that end where ``key`` (of a table) changes, if it does."""
+def _collected(batches: Iterator[pa.RecordBatch], key, rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows that end where ``key`` (of a table) changes, if it does."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= CHUNK:
+    pieces = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+    for piece in pieces:
+        held.append(piece)
+        if sum(b.num_rows for b in held) >= rows:
             whole = pa.Table.from_batches(held).combine_chunks()
             keys = key(whole)
             last = int(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[-1])
@@ -154,68 +162,66 @@ def _column(whole: pa.Table, name: str) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-_ACTIVE = "tree int, region long, place long, sid long, n long, sketch binary"
+def _unite(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Heads (the least row number of a set) after joining the sets of the pairs."""
+    while True:
+        low, high = np.minimum(head[a], head[b]), np.maximum(head[a], head[b])
+        if not (low != high).any():
+            return head
+        np.minimum.at(head, high, low)
+        while ((up := head[head]) != head).any():
+            head = up
+
+
+_ACTIVE = "region long, sid long, head long"
 
 
 def _active_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by order and label, those that may be similar to another row of their region."""
+    """Of rows sorted by order and label, those with a candidate in their region; ``head`` is one
+    that candidates join it to there."""
+    from pyspark import TaskContext
+
     def prefix(whole: pa.Table) -> np.ndarray:
         label = _column(whole, "label").to_numpy() >> (8 * (LABEL_BYTES - MIN_DEPTH))
         return label * TREES + _column(whole, "tree").to_numpy()
 
-    from pyspark import TaskContext
-
     base = TaskContext.get().partitionId() << 40
-    for whole in _collected(batches, prefix):
+    for whole in _collected(batches, prefix, CHUNK):
         if not whole.num_rows:
             continue
         tree, label = _column(whole, "tree").to_numpy(), _column(whole, "label").to_numpy()
         n, sketch = _column(whole, "n").to_numpy(), _sketches(_column(whole, "sketch"))
         region = _ends(_regions(tree, label))  # the place where a region ends names it in this table
-        live = np.zeros(len(region), bool)
+        live, head = np.zeros(len(region), bool), np.arange(len(region))
         for a, b in _pairs(region, n, sketch, REGION):
             live[a] = live[b] = True
+            head = _unite(head, a, b)
         keep = np.flatnonzero(live)
         if len(keep):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(tree[keep], pa.int32()), pa.array(base + region[keep], pa.int64()),
-                pa.array(keep, pa.int64()), _column(whole, "sid").take(pa.array(keep)),
-                pa.array(n[keep], pa.int64()), _column(whole, "sketch").take(pa.array(keep))],
-                names=["tree", "region", "place", "sid", "n", "sketch"])
+            sid = _column(whole, "sid").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(base + region[keep], pa.int64()), pa.array(sid[keep]), pa.array(sid[head[keep]])],
+                names=["region", "sid", "head"])
         base += len(region)
 
 
-def _candidates(active: DataFrame, roots: DataFrame | None, within: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of class ids, ``a < b``, that lie in one region, at most ``within``
-    rows apart there, and in two components."""
-    if roots is None:
-        rows = active.withColumn("root", F.col("sid"))
-    else:
-        rows = active.join(roots, active.sid == roots.node, "left").withColumn(
-            "root", F.coalesce("root", "sid")).drop("node")
-    partitions = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (rows.select("tree", "region", "place", "sid", "n", "sketch", "root")
-            .repartition(partitions, "tree", "region").sortWithinPartitions("tree", "region", "place"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def key(whole: pa.Table) -> np.ndarray:
-            return _column(whole, "region").to_numpy() * TREES + _column(whole, "tree").to_numpy()
-
-        for whole in _collected(batches, key):
-            sid, root = _column(whole, "sid").to_numpy(), _column(whole, "root").to_numpy()
-            n, sketch = _column(whole, "n").to_numpy(), _sketches(_column(whole, "sketch"))
-            for a, b in _pairs(key(whole), n, sketch, within):
-                apart = root[a] != root[b]
-                a, b = sid[a[apart]], sid[b[apart]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _groups(active: DataFrame, clumps: DataFrame, block: int) -> DataFrame:
+    """``(part, sub, sid)``: the groups that together hold every candidate pair."""
+    members = clumps.select(F.col("node").alias("sid"), F.col("root").alias("clump")).unionByName(
+        clumps.select(F.col("root").alias("sid"), F.col("root").alias("clump")).distinct())
+    sizes = members.groupBy("clump").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    members = members.join(sizes, "clump").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    by_blocks = (members.filter(F.col("blocks") <= TREES)
+                 .select("sid", "clump", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+                 .select(F.col("clump").alias("part"), "sid", (F.least("mine", "other") * TREES
+                                                               + F.greatest("mine", "other")).cast("long").alias("sub")))
+    by_regions = (active.join(members.filter(F.col("blocks") > TREES).select("sid"), "sid", "left_semi")
+                  .select(F.col("region").alias("part"), "sid", F.lit(-1).cast("long").alias("sub")))
+    return by_blocks.unionByName(by_regions)
 
 
 def _sets(rows: DataFrame, text: str, words: int, ids: DataFrame) -> DataFrame:
-    """``(sid, items)``: the full sets of the classes in ``ids``, from their texts."""
+    """``(sid, items)``: the full sets of the classes in ``ids`` from their texts, as packed 64-bit hashes."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     wanted = rows.join(ids.withColumnRenamed("sid", "_tm_row"), "_tm_row", "left_semi").select("_tm_row", text)
@@ -223,26 +229,63 @@ def _sets(rows: DataFrame, text: str, words: int, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = batch_sets(batch.column(text), words)
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            items = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_tm_row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))],
-                names=["sid", "items"])
-
-    return wanted.mapInArrow(run, "sid long, items array<long>")
+                [batch.column("_tm_row"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "items"])
+
+    return wanted.mapInArrow(run, "sid long, items binary")
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    column = (np.cumsum(common) - 1)[place]
+    used = common[place]
+    owner, column = owner[used], column[used]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        ones = np.zeros((len(sets), min(COLUMNS, int(common.sum()) - first)), np.float32)
+        ones[owner[a:b], column[a:b] - first] = 1
+        out += ones @ ones.T
+    return out.astype(np.int64)
+
+
+def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(u, v)``: a spanning forest of the links inside each group."""
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (groups.join(sets, "sid").repartition(partitions, "part", "sub")
+            .sortWithinPartitions("part", "sub", "sid"))
+
+    def key(whole: pa.Table) -> np.ndarray:
+        return _column(whole, "part").to_numpy() * (TREES * TREES + 1) + _column(whole, "sub").to_numpy()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _collected(batches, key, SET_CHUNK):
+            sid, ends = _column(whole, "sid").to_numpy(), _ends(key(whole))
+            items = [np.frombuffer(x, np.uint64) for x in _column(whole, "items").to_pylist()]
+            u, v, at = [], [], 0
+            while at < len(sid):
+                end = int(ends[at])
+                sets_here, size = items[at:end], np.array([len(x) for x in items[at:end]])
+                shared = _shared_counts(sets_here)
+                a, b = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1))
+                head = _unite(np.arange(end - at), a, b)
+                moved = np.flatnonzero(head != np.arange(end - at))
+                u.append(sid[at + moved])
+                v.append(sid[at + head[moved]])
+                at = end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (u, v)], names=["u", "v"])
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets share at least ``percent`` of their union."""
-    left = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("sid").alias("b"), F.col("items").alias("ib"))
-    shared = F.size(F.array_intersect("ia", "ib"))
-    return (pairs.join(left, "a").join(right, "b")
-            .filter(100 * shared >= percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b"))
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                percent: int = 80) -> DataFrame:
+                percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per document row: ``doc_id, n_shingles, component_id, kept`` and
     ``_tm_row`` (see ``with_row_id``).
 
@@ -269,17 +312,10 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     order = ["tree", "label", F.xxhash64("sid", "tree")]
     active = (labelled.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
               .mapInArrow(_active_rows, _ACTIVE).checkpoint())
-    sets = _sets(rows, "_tm_text", words, active.select("sid").distinct()).checkpoint()
-
-    links = spark.createDataFrame([], "u long, v long")
-    tested = spark.createDataFrame([], "a long, b long")
-    roots = None
-    for part, within in ((active.filter(F.col("tree") < FIRST_TREES), 1), (active, 1), (active, REGION)):
-        pairs = _candidates(part, roots, within).join(tested, ["a", "b"], "left_anti").checkpoint()
-        found = _confirmed(pairs, sets, percent).checkpoint()
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        roots = connected_components(links)
+    clumps = connected_components(active.select(F.col("sid").alias("u"), F.col("head").alias("v")))
+    groups = _groups(active, clumps, block).checkpoint()
+    sets = _sets(rows, "_tm_text", words, groups.select("sid").distinct())
+    roots = connected_components(_links(groups, sets, percent))
 
     placed = (classes.join(roots, classes.sid == roots.node, "left")
               .select("n", "h1", "h2", "best", F.coalesce("root", "sid").alias("root")))

@@ -75,6 +75,13 @@ def test_borderline_variants(spark):
         check(near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
+def test_large_clumps_are_dealt_in_blocks_and_by_regions(spark):
+    docs = variants(4, bases=2, copies=200, words=(40, 80))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (16, 3):  # up to 13 blocks, and more blocks than orders
+        check(near_groups(rows, block=block).collect(), docs)
+
+
 def test_many_copies_and_chains(spark):
     base = [f"t{i}" for i in range(60)]
     docs = [(i, " ".join(base)) for i in range(400)]  # one large group of copies
