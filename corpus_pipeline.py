@@ -1,4 +1,74 @@
-STAGES = []
+"""Corpus pipeline: five stages over ``documents``.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written
+as Parquet into the shared checkpoint folder and read again as the next stage's
+``docs``, so a lost executor or driver costs one stage at most.  The first four
+return the columns of ``documents`` without the rows they reject; the last
+returns the packing of what is left.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tastemap.llm.common import prepare, table
+from tastemap.llm.decontaminate import drop_contaminated
+from tastemap.llm.exact_dedup import drop_exact_copies
+from tastemap.llm.language_id import keep_identified
+from tastemap.llm.near_dedup import drop_near_copies
+from tastemap.llm.packing import pack_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    prepare(spark)
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    prepare(spark)
+    return drop_exact_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (five words, 80 percent) stays."""
+    prepare(spark)
+    return drop_near_copies(docs, words=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item's passages go."""
+    prepare(spark)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in their bins."""
+    prepare(spark)
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Identification, links and packing are no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all of ``documents``."""
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.llm.common import table
+from tastemap.llm.common import table, with_row_id, without_rows
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -173,6 +173,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     return source.mapInArrow(run, out)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` (a stable scan) without its contaminated rows."""
+    numbered = with_row_id(docs)
+    judged = decontaminate(numbered, benchmark, doc_id="_tm_row", **options)
+    return without_rows(numbered, judged.filter("contaminated").select(F.col("doc_id").alias("_tm_row")).checkpoint())
+
+
 def op1_decontaminate(spark, sf_dir):
     """All of ``documents`` against all of ``benchmark``."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
