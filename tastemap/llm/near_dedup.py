@@ -173,12 +173,8 @@ def _unite(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             head = up
 
 
-_ACTIVE = "region long, sid long, head long"
-
-
-def _active_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by order and label, those with a candidate in their region; ``head`` is one
-    that candidates join it to there."""
+def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(region, sid)`` of rows sorted by order and label, for regions of several rows."""
     from pyspark import TaskContext
 
     def prefix(whole: pa.Table) -> np.ndarray:
@@ -187,22 +183,40 @@ def _active_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     base = TaskContext.get().partitionId() << 40
     for whole in _collected(batches, prefix, CHUNK):
-        if not whole.num_rows:
-            continue
         tree, label = _column(whole, "tree").to_numpy(), _column(whole, "label").to_numpy()
-        n, sketch = _column(whole, "n").to_numpy(), _sketches(_column(whole, "sketch"))
         region = _ends(_regions(tree, label))  # the place where a region ends names it in this table
+        keep = np.flatnonzero(np.bincount(region)[region] > 1)
+        if len(keep):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(base + region[keep], pa.int64()), _column(whole, "sid").take(pa.array(keep))],
+                names=["region", "sid"])
+        base += len(region)
+
+
+def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by region, those with a candidate there, as ``(region, sid, head)``; ``head`` is a
+    row that candidates join them to."""
+    for whole in _collected(batches, lambda t: _column(t, "region").to_numpy(), CHUNK):
+        region, sid = _column(whole, "region").to_numpy(), _column(whole, "sid").to_numpy()
+        n, sketch = _column(whole, "n").to_numpy(), _sketches(_column(whole, "sketch"))
         live, head = np.zeros(len(region), bool), np.arange(len(region))
         for a, b in _pairs(region, n, sketch, REGION):
             live[a] = live[b] = True
             head = _unite(head, a, b)
         keep = np.flatnonzero(live)
-        if len(keep):
-            sid = _column(whole, "sid").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(base + region[keep], pa.int64()), pa.array(sid[keep]), pa.array(sid[head[keep]])],
-                names=["region", "sid", "head"])
-        base += len(region)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(region[keep]), pa.array(sid[keep]), pa.array(sid[head[keep]])], names=["region", "sid", "head"])
+
+
+def _candidates(signed: DataFrame, partitions: int) -> DataFrame:
+    """``(region, sid, head)``: the classes that have candidates, per region."""
+    labelled = signed.select(F.col("_tm_row").alias("sid"), F.posexplode("labels").alias("tree", "label"))
+    order = ["tree", "label", F.xxhash64("sid", "tree")]
+    met = (labelled.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+           .mapInArrow(_region_rows, "region long, sid long"))
+    sketched = met.join(signed.select(F.col("_tm_row").alias("sid"), "n", "sketch"), "sid")
+    return (sketched.select("region", "sid", "n", "sketch").repartition(partitions, "region")
+            .sortWithinPartitions("region", "sid").mapInArrow(_candidate_rows, "region long, sid long, head long"))
 
 
 def _groups(active: DataFrame, clumps: DataFrame, block: int) -> DataFrame:
@@ -220,11 +234,12 @@ def _groups(active: DataFrame, clumps: DataFrame, block: int) -> DataFrame:
     return by_blocks.unionByName(by_regions)
 
 
-def _sets(rows: DataFrame, text: str, words: int, ids: DataFrame) -> DataFrame:
-    """``(sid, items)``: the full sets of the classes in ``ids`` from their texts, as packed 64-bit hashes."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = rows.join(ids.withColumnRenamed("sid", "_tm_row"), "_tm_row", "left_semi").select("_tm_row", text)
+def _sets(rows: DataFrame, text: str, words: int, groups: DataFrame) -> DataFrame:
+    """``(part, sub, sid, items)``: every row of ``groups`` with the full set of its class, taken from the
+    text, as packed 64-bit hashes.  A short list is broadcast, so that only the sets move."""
+    few = groups.count() <= BROADCAST_IDS
+    ids = groups.select(F.col("sid").alias("_tm_row")).distinct()
+    wanted = rows.join(F.broadcast(ids) if few else ids, "_tm_row", "left_semi").select("_tm_row", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +247,7 @@ def _sets(rows: DataFrame, text: str, words: int, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_tm_row"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "items"])
 
-    return wanted.mapInArrow(run, "sid long, items binary")
+    return wanted.mapInArrow(run, "sid long, items binary").join(F.broadcast(groups) if few else groups, "sid")
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -254,10 +269,9 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, partitions: int, percent: int) -> DataFrame:
     """``(u, v)``: a spanning forest of the links inside each group."""
-    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (groups.join(sets, "sid").repartition(partitions, "part", "sub")
+    rows = (sets.select("part", "sub", "sid", "items").repartition(partitions, "part", "sub")
             .sortWithinPartitions("part", "sub", "sid"))
 
     def key(whole: pa.Table) -> np.ndarray:
@@ -306,16 +320,17 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     signed = _signatures(rows, "_tm_text", words).checkpoint()
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_tm_row")
     classes = (signed.filter("n > 0").groupBy("n", "h1", "h2")
-               .agg(F.min("_tm_row").alias("sid"), F.min(first).alias("best")).checkpoint())
-    labelled = (signed.join(classes.select("sid"), signed["_tm_row"] == F.col("sid"))
-                .select("sid", "n", "sketch", F.posexplode("labels").alias("tree", "label")))
-    order = ["tree", "label", F.xxhash64("sid", "tree")]
-    active = (labelled.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-              .mapInArrow(_active_rows, _ACTIVE).checkpoint())
+               .agg(F.min("_tm_row").alias("sid"), F.min(first).alias("best"), F.count(F.lit(1)).alias("size"))
+               .checkpoint())
+    copies = (signed.select("_tm_row", "n", "h1", "h2").join(
+        classes.filter("size > 1").select("n", "h1", "h2", "sid"), ["n", "h1", "h2"])
+        .filter("_tm_row <> sid").select("_tm_row").checkpoint())
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    active = _candidates(signed.filter("n > 0").join(copies, "_tm_row", "left_anti"), partitions).checkpoint()
     clumps = connected_components(active.select(F.col("sid").alias("u"), F.col("head").alias("v")))
     groups = _groups(active, clumps, block).checkpoint()
-    sets = _sets(rows, "_tm_text", words, groups.select("sid").distinct())
-    roots = connected_components(_links(groups, sets, percent))
+    roots = connected_components(_links(_sets(rows, "_tm_text", words, groups), partitions, percent))
 
     placed = (classes.join(roots, classes.sid == roots.node, "left")
               .select("n", "h1", "h2", "best", F.coalesce("root", "sid").alias("root")))
