@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.llm.common import table
+from tastemap.llm.common import prepare, table
 
 #: Control strings that open and close the turns of a role; any other role is written out.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -145,6 +145,7 @@ def format_chats(records: DataFrame, *, record_id: str, payload: str, layouts: d
     is empty; a role without marks is written out.  Repeated and empty records
     are kept, other columns ignored; an empty table gives no rows.
     """
+    prepare(records.sparkSession)
     known = registry(layouts or LAYOUTS)
     source = records.select(F.col(record_id).alias("conv_id"), F.col(payload).alias("_tm_payload"))
     out = T.StructType([

@@ -11,10 +11,16 @@ from tastemap.session import ensure_checkpoint_dir, ship_package
 BROADCAST_IDS = 1_000_000
 
 
+#: Rows in an Arrow batch where the session has Spark's default; whole texts travel, so fewer.
+ARROW_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and package on the workers; cheap when already done."""
+    """Shared checkpoint folder, package on the workers, short Arrow batches; cheap when already done."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
