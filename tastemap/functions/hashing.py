@@ -26,13 +26,6 @@ def md5_draw(*parts, seed: int | str = 42) -> Column:
     return F.conv(F.substring(F.md5(key), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
-
-
-def uniform(*parts, seed: int | str = 42) -> Column:
-    """Uniform double in ``[0, 1)``."""
-    return md5_draw(*parts, seed=seed) / F.lit(float(DRAW_RANGE))
-
-
 def randint(lo: int, hi: int, *parts, seed: int | str = 42) -> Column:
     """G5 ``randint(lo, hi)``: integer in ``[lo, hi)`` (upper bound exclusive)."""
     return (F.lit(lo) + F.pmod(md5_draw(*parts, seed=seed), F.lit(hi - lo))).cast("int")

@@ -7,15 +7,27 @@ different order rank the same way in every engine.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_DECIMALS = 6
 
 
-def rounded(col: Column | str, decimals: int = SCORE_DECIMALS) -> Column:
+def half_up(col: Column | str, decimals: int = SCORE_DECIMALS) -> Column:
+    """``col`` rounded half away from zero by plain double arithmetic.
+
+    ``half_up_array`` does the same operations in NumPy, so a score rounds alike
+    whichever plan computed it.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, decimals)
+    scale = float(10 ** decimals)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + 0.0  # no negative zero
+
+
+def half_up_array(values: np.ndarray, decimals: int = SCORE_DECIMALS) -> np.ndarray:
+    scale = float(10 ** decimals)
+    return np.sign(values) * np.floor(np.abs(values) * scale + 0.5) / scale + 0.0
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str] | str, score_col: str, id_col: str,

@@ -12,7 +12,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import SCORE_DECIMALS
+from ..functions.ranking import half_up
 from .factors import Factors
 from .lookup import dense_index
 from .similarity import dense_top_n
@@ -26,7 +26,8 @@ def fit(matrix: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1,
     users = dense_index(matrix.select("user_id").distinct(), "user_id", "u_idx")
     items = dense_index(matrix.select("product_id").distinct(), "product_id", "i_idx")
     train = matrix.join(users, "user_id").join(items, "product_id").select("u_idx", "i_idx", "rating")
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="u_idx", itemCol="i_idx",
+    blocks = max(10, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    als = ALS(numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="u_idx", itemCol="i_idx",
               ratingCol="rating", coldStartStrategy="drop", nonnegative=False)
     model = als.fit(train)
     uf = (model.userFactors.join(users, F.col("id") == F.col("u_idx"))
@@ -44,4 +45,4 @@ def recommend(f: Factors, n: int = 10, users: DataFrame | None = None) -> DataFr
         left = left.join(users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
     res = dense_top_n(left, f.item_factors, n)
     return res.select(F.col("lid").alias("user_id"), F.col("rid").alias("product_id"), "rank",
-                      F.round("score", SCORE_DECIMALS).alias("predicted_rating"))
+                      half_up("score").alias("predicted_rating"))

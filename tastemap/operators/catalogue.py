@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DETAIL_COLS = ("name", "brand", "category")
+DETAIL_COLS = ("name", "brand", "category", "image_url")
 
 
 def first_non_null(cols, order_col: str = "row_pos"):
@@ -23,13 +23,24 @@ def details(catalogue: DataFrame, ids: DataFrame | None = None, cols=DETAIL_COLS
 
     ``ids`` (a ranked result, bounded by its ``n``) restricts the catalogue by
     a semi-join before the aggregation, so only requested products shuffle.
+    A detail column that the catalogue lacks (``image_url`` is optional) is null.
     """
     cat = catalogue
+    for c in cols:
+        if c not in catalogue.columns:
+            cat = cat.withColumn(c, F.lit(None).cast("string"))
     if ids is not None:
         cat = cat.join(ids.select("product_id").distinct(), "product_id", "left_semi")
     return cat.groupBy("product_id").agg(*first_non_null(list(cols)))
 
 
+def with_details(ranked: DataFrame, catalogue: DataFrame, id_col: str = "product_id") -> DataFrame:
+    """A ranked list with the catalogue details of ``id_col``; a product
+    without a catalogue row keeps its place with null details."""
+    det = details(catalogue).withColumnRenamed("product_id", "_detail_id")
+    return ranked.join(det, F.col(id_col) == F.col("_detail_id"), "left").select(*ranked.columns, *DETAIL_COLS)
+
+
 def dedup_first(df: DataFrame, key_cols, order_col: str = "row_pos") -> DataFrame:
     """A9 ``drop_duplicates(keep='first')``: the row with the smallest ``order_col``
     per key, whole.  ``min_by(struct)`` is a partial aggregate, so a key with a

@@ -48,45 +48,56 @@ def group_first(df: DataFrame, key: str, cols, order_col: str = "row_pos") -> Da
 BUCKET_ROWS = 4096
 
 
+def _filled(df: DataFrame, key: str, cols: list[str], order_col: str, bucket: int) -> DataFrame:
+    """``df`` (no null keys) with ``_f_<c>``, the last non-null value at or before the row, and
+    ``_a_<c>``, the first one at or after it.
+
+    Rows are windowed inside ``(key, floor(pos / bucket))`` only.  What flows into a
+    bucket from the others is the same problem on one row per bucket, ``bucket``
+    times smaller; at the second level one window per key is left over at most
+    ``rows / bucket**2`` rows.
+    """
+    def carried(rows: DataFrame, group: list[str], by: str, last: str, first: str, inclusive: bool) -> DataFrame:
+        here = Window.currentRow
+        before = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, here if inclusive else -1)
+        after = Window.partitionBy(*group).orderBy(by).rowsBetween(here if inclusive else 1, Window.unboundedFollowing)
+        return rows.select("*", *[F.last(last.format(c), True).over(before).alias(f"_f_{c}") for c in cols],
+                           *[F.first(first.format(c), True).over(after).alias(f"_a_{c}") for c in cols])
+
+    def summary(rows: DataFrame, group: list[str], by: str, last: str, first: str) -> DataFrame:
+        def known(c):
+            return F.when(F.col(c).isNotNull(), F.col(by))
+        return rows.groupBy(*group).agg(
+            *[F.max_by(last.format(c), known(last.format(c))).alias(f"_last_{c}") for c in cols],
+            *[F.min_by(first.format(c), known(first.format(c))).alias(f"_first_{c}") for c in cols])
+
+    base = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket)).cast("long"))
+    buckets = summary(base, [key, "_b"], order_col, "{}", "{}").withColumn(
+        "_s", F.floor(F.col("_b") / F.lit(bucket)).cast("long"))
+    spans = summary(buckets, [key, "_s"], "_b", "_last_{}", "_first_{}")
+    into_spans = carried(spans, [key], "_s", "_last_{}", "_first_{}", False).select(
+        key, "_s", *[F.col(f"_f_{c}").alias(f"_sf_{c}") for c in cols], *[F.col(f"_a_{c}").alias(f"_sa_{c}") for c in cols])
+    into_buckets = carried(buckets, [key, "_s"], "_b", "_last_{}", "_first_{}", False).join(into_spans, [key, "_s"])
+    into_buckets = into_buckets.select(key, "_b", *[F.coalesce(f"_f_{c}", f"_sf_{c}").alias(f"_cf_{c}") for c in cols],
+                                       *[F.coalesce(f"_a_{c}", f"_sa_{c}").alias(f"_ca_{c}") for c in cols])
+    return carried(base, [key, "_b"], order_col, "{}", "{}", True).join(into_buckets, [key, "_b"]).select(
+        *df.columns, *[F.coalesce(f"_f_{c}", f"_cf_{c}").alias(f"_f_{c}") for c in cols],
+        *[F.coalesce(f"_a_{c}", f"_ca_{c}").alias(f"_a_{c}") for c in cols])
+
+
 def group_ffill_bfill(df: DataFrame, key: str, cols, order_col: str = "row_pos",
                       bucket: int = BUCKET_ROWS) -> DataFrame:
     """W2 ``transform(lambda g: g.ffill().bfill())``: the last non-null value
     at or before the row (by ``order_col``), else the first one after it;
     null-key rows form no group and get null.
 
-    Two-level scan, so a key holding a third of all rows is never one task:
-    rows are windowed inside ``(key, floor(pos / bucket))`` groups (at most
-    ``bucket`` rows each, positions being unique), every bucket is summarised
-    by its last / first non-null value (a partial aggregate), the carry into
-    a bucket comes from a window over those summaries (``bucket`` times fewer
-    rows), and one equi-join on ``(key, bucket)`` brings it back.
+    A key that holds a third of all rows is cut into buckets of positions (see
+    ``_filled``) and is never one task.  Null-key rows bypass the windows.
     ``order_col`` must be numeric and unique within a key.
     """
     cols = list(cols)
-    b = F.floor(F.col(order_col) / F.lit(bucket)).cast("long")
-    base = df.withColumn("_b", F.when(F.col(key).isNotNull(), b))
-    before = Window.partitionBy(key, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(key, "_b").orderBy(order_col).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    local = base
-    for c in cols:
-        local = (local.withColumn(f"_f_{c}", F.last(c, ignorenulls=True).over(before))
-                 .withColumn(f"_a_{c}", F.first(c, ignorenulls=True).over(after)))
-
-    summary = base.filter(F.col(key).isNotNull()).groupBy(key, "_b").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_last_{c}") for c in cols],
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_first_{c}") for c in cols])
-    prev = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    nxt = Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    carry = summary.select(key, "_b",
-                           *[F.last(f"_last_{c}", ignorenulls=True).over(prev).alias(f"_cf_{c}") for c in cols],
-                           *[F.first(f"_first_{c}", ignorenulls=True).over(nxt).alias(f"_cb_{c}") for c in cols])
-
-    joined = local.join(carry, [key, "_b"], "left")
-    out = []
-    for c in df.columns:
-        if c in cols:
-            filled = F.coalesce(f"_f_{c}", f"_cf_{c}", f"_a_{c}", f"_cb_{c}")
-            out.append(F.when(F.col(key).isNotNull(), filled).otherwise(F.lit(None).cast(df.schema[c].dataType)).alias(c))
-        else:
-            out.append(F.col(c))
-    return joined.select(*out)
+    filled = _filled(df.filter(F.col(key).isNotNull()), key, cols, order_col, bucket).select(
+        *[F.coalesce(f"_f_{c}", f"_a_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+    keyless = df.filter(F.col(key).isNull()).select(
+        *[F.lit(None).cast(df.schema[c].dataType).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return filled.unionByName(keyless)

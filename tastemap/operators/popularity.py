@@ -37,7 +37,7 @@ def popular_items(interactions: DataFrame, catalogue: DataFrame, n: int = 12) ->
     top = top_n(popularity_table(interactions), "popularity_score", "product_id", n).persist()
     det = cat_ops.details(catalogue, F.broadcast(top.select("product_id")))
     return top.join(F.broadcast(det), "product_id", "left").select(
-        "rank", "product_id", "name", "brand", "category", "avg_rating", "rating_count", "popularity_score")
+        "rank", "product_id", *cat_ops.DETAIL_COLS, "avg_rating", "rating_count", "popularity_score")
 
 
 def trending(popularity: DataFrame, catalogue: DataFrame, n: int = 13, exclude_ids=(),
@@ -50,5 +50,5 @@ def trending(popularity: DataFrame, catalogue: DataFrame, n: int = 13, exclude_i
     top = top_n(pop.select("product_id", "popularity_score"), "popularity_score", "product_id", n).persist()
     det = cat_ops.details(catalogue, F.broadcast(top.select("product_id")))
     return (top.join(F.broadcast(det), "product_id", "inner")
-            .select("rank", page_number("rank", page_size).alias("page_no"), "product_id", "name", "brand",
-                    "category", "popularity_score"))
+            .select("rank", page_number("rank", page_size).alias("page_no"), "product_id",
+                    *cat_ops.DETAIL_COLS, "popularity_score"))

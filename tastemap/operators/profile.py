@@ -7,10 +7,13 @@ all rows is folded map-side.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import SCORE_DECIMALS
+from ..functions.ranking import SCORE_DECIMALS, half_up_array
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -54,113 +57,67 @@ def string_summary(df: DataFrame, cols) -> DataFrame:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quantiles(df: DataFrame, cols, probs=QUARTILES, bracket_rows: int = 1_000_000) -> DataFrame:
-    """Exact quantiles with linear interpolation (``describe``'s 25/50/75 %):
-    ``(column_name, q<pct>...)``, without sorting the column.
-
-    1. one aggregation: count and ``percentile_approx`` at ``p - d`` and
-       ``p + d`` per column (accuracy chosen so that a bracket holds about
-       ``bracket_rows`` values);
-    2. one pass: per (column, p) the count of values below the bracket and the
-       value counts inside it (a hot value is one row with its count);
-    3. a window over the bracket's distinct values turns counts into ranks, and
-       the two ranks around ``(n - 1) * p`` are read off.
-
-    A bracket that does not contain its target ranks (possible only through
-    the sketch's error bound) sends its column to ``quantiles_by_rank``.
-    """
-    from pyspark.sql import Window
-
-    cols = list(cols)
-    probs = [float(p) for p in probs]
-    longv = _long(df, cols, "DOUBLE").filter(F.col("value").isNotNull())
-    n_max = longv.groupBy("column_name").count().agg(F.max("count")).first()[0] or 0
-    if n_max == 0:
-        return quantiles_by_rank(df, cols, probs)
-    accuracy = int(min(max(10_000, 8 * n_max // max(bracket_rows, 1)), 1 << 30))
-    delta = 3.0 / accuracy
-    edges = sorted({min(1.0, max(0.0, p + sgn * delta)) for p in probs for sgn in (-1, 1)})
-    approx = longv.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", edges, accuracy).alias("edges"))
-    edge_ix = {e: i + 1 for i, e in enumerate(edges)}
-    per_p = approx.select("column_name", "n", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("p"),
-                 F.element_at("edges", edge_ix[min(1.0, max(0.0, p - delta))]).alias("v_lo"),
-                 F.element_at("edges", edge_ix[min(1.0, max(0.0, p + delta))]).alias("v_hi"))
-        for p in probs])).alias("b")).select("column_name", "n", "b.*")
-    per_p = (per_p.withColumn("h", (F.col("n") - 1) * F.col("p"))
-             .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long"))
-             .withColumn("frac", F.col("h") - F.floor("h")))
-    # bounded: (#columns x #probs) rows
-    cand = longv.join(F.broadcast(per_p.select("column_name", "p", "v_lo", "v_hi")), "column_name")
-    below = (cand.filter(F.col("value") < F.col("v_lo")).groupBy("column_name", "p")
-             .agg(F.count(F.lit(1)).alias("c_lt")))
-    inside = (cand.filter((F.col("value") >= F.col("v_lo")) & (F.col("value") <= F.col("v_hi")))
-              .groupBy("column_name", "p", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("column_name", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.withColumn("cum", F.sum("cnt").over(w))
-              .join(per_p.select("column_name", "p", "lo", "hi", "frac"), ["column_name", "p"])
-              .join(below, ["column_name", "p"], "left")
-              .withColumn("c_lt", F.coalesce("c_lt", F.lit(0)))
-              .withColumn("first_rank", F.col("c_lt") + F.col("cum") - F.col("cnt"))
-              .withColumn("last_rank", F.col("c_lt") + F.col("cum") - 1))
-
-    def at(rank_col):
-        hit = (F.col("first_rank") <= F.col(rank_col)) & (F.col(rank_col) <= F.col("last_rank"))
-        return F.max(F.when(hit, F.col("value")))
-
-    picked = ranked.groupBy("column_name", "p").agg(at("lo").alias("v_a"), at("hi").alias("v_b"),
-                                                    F.first("frac").alias("frac"))
-    result = (picked.withColumn("q", F.col("v_a") + F.col("frac") * (F.col("v_b") - F.col("v_a")))
-              .groupBy("column_name")
-              .agg(F.count("q").alias("_ok"),
-                   *[F.round(F.max(F.when(F.col("p") == p, F.col("q"))), SCORE_DECIMALS).alias(f"q{round(p * 100)}")
-                     for p in probs]))
-    # every column with a value appears (the sketch returns data values, so a
-    # bracket always holds its own edge); one row per column reaches the driver
-    result = result.persist()
-    missed = [r["column_name"] for r in result.select("column_name", "_ok").collect() if r["_ok"] < len(probs)]
-    good = result.filter(F.col("_ok") == len(probs)).drop("_ok")
-    if missed:
-        good = good.unionByName(quantiles_by_rank(df, sorted(missed), probs))
-    return good
-
-
-def quantiles_by_rank(df: DataFrame, cols, probs=QUARTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation (``describe``'s 25/50/75 %):
-    ``(column_name, q<pct>...)``.
+#: Bins that a bracket is cut into in one pass.
+BINS = 4096
 
-    No column is gathered in one buffer: all (column, value) pairs are ranked
-    by the distributed dense index (range partitions; a random tie-breaker
-    keeps a value that fills a third of a column spread over partitions), and
-    only the two ranks around ``(n - 1) * p`` are fetched per column and
-    probability (a handful of wanted ranks, joined on the rank).
+
+def quantiles(df: DataFrame, cols, probs=QUARTILES, bins: int = BINS) -> DataFrame:
+    """Exact quantiles with linear interpolation (``describe``'s 25/50/75 %):
+    ``(column_name, q<pct>...)``, without sorting a column or keeping a sketch of it.
+
+    The two values around rank ``(n - 1) * p`` are found by refinement.  A pass cuts
+    every open bracket of values into ``bins`` even bins and counts them, with the
+    least and the greatest value in each (a partial aggregate of fixed size); the
+    bin that holds the rank is the next bracket, until it holds one value only.
+    Every pass splits a bracket, as its ends lie in different bins, usually by a
+    factor of ``bins``.  What reaches the driver is at most ``bins`` rows for each
+    open bracket, whatever the number of rows.  Nulls and NaN are left out; a
+    column without values gives no row.
     """
-    from .lookup import dense_index
-
-    cols = list(cols)
-    # compact sort key: column position, value, random tie-breaker
-    stack = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
-    longv = df.selectExpr(f"stack({len(cols)}, {stack}) AS (ci, value)").filter(F.col("value").isNotNull())
-    keyed = longv.select("ci", "value", F.struct("ci", "value", F.rand(42).alias("tb")).alias("_k"))
-    ranked = dense_index(keyed, "_k", "_i").select("ci", "value", "_i")
-    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("ci") + 1)
-    ranked = ranked.withColumn("column_name", names)
-    bounds = ranked.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("start"))
-    wanted = (bounds.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-              .withColumn("h", (F.col("n") - 1) * F.col("p"))
-              .withColumn("lo", F.col("start") + F.floor("h").cast("long"))
-              .withColumn("hi", F.col("start") + F.ceil("h").cast("long"))
-              .withColumn("frac", F.col("h") - F.floor("h")))
-    vals = ranked.select(F.col("_i"), F.col("value").alias("v"))
-    got = (wanted.join(vals.withColumnRenamed("_i", "lo").withColumnRenamed("v", "v_lo"), "lo")
-           .join(vals.withColumnRenamed("_i", "hi").withColumnRenamed("v", "v_hi"), "hi")
-           .select("column_name", "p",
-                   (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q")))
-    return got.groupBy("column_name").agg(
-        *[F.round(F.max(F.when(F.col("p") == float(p), F.col("q"))), SCORE_DECIMALS).alias(f"q{round(p * 100)}")
-          for p in probs])
+    cols, probs = list(cols), [float(p) for p in probs]
+    spark = df.sparkSession
+    names = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
+    longv = df.selectExpr(f"stack({len(cols)}, {names}) AS (ci, v)").filter("v IS NOT NULL AND NOT isnan(v)")
+    ends = {r["ci"]: r for r in longv.groupBy("ci").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    found: dict[tuple[int, int], float] = {}
+    wanted = {(ci, rank): (r["lo"], r["hi"], 0) for ci, r in ends.items() for p in probs
+              for rank in (math.floor((r["n"] - 1) * p), math.ceil((r["n"] - 1) * p))}
+    while True:
+        found |= {target: lo for target, (lo, hi, _) in wanted.items() if lo == hi}
+        wanted = {t: b for t, b in wanted.items() if t not in found}
+        if not wanted:
+            break
+        brackets = sorted({(ci, *b) for (ci, _), b in wanted.items()})
+        v, cases = F.col("v"), []
+        for k, (ci, lo, hi, _) in enumerate(brackets):
+            width = (hi - lo) / bins
+            if math.isfinite(width) and width > 0:
+                place = F.least(F.floor((v - lo) / width).cast("int"), F.lit(bins - 1))
+            else:  # infinite or adjacent ends
+                place = F.when(v == lo, 0).when(v == hi, bins - 1).otherwise(1)
+            cases.append(F.when((F.col("ci") == ci) & (v >= lo) & (v <= hi), F.struct(F.lit(k).alias("k"), place.alias("bin"))))
+        counted = (longv.select("v", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("b"))
+                   .groupBy("b.k", "b.bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                   .orderBy("k", "bin").collect())  # brackets * bins rows at most
+        for (ci, rank), (lo, hi, below) in list(wanted.items()):
+            at, k = below, brackets.index((ci, lo, hi, below))
+            for r in (r for r in counted if r["k"] == k):
+                if rank < at + r["n"]:
+                    wanted[ci, rank] = (r["lo"], r["hi"], at)
+                    break
+                at += r["n"]
+    rows = []
+    for ci, r in sorted(ends.items()):
+        row = [cols[ci]]
+        for p in probs:
+            h = (r["n"] - 1) * p
+            low, high = found[ci, math.floor(h)], found[ci, math.ceil(h)]
+            q = low if low == high else low + (h - math.floor(h)) * (high - low)
+            row.append(float(half_up_array(np.array(q))))
+        rows.append(tuple(row))
+    fields = ", ".join(f"q{round(p * 100)} double" for p in probs)
+    return spark.createDataFrame(rows, f"column_name string, {fields}")  # one row a column
 
 
 def numeric_summary(df: DataFrame, cols, with_quantiles: bool = True) -> DataFrame:
@@ -178,9 +135,3 @@ def numeric_summary(df: DataFrame, cols, with_quantiles: bool = True) -> DataFra
     if not with_quantiles:
         return stats
     return stats.join(quantiles(df, cols), "column_name", "left")
-
-
-def distinct_counts(df: DataFrame, cols) -> DataFrame:
-    """A3 ``nunique`` per column (nulls skipped), exact."""
-    return (_long(df, cols, "STRING").filter(F.col("value").isNotNull()).distinct()
-            .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))

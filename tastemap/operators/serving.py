@@ -12,11 +12,13 @@ from .lookup import known_requests
 
 
 def home_lists(requests: DataFrame, known_users: DataFrame, catalogue: DataFrame, n: int = 12,
-               seed: int = 42) -> DataFrame:
+               seed: int = 42, ranked: DataFrame | None = None) -> DataFrame:
     """Per requested user (``user_id``, may be null or unknown):
 
-    * known user -> ``n`` seeded random distinct products (``source='personal'``)
-    * otherwise  -> the first ``n`` catalogue rows by ``row_pos`` (``'default'``)
+    * known user with rows in ``ranked`` (``user_id, rank, product_id``, any
+      recommender's result) -> the first ``n`` of them (``source='personal'``)
+    * other known user -> ``n`` seeded random distinct products (``'random'``)
+    * otherwise -> the first ``n`` catalogue rows by ``row_pos`` (``'default'``)
 
     Returns ``user_id, source, rank, product_id``.  The default list is the
     global top-n by position (at most ``n`` rows, broadcast) joined to the
@@ -24,8 +26,16 @@ def home_lists(requests: DataFrame, known_users: DataFrame, catalogue: DataFrame
     """
     req = requests.select("user_id").distinct()
     known = known_requests(req.filter(F.col("user_id").isNotNull()), known_users, "user_id")
-    personal = sampling.distinct_draws(known, "user_id", catalogue.select("product_id"), "product_id", n, seed=seed)
-    personal = personal.select("user_id", F.lit("personal").alias("source"), "rank", "product_id")
+    drawn = known
+    lists = None
+    if ranked is not None:
+        lists = ranked.filter(F.col("rank") <= n).join(known, "user_id", "left_semi")
+        drawn = known.join(lists.select("user_id").distinct(), "user_id", "left_anti")
+        lists = lists.select("user_id", F.lit("personal").alias("source"), "rank", "product_id")
+    random = sampling.distinct_draws(drawn, "user_id", catalogue.select("product_id"), "product_id", n, seed=seed)
+    out = random.select("user_id", F.lit("random").alias("source"), "rank", "product_id")
+    if lists is not None:
+        out = out.unionByName(lists)
     # left_anti keeps null ids too (a null never matches), i.e. "not logged in"
     unknown = req.join(known, "user_id", "left_anti")
     head = (catalogue.orderBy("row_pos").limit(n).select("product_id", "row_pos")
@@ -34,7 +44,7 @@ def home_lists(requests: DataFrame, known_users: DataFrame, catalogue: DataFrame
     default = (unknown.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n))))
                .join(F.broadcast(head), "rank")
                .select("user_id", F.lit("default").alias("source"), "rank", "product_id"))
-    return personal.unionByName(default)
+    return out.unionByName(default)
 
 
 RAW_COLUMNS = {

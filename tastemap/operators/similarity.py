@@ -20,32 +20,56 @@ Two exact plans, chosen by measured cost (one small sizing job):
   no group can exceed one cell.
 
 Both plans end with a per-left-id top-``n`` (WindowGroupLimit) over the
-candidates; scores are rounded to 6 decimals and ties go to the smaller id.
+candidates; scores are rounded to 6 decimals by one formula (``half_up``) and
+ties go to the smaller id.  Ids keep the type of the input, whichever plan runs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.ranking import SCORE_DECIMALS, top_n_per_group
+from ..functions.ranking import half_up, half_up_array, top_n_per_group
+from ..session import ensure_checkpoint_dir
 
 LEFT_CHUNK = 1024
 RIGHT_BLOCK = 4096
 DENSE_KEYS = 1024
 JOIN_SHARE = 0.25
 
-_PAIR_SCHEMA = "lid long, rid long, score double"
+#: Products that the kernel expands at a time.
+EXPANDED = 1 << 21
+
+
+def _pair_schema(lid, rid) -> T.StructType:
+    """Schema of a kernel's result for the id types of the inputs."""
+    return T.StructType([T.StructField("lid", lid), T.StructField("rid", rid), T.StructField("score", T.DoubleType())])
 
 
 def _empty_pairs() -> pd.DataFrame:
-    return pd.DataFrame({"lid": pd.Series([], dtype="int64"),
-                         "rid": pd.Series([], dtype="int64"),
-                         "score": pd.Series([], dtype="float64")})
+    return pd.DataFrame({"lid": [], "rid": [], "score": pd.Series([], dtype="float64")})
+
+
+def _expand(lk, lr, lw, rk, rr, rw) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(left row, right row, product)`` of all entry pairs that share a key, a bounded
+    number at a time; both sides are sorted by key."""
+    first, last = np.searchsorted(rk, lk), np.searchsorted(rk, lk, side="right")
+    ends = np.cumsum(last - first)
+    at = 0
+    while at < len(lk):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + EXPANDED, side="right")))
+        counts = (last - first)[at:to]
+        left = np.repeat(np.arange(at, to), counts)
+        right = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[at:to], counts)
+        yield lr[left], rr[right], lw[left] * rw[right]
+        at = to
 
 
 def _top_rows(ranked: np.ndarray, lids: np.ndarray, rids: np.ndarray, n: int) -> pd.DataFrame:
@@ -72,20 +96,19 @@ def _top_rows(ranked: np.ndarray, lids: np.ndarray, rids: np.ndarray, n: int) ->
 def _sparse_kernel(n: int, exclude_self: bool, positive_only: bool):
     """Score one grid cell of sparse vectors.
 
-    ``left`` rows are vector entries (``rid`` null: ``lid, key, v``) or
-    excluded pairs (``key`` null: ``lid, rid``); ``right`` rows are vector
-    entries ``rid, key, v``.  All columns are scalars (cheap Arrow batches).
+    ``left`` rows are entries ``lid, key, v`` where ``vector`` is set and excluded
+    pairs ``lid, rid`` elsewhere; ``right`` rows are vector entries ``rid, key, v``.  All columns are scalars (cheap Arrow batches).
     """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _empty_pairs()
-        is_vec = left["rid"].isna().to_numpy()
+        is_vec = left["vector"].to_numpy(dtype=bool)
         lvec, banned = left[is_vec], left[~is_vec]
         if lvec.empty:
             return _empty_pairs()
-        lids, l_row = np.unique(lvec["lid"].to_numpy(dtype=np.int64), return_inverse=True)
-        rids, r_row = np.unique(right["rid"].to_numpy(dtype=np.int64), return_inverse=True)
+        lids, l_row = np.unique(lvec["lid"].to_numpy(), return_inverse=True)
+        rids, r_row = np.unique(right["rid"].to_numpy(), return_inverse=True)
         codes, vocab = pd.factorize(pd.concat([lvec["key"], right["key"]], ignore_index=True))
         l_key, r_key = codes[: len(lvec)], codes[len(lvec):]
         lv = lvec["v"].to_numpy(dtype=np.float64)
@@ -119,26 +142,22 @@ def _sparse_kernel(n: int, exclude_self: bool, positive_only: bool):
             rk, rr, rw = r_key[rs], r_row[rs], rv[rs]
             lo, ro = np.argsort(lk, kind="stable"), np.argsort(rk, kind="stable")
             lk, lr, lw, rk, rr, rw = lk[lo], lr[lo], lw[lo], rk[ro], rr[ro], rw[ro]
-            common = np.intersect1d(lk, rk)
-            a0, a1 = np.searchsorted(lk, common), np.searchsorted(lk, common, side="right")
-            b0, b1 = np.searchsorted(rk, common), np.searchsorted(rk, common, side="right")
-            for i in range(common.size):
-                ix = np.ix_(lr[a0[i]:a1[i]], rr[b0[i]:b1[i]])
-                scores[ix] += np.outer(lw[a0[i]:a1[i]], rw[b0[i]:b1[i]])
+            flat, seen = scores.ravel(), shared.ravel()
+            for i, j, product in _expand(lk, lr, lw, rk, rr, rw):
+                np.add.at(flat, i * rids.size + j, product)
                 if positive_only:
-                    shared[ix] = True
+                    seen[i * rids.size + j] = True
 
         valid = shared & (scores > 0) if positive_only else np.ones_like(shared)
         if exclude_self:
             valid &= lids[:, None] != rids[None, :]
         if not banned.empty:
-            b_l = banned["lid"].to_numpy(dtype=np.int64)
-            b_r = banned["rid"].to_numpy(dtype=np.int64)
+            b_l, b_r = banned["lid"].to_numpy(), banned["rid"].to_numpy()
             lpos = np.minimum(np.searchsorted(lids, b_l), lids.size - 1)
             rpos = np.minimum(np.searchsorted(rids, b_r), rids.size - 1)
             ok = (lids[lpos] == b_l) & (rids[rpos] == b_r)
             valid[lpos[ok], rpos[ok]] = False
-        ranked = np.where(valid, np.round(scores, SCORE_DECIMALS), -np.inf)
+        ranked = np.where(valid, half_up_array(scores), -np.inf)
         return _top_rows(ranked, lids, rids, n)
 
     return kernel
@@ -149,7 +168,7 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
                  method: str = "auto", left_chunk: int = LEFT_CHUNK, right_block: int = RIGHT_BLOCK) -> DataFrame:
     """Top ``n`` right ids per left id by ``sum(w_l * w_r)`` over shared keys.
 
-    ``left``/``right``: ``(id long, key, w)``, already L2-normalised for a
+    ``left``/``right``: ``(id, key, w)`` with integer or string ids, already L2-normalised for a
     cosine.  ``positive_only`` keeps only pairs that share a key and score
     above zero (without it every pair may rank, which forces the grid).
     ``exclude_pairs (lid, rid)`` are never returned.  ``method`` is
@@ -157,10 +176,10 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
     ``(lid, rid, score, rank)``.
     """
     same = left is right
-    # the inputs feed a sizing job and the final plan: keep them (memory,
-    # spilling to disk; lost blocks are recomputed from lineage)
-    left = left.persist()
-    right = left if same else right.persist()
+    # the inputs feed a sizing job and the final plan: they are written once to the shared checkpoint folder
+    ensure_checkpoint_dir(left.sparkSession)
+    left = left.checkpoint()
+    right = left if same else right.checkpoint()
     l = left.select(F.col("id").alias("lid"), F.col("key").alias("key"), F.col("w").alias("lw"))
     r = right.select(F.col("id").alias("rid"), F.col("key").alias("key"), F.col("w").alias("rw"))
     if not same:
@@ -173,17 +192,15 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
     sizes = spark.range(1).select(
         l.select(F.count_distinct("lid")).scalar().alias("nl"),
         r.select(F.count_distinct("rid")).scalar().alias("nr"),
-        dl.join(dr, "key").select(F.sum(F.col("dl") * F.col("dr"))).scalar().alias("pairs"),
+        dl.join(dr, "key").select(F.sum(F.col("dl").cast("double") * F.col("dr"))).scalar().alias("pairs"),
     ).first()
     nl, nr, pairs = sizes["nl"] or 0, sizes["nr"] or 0, sizes["pairs"] or 0
     use_join = method == "join" or (method == "auto" and positive_only and pairs <= JOIN_SHARE * nl * nr)
 
     if use_join:
-        # one shuffle by left id serves both the sum by pair and the top-n
-        # window; one id's candidates are bounded by the number of right ids
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # products are summed by pair in each task before they are shuffled by pair, so neither a
+        # power row nor a frequent pair meets whole in one task
         cand = (l.join(r, "key").select("lid", "rid", (F.col("lw") * F.col("rw")).alias("p"))
-                .repartition(parts, "lid")
                 .groupBy("lid", "rid").agg(F.sum("p").alias("s")))
         if exclude_self:
             cand = cand.filter(F.col("lid") != F.col("rid"))
@@ -191,27 +208,29 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: boo
             cand = cand.join(exclude_pairs.select("lid", "rid"), ["lid", "rid"], "left_anti")
         if positive_only:
             cand = cand.filter(F.col("s") > 0)
-        cand = cand.select("lid", "rid", F.round("s", SCORE_DECIMALS).alias("score"))
+        cand = cand.select("lid", "rid", half_up("s").alias("score"))
         return top_n_per_group(cand, "lid", "score", "rid", n)
 
     n_lchunks = max(1, math.ceil(max(nl, 1) / left_chunk))
     n_rblocks = max(1, math.ceil(max(nr, 1) / right_block))
     lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
     rblock = F.pmod(F.xxhash64("rid"), F.lit(n_rblocks))
+    rid_type = r.schema["rid"].dataType
+    nothing = F.lit("" if isinstance(rid_type, T.StringType) else 0).cast(rid_type)  # never read
     left_cells = (l.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1))))
-                  .select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid",
-                          F.lit(None).cast("long").alias("rid"), F.col("key").cast("string").alias("key"),
-                          F.col("lw").alias("v")))
+                  .select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid", nothing.alias("rid"),
+                          F.col("key").cast("string").alias("key"), F.col("lw").alias("v"), F.lit(True).alias("vector")))
     if exclude_pairs is not None:
         banned = (exclude_pairs.select("lid", "rid").distinct()
-                  .select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid",
-                          F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("v")))
+                  .select((lchunk * n_rblocks + rblock).alias("cell"), "lid", "rid", F.lit("").alias("key"),
+                          F.lit(0.0).alias("v"), F.lit(False).alias("vector")))
         left_cells = left_cells.unionByName(banned)
     right_cells = (r.withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
                    .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid",
                            F.col("key").cast("string").alias("key"), F.col("rw").alias("v")))
     grid = (left_cells.groupBy("cell").cogroup(right_cells.groupBy("cell"))
-            .applyInPandas(_sparse_kernel(n, exclude_self, positive_only), _PAIR_SCHEMA))
+            .applyInPandas(_sparse_kernel(n, exclude_self, positive_only),
+                           _pair_schema(l.schema["lid"].dataType, rid_type)))
     return top_n_per_group(grid, "lid", "score", "rid", n)
 
 
@@ -238,11 +257,10 @@ def _dense_kernel(n: int, exclude_self: bool):
         if left.empty or right.empty:
             return _empty_pairs()
         right = right.sort_values("rid", kind="stable")
-        lids = left["lid"].to_numpy(dtype=np.int64)
-        rids = right["rid"].to_numpy(dtype=np.int64)
+        lids, rids = left["lid"].to_numpy(), right["rid"].to_numpy()
         lm = np.vstack(left["vec"].to_numpy()).astype(np.float64, copy=False)
         rm = np.vstack(right["vec"].to_numpy()).astype(np.float64, copy=False)
-        ranked = np.round(lm @ rm.T, SCORE_DECIMALS)
+        ranked = half_up_array(lm @ rm.T)
         if exclude_self:
             ranked[lids[:, None] == rids[None, :]] = -np.inf
         excl = left["excl"].to_numpy()
@@ -274,8 +292,9 @@ def dense_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool
     """
     spark = left.sparkSession
     same = left is right
-    left = left.persist()
-    right = left if same else right.persist()
+    ensure_checkpoint_dir(spark)
+    left = left.checkpoint()
+    right = left if same else right.checkpoint()
     sizes = spark.range(1).select(left.select(F.count(F.lit(1))).scalar().alias("nl"),
                                   right.select(F.count(F.lit(1))).scalar().alias("nr")).first()
     n_lchunks = max(1, math.ceil((sizes["nl"] or 1) / left_chunk))
@@ -283,6 +302,7 @@ def dense_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool
     lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
     rblock = F.pmod(F.xxhash64("rid"), F.lit(n_rblocks))
 
+    rid_type = right.schema["id"].dataType
     # fresh aliases keep the two sides distinct when left is right
     lrep = (left.select(F.col("id").alias("lid"), F.col("vec").alias("vec"))
             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1)))))
@@ -291,12 +311,12 @@ def dense_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool
                  .groupBy("lid", "rb").agg(F.collect_list("rid").alias("excl")))
         lrep = lrep.join(lists, ["lid", "rb"], "left")
     else:
-        lrep = lrep.withColumn("excl", F.lit(None).cast("array<long>"))
+        lrep = lrep.withColumn("excl", F.lit(None).cast(T.ArrayType(rid_type)))
     left_cells = lrep.select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid", "vec",
-                             F.coalesce("excl", F.array().cast("array<long>")).alias("excl"))
+                             F.coalesce("excl", F.array().cast(T.ArrayType(rid_type))).alias("excl"))
     right_cells = (right.select(F.col("id").alias("rid"), F.col("vec").alias("vec"))
                    .withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
                    .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid", "vec"))
     grid = (left_cells.groupBy("cell").cogroup(right_cells.groupBy("cell"))
-            .applyInPandas(_dense_kernel(n, exclude_self), _PAIR_SCHEMA))
+            .applyInPandas(_dense_kernel(n, exclude_self), _pair_schema(left.schema["id"].dataType, rid_type)))
     return top_n_per_group(grid, "lid", "score", "rid", n)

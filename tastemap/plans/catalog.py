@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.ranking import half_up, top_n_per_group
 from ..operators import catalogue as catalogue_ops
 from ..operators import als, cleaning, content, factors, lookup, neighbours, popularity, profile, sampling, serving, tfidf
 from ..operators.similarity import dense_top_n
@@ -41,7 +42,7 @@ s AS (SELECT product_id, round(a, 6) AS avg_rating, c AS rating_count, round(a *
 r AS (SELECT *, {O.rank_col(None, 'popularity_score', 'product_id')} FROM s),
 cat AS ({O.CATALOGUE}),
 d AS ({O.DETAILS})
-SELECT r.rank, r.product_id, d.name, d.brand, d.category, r.avg_rating, r.rating_count, r.popularity_score
+SELECT r.rank, r.product_id, {O.DETAIL_LIST}, r.avg_rating, r.rating_count, r.popularity_score
 FROM r LEFT JOIN d USING (product_id) WHERE r.rank <= 12
 """)
 def q_popular_items(spark, sf):
@@ -56,7 +57,7 @@ p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS popularity_sco
 r AS (SELECT product_id, popularity_score, {O.rank_col(None, 'popularity_score', 'product_id')} FROM p),
 cat AS ({O.CATALOGUE}),
 d AS ({O.DETAILS})
-SELECT r.rank, CAST(floor((r.rank - 1) / 3) AS INTEGER) AS page_no, r.product_id, d.name, d.brand, d.category,
+SELECT r.rank, CAST(floor((r.rank - 1) / 3) AS INTEGER) AS page_no, r.product_id, {O.DETAIL_LIST},
        r.popularity_score
 FROM r JOIN d USING (product_id) WHERE r.rank <= 13
 """)
@@ -95,8 +96,7 @@ DOC_DOCS = "SELECT doc_id, text FROM documents"
 
 
 def _part_model(spark, sf) -> tfidf.TfidfModel:
-    cat = T.catalogue(spark, sf)
-    return tfidf.fit(cat.select(F.col("product_id").alias("doc_id"), F.col("tags").alias("text")))
+    return content.fit_catalogue(T.catalogue(spark, sf))
 
 
 @register("tfidf_weights", f"""
@@ -122,22 +122,42 @@ def q_tfidf_documents(spark, sf):
 PART_QUERIES = "SELECT min(p_partkey) AS request_key, p_name AS query FROM part GROUP BY p_name"
 
 
-@register("search_products", f"""
+SEARCH_SQL = f"""
 WITH {O.tfidf_ctes(PART_DOCS)},
 {O.query_vector_ctes(PART_QUERIES, 'idf')},
 s AS (SELECT qv.request_key, dv.doc_id AS product_id, sum(qv.w * dv.w) AS s
       FROM qv JOIN dv USING (term) GROUP BY qv.request_key, dv.doc_id),
 r AS (SELECT request_key, product_id, round(s, 6) AS score,
-             {O.rank_col('request_key', 'round(s, 6)', 'product_id')} FROM s WHERE s > 0)
-SELECT request_key, product_id, rank, score FROM r WHERE rank <= 10
-""")
-def q_search_products(spark, sf):
-    model = _part_model(spark, sf)
+             {O.rank_col('request_key', 'round(s, 6)', 'product_id')} FROM s WHERE s > 0),
+cat AS ({O.CATALOGUE}),
+d AS ({O.DETAILS})
+SELECT r.request_key, r.product_id, r.rank, r.score, {O.DETAIL_LIST}
+FROM r LEFT JOIN d USING (product_id) WHERE r.rank <= 10
+"""
+
+
+def _product_searches(spark, sf, catalogue):
     part = T.table(spark, sf, "part")
     queries = part.groupBy("p_name").agg(F.min("p_partkey").alias("request_key")) \
                   .select("request_key", F.col("p_name").alias("query"))
-    res = content.search(model, queries, n=10)
-    return res.select("request_key", F.col("doc_id").alias("product_id"), "rank", "score")
+    res = content.search(content.fit_catalogue(catalogue), queries, n=10)
+    res = res.select("request_key", F.col("doc_id").alias("product_id"), "rank", "score")
+    return catalogue_ops.with_details(res, catalogue)
+
+
+@register("search_products", SEARCH_SQL)
+def q_search_products(spark, sf):
+    return _product_searches(spark, sf, T.catalogue(spark, sf))
+
+
+@register("search_repeated_catalogue", SEARCH_SQL)
+def q_search_repeated_catalogue(spark, sf):
+    """R3 on a catalogue that repeats two thirds of its ids with other texts later on: the first rows count."""
+    cat = T.catalogue(spark, sf)
+    later = cat.filter("product_id % 3 > 0").withColumns({
+        "row_pos": F.col("row_pos") + (1 << 40), "tags": F.concat(F.col("brand"), F.lit(" repeated "), F.col("tags")),
+        "name": F.lit("repeated")})
+    return _product_searches(spark, sf, cat.unionByName(later))
 
 
 BENCH_QUERIES = "SELECT item_id AS request_key, text AS query FROM benchmark"
@@ -166,13 +186,16 @@ WITH {O.tfidf_ctes(PART_DOCS)},
 s AS (SELECT a.doc_id AS product_id, b.doc_id AS similar_id, sum(a.w * b.w) AS s
       FROM dv a JOIN dv b USING (term) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 r AS (SELECT product_id, similar_id, round(s, 6) AS score,
-             {O.rank_col('product_id', 'round(s, 6)', 'similar_id')} FROM s WHERE s > 0)
-SELECT product_id, similar_id, rank, score FROM r WHERE rank <= 16
+             {O.rank_col('product_id', 'round(s, 6)', 'similar_id')} FROM s WHERE s > 0),
+cat AS ({O.CATALOGUE}),
+d AS ({O.DETAILS})
+SELECT r.product_id, r.similar_id, r.rank, r.score, {O.DETAIL_LIST}
+FROM r LEFT JOIN d ON d.product_id = r.similar_id WHERE r.rank <= 16
 """)
 def q_similar_products(spark, sf):
     model = _part_model(spark, sf)
     requests = T.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"))
-    return content.similar_items(model, requests, n=16)
+    return catalogue_ops.with_details(content.similar_items(model, requests, n=16), T.catalogue(spark, sf), "similar_id")
 
 
 @register("content_centrality", f"""
@@ -188,8 +211,13 @@ def q_content_centrality(spark, sf):
 
 # --------------------------------------------------------------------------- R5, R6
 
-USER_VECTORS = f"""
-i AS ({O.INTERACTIONS}),
+NAMED_INTERACTIONS = (f"SELECT c_name AS user_id, product_id, rating FROM ({O.INTERACTIONS}) x "
+                      "JOIN customer ON c_custkey = x.user_id")
+
+
+def _user_vectors(interactions_sql: str) -> str:
+    return f"""
+i AS ({interactions_sql}),
 m AS (SELECT user_id, product_id, avg(rating) AS rating FROM i GROUP BY user_id, product_id),
 un AS (SELECT user_id, sqrt(sum(rating * rating)) AS norm FROM m GROUP BY user_id),
 uv AS (SELECT user_id, product_id, rating / norm AS w FROM m JOIN un USING (user_id) WHERE norm > 0),
@@ -199,6 +227,9 @@ nb AS (SELECT * FROM (SELECT user_id, neighbour_id, round(s, 6) AS sim,
              {O.rank_col('user_id', 'round(s, 6)', 'neighbour_id')} FROM us WHERE s > 0) WHERE rank <= 10)"""
 
 
+USER_VECTORS = _user_vectors(O.INTERACTIONS)
+
+
 @register("similar_users", f"""
 WITH {USER_VECTORS}
 SELECT user_id, neighbour_id, rank, sim FROM nb
@@ -208,6 +239,17 @@ def q_similar_users(spark, sf):
     return neighbours.similar_users(m, n=10)
 
 
+@register("similar_users_by_name", f"""
+WITH {_user_vectors(NAMED_INTERACTIONS)}
+SELECT user_id, neighbour_id, rank, sim FROM nb
+""")
+def q_similar_users_by_name(spark, sf):
+    """R5 with string user ids (customer names)."""
+    names = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    inter = T.interactions(spark, sf).join(names, "user_id").select(F.col("c_name").alias("user_id"), "product_id", "rating")
+    return neighbours.similar_users(neighbours.rating_matrix(inter), n=10)
+
+
 @register("user_based_recs", f"""
 WITH {USER_VECTORS},
 w AS (SELECT user_id, sum(sim) AS wsum FROM nb GROUP BY user_id),
@@ -217,13 +259,16 @@ cand AS (SELECT num.user_id, num.product_id, round(num.num / w.wsum, 6) AS score
          FROM num JOIN w USING (user_id)
          WHERE NOT EXISTS (SELECT 1 FROM m r WHERE r.user_id = num.user_id AND r.product_id = num.product_id
                            AND r.rating > 0)),
-r AS (SELECT user_id, product_id, score, {O.rank_col('user_id', 'score', 'product_id')} FROM cand)
-SELECT user_id, product_id, rank, score FROM r WHERE rank <= 10
+r AS (SELECT user_id, product_id, score, {O.rank_col('user_id', 'score', 'product_id')} FROM cand),
+cat AS ({O.CATALOGUE}),
+d AS ({O.DETAILS})
+SELECT r.user_id, r.product_id, r.rank, r.score, {O.DETAIL_LIST}
+FROM r LEFT JOIN d USING (product_id) WHERE r.rank <= 10
 """)
 def q_user_based_recs(spark, sf):
-    m = neighbours.rating_matrix(T.interactions(spark, sf)).persist()   # read by three branches
+    m = neighbours.rating_matrix(T.interactions(spark, sf)).checkpoint()   # read by three branches
     nb = neighbours.similar_users(m, n=10)
-    return neighbours.user_based(m, nb, n=10)
+    return catalogue_ops.with_details(neighbours.user_based(m, nb, n=10), T.catalogue(spark, sf))
 
 
 # --------------------------------------------------------------------------- F7/F8 dense
@@ -418,19 +463,62 @@ def q_unknown_users(spark, sf):
     return lookup.unknown_ids(requests, known, "user_id")
 
 
-@register("missing_products", f"""
-WITH i AS ({O.INTERACTIONS}),
-p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS s FROM i GROUP BY product_id),
-top AS (SELECT product_id FROM p ORDER BY s DESC, product_id LIMIT 50),
-cat AS (SELECT p_partkey AS product_id FROM part
-        ORDER BY {O.md5_draw("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 1000)
-SELECT product_id FROM top WHERE product_id NOT IN (SELECT product_id FROM cat)
+@register("missing_products", """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 """)
 def q_missing_products(spark, sf):
-    pop = popularity.popularity_table(T.interactions(spark, sf))
-    top = pop.orderBy(F.col("popularity_score").desc(), "product_id").limit(50)
-    cat = sampling.sample_exact(T.catalogue(spark, sf).select("product_id"), 1000, "product_id", seed=42)
-    return lookup.missing_ids(top, cat, "product_id")
+    """Ids of one table that another one lacks (documents without a label)."""
+    return lookup.missing_ids(T.table(spark, sf, "documents").select("doc_id"), T.table(spark, sf, "labels"), "doc_id")
+
+
+@register("recs_unknown_users", f"""
+WITH i AS ({O.INTERACTIONS}),
+fitted AS (SELECT user_id FROM i JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING')
+SELECT user_id FROM (SELECT c_custkey AS user_id FROM customer UNION SELECT user_id FROM events) r
+WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM fitted)
+""")
+def q_recs_unknown_users(spark, sf):
+    """P14 for R8 and R10: requested users that a matrix (here of one market segment) does not hold, so they get no list."""
+    customer = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    requests = (customer.select("user_id").unionByName(T.table(spark, sf, "events").select("user_id"))
+                .filter("user_id IS NOT NULL"))
+    segment = T.interactions(spark, sf).join(customer.filter("c_mktsegment = 'BUILDING'"), "user_id")
+    return lookup.unknown_ids(requests, neighbours.rating_matrix(segment), "user_id")
+
+
+@register("point_lookup", """
+SELECT p_partkey AS product_id, p_partkey AS row_pos FROM part
+WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)
+""")
+def q_point_lookup(spark, sf):
+    """P5: first catalogue position of each requested product (those once bought by the fifty)."""
+    wanted = T.table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("product_id"))
+    return catalogue_ops.point_lookup(T.catalogue(spark, sf), "product_id", wanted)
+
+
+@register("fetch_by_position", f"""
+WITH i AS ({O.INTERACTIONS}),
+p AS (SELECT product_id, count(rating) AS c FROM i GROUP BY product_id)
+SELECT p.product_id AS row_pos, p.c AS n_ratings, c.name, c.brand FROM p JOIN ({O.CATALOGUE}) c ON c.row_pos = p.product_id
+""")
+def q_fetch_by_position(spark, sf):
+    """Catalogue rows at given positions (here every rated product's)."""
+    positions = T.interactions(spark, sf).groupBy(F.col("product_id").alias("row_pos")).agg(
+        F.count("rating").alias("n_ratings"))
+    return catalogue_ops.fetch_by_position(T.catalogue(spark, sf), positions).select("row_pos", "n_ratings", "name", "brand")
+
+
+@register("encode_decode", """
+WITH m AS (SELECT c_name, c_custkey, CAST(row_number() OVER (ORDER BY c_name) - 1 AS BIGINT) AS idx FROM customer)
+SELECT o_orderkey, m.idx, m.c_name AS user_name FROM orders JOIN m ON m.c_custkey = o_custkey
+""")
+def q_encode_decode(spark, sf):
+    """User names to indexes and back."""
+    names = T.table(spark, sf, "customer").select("c_custkey", "c_name")
+    mapping = lookup.id_index(names.select(F.col("c_name").alias("id"))).checkpoint()
+    rows = T.table(spark, sf, "orders").join(names, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    coded = lookup.encode(rows, "c_name", mapping).select("o_orderkey", "idx")
+    return lookup.decode(coded, "idx", mapping, "user_name").select("o_orderkey", "idx", "user_name")
 
 
 # --------------------------------------------------------------------------- G1-G7
@@ -526,15 +614,15 @@ def q_user_random_list(spark, sf):
 # --------------------------------------------------------------------------- M3/M4, R7, R8, R9 (no SQL)
 
 def _svd(spark, sf, k):
-    m = neighbours.rating_matrix(T.interactions(spark, sf))
-    return m, factors.truncated_svd(m, k=k, oversample=10, power_iters=5, seed=42)
+    m = neighbours.rating_matrix(T.interactions(spark, sf)).checkpoint()  # read by the fit and the exclusions
+    return m, factors.truncated_svd(m, k=k, seed=42)
 
 
 @register("svd_recs")
 def q_svd_recs(spark, sf):
-    """Rank-50 factor scores, unrated items only, top 15 per user."""
+    """Rank-50 factor scores, unrated items only, top 15 per user, with details."""
     m, f = _svd(spark, sf, 50)
-    return factors.recommend(f, m, 15, exclude_rated=True)
+    return catalogue_ops.with_details(factors.recommend(f, m, 15, exclude_rated=True), T.catalogue(spark, sf))
 
 
 @register("svd_recs_with_rating")
@@ -543,28 +631,67 @@ def q_svd_recs_with_rating(spark, sf):
     user with the predicted rating and catalogue details."""
     m, f = _svd(spark, sf, 5)
     recs = factors.recommend(f, m, 12, exclude_rated=False).withColumnRenamed("score", "predicted_rating")
-    det = catalogue_ops.details(T.catalogue(spark, sf))
-    return recs.join(det, "product_id", "left").select(
-        "user_id", "rank", "product_id", "name", "brand", "predicted_rating")
+    return catalogue_ops.with_details(recs, T.catalogue(spark, sf))
+
+
+def _type_matrix(spark, sf):
+    """Mean value by user and event type; a third of the pairs left out by a rule."""
+    ev = T.table(spark, sf, "events").select("user_id", F.col("event_type").alias("product_id"),
+                                              F.col("value").alias("rating"))
+    return neighbours.rating_matrix(ev.filter("(user_id + length(product_id)) % 3 > 0")).checkpoint()
+
+
+TYPE_MATRIX_SQL = """
+m AS (SELECT user_id, event_type AS product_id, avg(value) AS rating FROM events
+      WHERE (user_id + length(event_type)) % 3 > 0 GROUP BY user_id, event_type),
+g AS (SELECT u.user_id, t.product_id, coalesce(m.rating, 0) AS rating, m.rating IS NOT NULL AND m.rating > 0 AS rated
+      FROM (SELECT DISTINCT user_id FROM m) u CROSS JOIN (SELECT DISTINCT product_id FROM m) t
+      LEFT JOIN m USING (user_id, product_id))"""
+
+
+@register("svd_recs_with_rating_full_rank", f"""
+WITH {TYPE_MATRIX_SQL},
+r AS (SELECT user_id, product_id, round(rating, 6) AS predicted_rating,
+             {O.rank_col('user_id', 'round(rating, 6)', 'product_id')} FROM g)
+SELECT user_id, product_id, rank, predicted_rating FROM r WHERE rank <= 3
+""")
+def q_svd_full_rank(spark, sf):
+    """R8 at full rank on the user x event type matrix: a prediction is the mean value itself (0 where missing)."""
+    m = _type_matrix(spark, sf)
+    f = factors.truncated_svd(m, k=8)
+    return factors.recommend(f, m, 3, exclude_rated=False).withColumnRenamed("score", "predicted_rating")
+
+
+@register("svd_recs_full_rank", f"""
+WITH {TYPE_MATRIX_SQL},
+r AS (SELECT user_id, product_id, CAST(0 AS DOUBLE) AS score, {O.rank_col('user_id', 'rating', 'product_id')}
+      FROM g WHERE NOT rated)
+SELECT user_id, product_id, rank, score FROM r WHERE rank <= 3
+""")
+def q_svd_unrated_full_rank(spark, sf):
+    """R7 at full rank on the same matrix: only the unrated types remain, and they are predicted 0."""
+    m = _type_matrix(spark, sf)
+    return factors.recommend(factors.truncated_svd(m, k=8), m, 3, exclude_rated=True)
 
 
 @register("hybrid_recs")
 def q_hybrid_recs(spark, sf):
     """Rank-50 factor score + mean content similarity of the item to the
-    catalogue, unrated items only, top 10 per user."""
+    catalogue, unrated items only, top 10 per user, with details."""
     m, f = _svd(spark, sf, 50)
     model = _part_model(spark, sf)
     cent = tfidf.centrality(model.weights, T.table(spark, sf, "part")).select(
         F.col("doc_id").alias("product_id"), F.col("centrality").alias("bias"))
-    return factors.recommend(f, m, 10, exclude_rated=True, item_bias=cent)
+    recs = factors.recommend(f, m, 10, exclude_rated=True, item_bias=cent)
+    return catalogue_ops.with_details(recs, T.catalogue(spark, sf))
 
 
 @register("als_recs")
 def q_als_recs(spark, sf):
-    """ALS (rank 10) predicted ratings over all items, top 10 per user."""
+    """ALS (rank 10) predicted ratings over all items, top 10 per user, with details."""
     m = neighbours.rating_matrix(T.interactions(spark, sf))
     f = als.fit(m, rank=10, max_iter=10, reg=0.1, seed=42)
-    return als.recommend(f, n=10)
+    return catalogue_ops.with_details(als.recommend(f, n=10), T.catalogue(spark, sf))
 
 
 # --------------------------------------------------------------------------- R11, R12
@@ -574,38 +701,63 @@ def q_als_recs(spark, sf):
 unknown AS (SELECT DISTINCT c_custkey AS user_id FROM customer
             WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)),
 head AS (SELECT p_partkey AS product_id, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS rank
-         FROM part ORDER BY p_partkey LIMIT 12)
-SELECT user_id, 'personal' AS source, rank, product_id FROM picked
+         FROM part ORDER BY p_partkey LIMIT 12),
+i AS (SELECT user_id, product_id, round(avg(rating), 6) AS score FROM (""" + O.INTERACTIONS + """) x
+      WHERE user_id % 2 = 0 GROUP BY user_id, product_id),
+best AS (SELECT user_id, product_id, """ + O.rank_col("user_id", "score", "product_id") + """ FROM i),
+lists AS (SELECT * FROM best WHERE rank <= 12 AND user_id IN (SELECT user_id FROM u))
+SELECT user_id, 'personal' AS source, rank, product_id FROM lists
+UNION ALL
+SELECT user_id, 'random' AS source, rank, product_id FROM picked WHERE user_id NOT IN (SELECT user_id FROM lists)
 UNION ALL
 SELECT unknown.user_id, 'default' AS source, head.rank, head.product_id FROM unknown, head
 """)
 def q_home_lists(spark, sf):
     requests = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     known = T.table(spark, sf, "events").select("user_id")
-    return serving.home_lists(requests, known, T.catalogue(spark, sf), n=12, seed=42)
+    m = neighbours.rating_matrix(T.interactions(spark, sf).filter("user_id % 2 = 0"))  # the others have no ranked list
+    ranked = top_n_per_group(m.withColumn("rating", half_up("rating")), "user_id", "rating", "product_id", 12)
+    return serving.home_lists(requests, known, T.catalogue(spark, sf), n=12, seed=42, ranked=ranked)
 
 
 def _raw_marketplace(spark, sf):
-    """part as a raw marketplace table (raw column names, path-like category)."""
+    """part as a raw marketplace table (raw column names, path-like category) in which
+    three rows share an id, some ids are missing and many details are null."""
     part = T.table(spark, sf, "part")
+    key = F.col("p_partkey")
     return part.select(
-        F.col("p_partkey").alias("row_pos"),
-        F.col("p_partkey").cast("string").alias("Product Id"),
+        key.alias("row_pos"),
+        F.when(key % 97 > 0, F.floor(key / 3).cast("string")).alias("Product Id"),
         F.concat(F.col("p_type"), F.lit(" > "), F.col("p_brand")).alias("Product Category"),
-        F.col("p_brand").alias("Product Brand"),
-        F.col("p_name").alias("Product Name"),
-        F.concat(F.lit("img/"), F.col("p_partkey").cast("string")).alias("Product Image Url"),
-        F.col("p_name").alias("Product Description"),
-        F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("Product Tags"),
+        F.when(key % 4 > 0, F.col("p_brand")).alias("Product Brand"),
+        F.when(key % 5 > 1, F.col("p_name")).alias("Product Name"),
+        F.when(key % 2 > 0, F.concat(F.lit("img/"), key.cast("string"))).alias("Product Image Url"),
+        F.when(key % 7 > 2, F.col("p_name")).alias("Product Description"),
+        F.when(key % 3 > 0, F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("Product Tags"),
     )
 
 
+PREP_DETAILS = ("Category", "Brand", "Name", "ImageURL", "Description", "Tags")
+
+
 @register("prep_pipeline", f"""
-WITH s AS (SELECT p_partkey AS row_pos, CAST(p_partkey AS VARCHAR) AS ProdID, p_type || ' > ' || p_brand AS Category,
-                  coalesce(p_brand, '') AS Brand, p_name AS Name, 'img/' || CAST(p_partkey AS VARCHAR) AS ImageURL,
-                  coalesce(p_name, '') AS Description, concat_ws(' ', p_name, p_brand, p_type) AS Tags
-           FROM part ORDER BY {_u32("CAST(p_partkey AS VARCHAR) || '|42'")}, p_partkey LIMIT 3500),
-c AS (SELECT *, row_number() OVER (ORDER BY row_pos) - 1 AS pos FROM s),
+WITH raw AS (SELECT p_partkey AS row_pos,
+                    CASE WHEN p_partkey % 97 > 0 THEN CAST(p_partkey // 3 AS VARCHAR) END AS ProdID,
+                    p_type || ' > ' || p_brand AS Category,
+                    coalesce(CASE WHEN p_partkey % 4 > 0 THEN p_brand END, '') AS Brand,
+                    CASE WHEN p_partkey % 5 > 1 THEN p_name END AS Name,
+                    CASE WHEN p_partkey % 2 > 0 THEN 'img/' || CAST(p_partkey AS VARCHAR) END AS ImageURL,
+                    coalesce(CASE WHEN p_partkey % 7 > 2 THEN p_name END, '') AS Description,
+                    CASE WHEN p_partkey % 3 > 0 THEN concat_ws(' ', p_name, p_brand, p_type) END AS Tags FROM part),
+s AS (SELECT * FROM raw ORDER BY {_u32("CAST(row_pos AS VARCHAR) || '|42'")}, row_pos LIMIT 1500),
+w1 AS (SELECT row_pos, ProdID, """ + ", ".join(
+    f"CASE WHEN ProdID IS NOT NULL THEN first_value({c} IGNORE NULLS) OVER (PARTITION BY ProdID ORDER BY row_pos "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS {c}" for c in PREP_DETAILS) + """ FROM s),
+w2 AS (SELECT row_pos, ProdID, """ + ", ".join(
+    f"CASE WHEN ProdID IS NOT NULL THEN coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY ProdID ORDER BY row_pos "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (PARTITION BY ProdID "
+    f"ORDER BY row_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS {c}" for c in PREP_DETAILS) + f""" FROM w1),
+c AS (SELECT *, row_number() OVER (ORDER BY row_pos) - 1 AS pos FROM w2),
 d AS (SELECT range AS draw_no, {_u32("CAST(range AS VARCHAR) || '|42'")} % (SELECT count(*) FROM c) AS pos
       FROM range(6000)),
 dom AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS upos
@@ -618,7 +770,7 @@ JOIN dom ON dom.upos = {_u32("CAST(d.draw_no AS VARCHAR) || '|assign|42'")} % 14
 """)
 def q_prep_pipeline(spark, sf):
     domain = sampling.generated_ids(spark, "USER_", 1, 1401, "user_id")
-    return serving.prepare_catalogue(_raw_marketplace(spark, sf), domain, 3500, 6000, seed=42)
+    return serving.prepare_catalogue(_raw_marketplace(spark, sf), domain, 1500, 6000, seed=42)
 
 
 # --------------------------------------------------------------------------- P14/J10 on raw ids, P15
@@ -656,5 +808,4 @@ def q_search_no_results(spark, sf):
     passages = T.table(spark, sf, "benchmark").select((F.lit(-1) - F.col("item_id")).alias("request_key"),
                                                        F.col("text").alias("query"))
     log = names.unionByName(passages)
-    hits = content.search(model, log, n=10)
-    return lookup.requests_without_results(log, hits, "request_key")
+    return content.without_results(model, log)

@@ -15,6 +15,7 @@ INTERACTIONS = (
 
 CATALOGUE = (
     "SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand, p_type AS category, "
+    "'img/' || CAST(p_partkey AS VARCHAR) AS image_url, "
     "concat_ws(' ', p_name, p_brand, p_type) AS tags, p_partkey AS row_pos FROM part"
 )
 
@@ -22,11 +23,16 @@ DETAILS = (
     "SELECT product_id, "
     "arg_min(name, row_pos) FILTER (WHERE name IS NOT NULL) AS name, "
     "arg_min(brand, row_pos) FILTER (WHERE brand IS NOT NULL) AS brand, "
-    "arg_min(category, row_pos) FILTER (WHERE category IS NOT NULL) AS category "
+    "arg_min(category, row_pos) FILTER (WHERE category IS NOT NULL) AS category, "
+    "arg_min(image_url, row_pos) FILTER (WHERE image_url IS NOT NULL) AS image_url "
     "FROM cat GROUP BY product_id"
 )
 
 
+#: The columns that a ranked list takes from ``d``.
+DETAIL_LIST = "d.name, d.brand, d.category, d.image_url"
+
+
 def sql_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 

@@ -12,20 +12,24 @@ from pyspark.sql.types import StructType
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
-                   header: bool = True) -> DataFrame:
-    """Delimited text with a header row; quoted fields may span lines."""
+                   header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Delimited text with a header row.
+
+    Files are split between tasks.  ``multi_line`` lets quoted fields span
+    lines, and then each file is one task.
+    """
     return (spark.read.schema(schema).option("header", header).option("sep", sep)
-            .option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
     """S1 ``read_csv(path, sep='\\t')``."""
-    return read_delimited(spark, path, schema, sep="\t")
+    return read_delimited(spark, path, schema, sep="\t", multi_line=multi_line)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
     """S2 ``read_csv(path)``."""
-    return read_delimited(spark, path, schema, sep=",")
+    return read_delimited(spark, path, schema, sep=",", multi_line=multi_line)
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:

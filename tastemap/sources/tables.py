@@ -2,7 +2,7 @@
 
 Canonical frames (see FIXTURES.md):
 
-* catalogue    ``product_id, name, brand, category, tags, row_pos``
+* catalogue    ``product_id, name, brand, category, image_url, tags, row_pos``
 * interactions ``user_id, product_id, rating``
 
 Adapters only select and rename, so Catalyst prunes the scan to the columns
@@ -31,6 +31,7 @@ def catalogue_from_part(part: DataFrame) -> DataFrame:
         F.col("p_name").alias("name"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("category"),
+        F.concat(F.lit("img/"), F.col("p_partkey").cast("string")).alias("image_url"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("tags"),
         F.col("p_partkey").alias("row_pos"),
     )

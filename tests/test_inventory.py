@@ -112,12 +112,13 @@ def test_cluster_conf_sizes_partitions():
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_rank_path_quantiles_match_bracket_path(spark):
+def test_quantiles_refine_over_few_bins_and_odd_values(spark):
     rng = np.random.default_rng(2)
-    x = np.concatenate([np.full(200, -1.5), rng.exponential(size=500)])
-    df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    a = profile.quantiles(df, ["x"]).first()
-    b = profile.quantiles_by_rank(df, ["x"]).first()
-    want = [round(float(np.percentile(x, q)), 6) for q in (25, 50, 75)]
-    assert [a["q25"], a["q50"], a["q75"]] == pytest.approx(want, abs=1e-6)
-    assert [b["q25"], b["q50"], b["q75"]] == pytest.approx(want, abs=1e-6)
+    x = np.concatenate([np.full(200, -1.5), rng.exponential(size=500), rng.normal(size=50) * 1e-300, [1e300, -1e300]])
+    y = np.concatenate([rng.integers(0, 3, size=750).astype(float), [np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y, strict=True)], "x double, y double, z double")
+    for bins in (4, 4096):
+        got = {r["column_name"]: (r["q25"], r["q50"], r["q75"]) for r in profile.quantiles(df, ["x", "y", "z"], bins=bins).collect()}
+        assert set(got) == {"x", "y"}
+        for name, arr in (("x", x), ("y", y)):
+            assert got[name] == pytest.approx(tuple(round(float(np.percentile(arr, q)), 6) for q in (25, 50, 75)), abs=1e-6)

@@ -79,7 +79,11 @@ def test_home_lists_known_unknown_null(spark):
                                 "product_id long, name string, brand string, category string, tags string, row_pos long")
     out = serving.home_lists(req, known, cat, n=4).collect()
     personal = [r for r in out if r["user_id"] == 1]
-    assert len(personal) == 4 and {r["source"] for r in personal} == {"personal"}
+    assert len(personal) == 4 and {r["source"] for r in personal} == {"random"}
+    ranked = spark.createDataFrame([(1, 1, 7), (1, 2, 3), (1, 9, 5), (2, 1, 4)], "user_id long, rank int, product_id long")
+    own = [(r["rank"], r["product_id"], r["source"]) for r in serving.home_lists(req, known, cat, n=4, ranked=ranked).collect()
+           if r["user_id"] == 1]
+    assert sorted(own) == [(1, 7, "personal"), (2, 3, "personal")]
     default = sorted([r for r in out if r["user_id"] == 2], key=lambda r: r["rank"])
     assert [r["product_id"] for r in default] == [29, 28, 27, 26]
     assert len([r for r in out if r["user_id"] is None]) == 4
@@ -101,7 +105,7 @@ def test_sources_round_trip(spark, tmp_dir):
     tsv = os.path.join(tmp_dir, "raw.tsv")
     with open(tsv, "w") as fh:
         fh.write('Product Id\tProduct Name\n1\t"multi\nline"\n2\tplain\n')
-    df = files.read_tsv(spark, tsv, "`Product Id` string, `Product Name` string")
+    df = files.read_tsv(spark, tsv, "`Product Id` string, `Product Name` string", multi_line=True)
     assert {r[0]: r[1] for r in df.collect()} == {"1": "multi\nline", "2": "plain"}
     mp = os.path.join(tmp_dir, "map.json")
     with open(mp, "w") as fh:
@@ -109,7 +113,7 @@ def test_sources_round_trip(spark, tmp_dir):
     assert {r["id"]: r["idx"] for r in files.read_id_map(spark, mp).collect()} == {"USER_0": 0, "USER_1": 1, "USER_10": 2}
     out = os.path.join(tmp_dir, "out_csv")
     files.write_csv(df, out)
-    back = files.read_csv(spark, out, "`Product Id` string, `Product Name` string")
+    back = files.read_csv(spark, out, "`Product Id` string, `Product Name` string", multi_line=True)
     assert back.count() == 2
 
 
@@ -121,7 +125,10 @@ def test_entry_and_contract(spark):
     assert 0 < len(rows) <= 12
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
-    assert {"svd_recs", "svd_recs_with_rating", "hybrid_recs", "als_recs"} == set(qs) - set(sql)
+    from tastemap.plans.catalog import ORACLE, QUERIES
+
+    assert set(QUERIES) <= set(qs) and set(ORACLE) <= set(sql)
+    assert {"svd_recs", "svd_recs_with_rating", "hybrid_recs", "als_recs"} == set(QUERIES) - set(ORACLE)
 
 
 def test_ffill_bfill_across_buckets_matches_pandas(spark):
