@@ -109,6 +109,8 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote sessions ship code differently
         return
+    # a task owns one core: NumPy in a worker must not start a thread for every core of the machine
+    sc.environment.setdefault("OMP_NUM_THREADS", "1")
     key = sc.applicationId
     if key in _SHIPPED:
         return
