@@ -5,24 +5,24 @@ set are one *class*; only classes go on.  Every class has a label of eight
 MinHash bytes in each of ``TREES`` orders and a 256-bit sketch.
 
 1. Each order is sorted by label (a range partitioning over all orders at
-   once).  A *region* is a run with a common prefix of ``MIN_DEPTH`` bytes; where
-   more than ``REGION`` rows share it, the prefix grows byte by byte, and a run
-   that still agrees on the whole label is cut into chunks, dealt differently in
-   each order.  Longest-common-prefix neighbours, the rows of one region, are
-   candidates if their sketch and size allow a link.
+   once).  A *region* is all rows that share a prefix of ``MIN_DEPTH`` bytes there.
+   The rows of one region are candidates if their sketch and size allow a link;
+   a region of more than ``REGION`` rows is dealt in blocks, each pair of blocks to
+   one group, so that all its pairs are compared.
 2. Candidates are joined to *clumps*, connected components of the candidate
    graph; most documents are in none.
 3. A clump is dealt in blocks of ``BLOCK`` classes, each pair of blocks to one
-   group; a clump of more than ``TREES`` blocks is dealt by its regions instead, which
-   is then the smaller number of copies.  A group compares all its full sets at
-   once, by matrix products over the shared shingles, and reports a spanning
-   forest of the confirmed links, so no pair is ever a row.  The links give the
-   components.
+   group.  Where that takes fewer copies, a clump of more than ``TREES`` blocks is
+   dealt by its regions, each of them in blocks in the same way.  A group compares all
+   its full sets at once, by matrix products over the shared shingles, and reports a
+   spanning forest of the confirmed links, so no pair is ever a row.  The links give
+   the components.
 
 The only things lost are links that meet in no order or fail the sketch: at a
-similarity of exactly 0.8 a pair misses all 48 orders with a chance of 4e-7 and
+similarity of exactly 0.8 a pair misses all 48 orders with a chance of 5e-7 and
 the sketch with one of 1e-7; more similar pairs far more rarely, and a pair
-that shares a clump is compared anyway.
+that shares a clump dealt in blocks is compared anyway.  The size of a region or
+clump does not change this; its cost grows with the square of it.
 """
 
 from __future__ import annotations
@@ -43,14 +43,17 @@ WORDS = 2
 TREES = 48
 LABEL_BYTES = 8
 MIN_DEPTH = 6
-REGION = 256
+#: Sketches and classes of a block; larger regions and clumps are compared by pairs of blocks.
+REGION = 2048
 BLOCK = 256
 SKETCH_BITS = 256
 #: Most differing sketch bits of a candidate; at a similarity of 0.8 the mean is 25.6 and the deviation 4.8.
 MAX_DIFFERENT = 53
 SEED = 20240917
-#: Rows of a sorted order that a task holds at a time (about 100 bytes each); a longer run is cut there.
+#: Rows of a sorted order that a task holds at a time (about 100 bytes each).
 CHUNK = 1 << 18
+#: Rows with sketches that a task holds at a time, besides the group that goes on.
+SKETCH_CHUNK = 1 << 14
 #: Rows with full sets that a task holds at a time, besides the group that goes on.
 SET_CHUNK = 1 << 10
 #: Shingles in one matrix product.
@@ -96,24 +99,8 @@ def _ends(keys: np.ndarray) -> np.ndarray:
 
 
 def _regions(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """A number per row, equal for the rows of a region (rows sorted by tree and label)."""
-    bits = (label.view(np.uint64) ^ np.uint64(1 << 63))
-    region = np.zeros(len(label), np.int64)
-    large, at = np.arange(len(label)), 0
-    for depth in range(MIN_DEPTH, LABEL_BYTES + 1):
-        prefix = bits[large] >> np.uint64(8 * (LABEL_BYTES - depth))
-        change = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (tree[large][1:] != tree[large][:-1])
-                                 | (np.diff(large) != 1) | (np.diff(region[large]) != 0)))[:len(large)]
-        number = np.cumsum(change) - 1
-        region[large] = at + number
-        at += (number[-1] + 1) if len(number) else 0
-        size = np.bincount(number)[number] if len(number) else number
-        large = large[size > REGION]
-        if not len(large):
-            return region
-    first = np.searchsorted(region[large], region[large])  # the numbers of what is left ascend
-    region[large] = at + region[large] * (1 << 24) + (np.arange(len(large)) - first) // REGION
-    return region
+    """The region of each row, a number that holds the order and the prefix and so is the same in every task."""
+    return tree.astype(np.int64) << (8 * MIN_DEPTH) | (label >> (8 * (LABEL_BYTES - MIN_DEPTH))) & ((1 << 8 * MIN_DEPTH) - 1)
 
 
 def _near(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,16 +112,20 @@ def _near(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     return ok
 
 
-def _pairs(region: np.ndarray, n: np.ndarray, sketch: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row-number pairs of a region, at most ``within`` apart, that may be similar."""
-    ends = _ends(region)
-    rows = np.arange(len(region))
-    for shift in range(1, within + 1):
+def _candidate_heads(group: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The head of each row after joining all pairs of rows of a group that may be similar."""
+    ends = _ends(group)
+    rows, head, shift = np.arange(len(group)), np.arange(len(group)), 0
+    while True:
+        shift += 1
         rows = rows[rows + shift < ends[rows]]
         if not len(rows):
-            return
-        ok = _near(n, sketch, rows, rows + shift)
-        yield rows[ok], rows[ok] + shift
+            return head
+        apart = rows[head[rows] != head[rows + shift]]
+        if len(apart):
+            apart = apart[_near(n, sketch, apart, apart + shift)]
+        if len(apart):
+            head = _unite(head, apart, apart + shift)
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -142,7 +133,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _collected(batches: Iterator[pa.RecordBatch], key, rows: int) -> Iterator[pa.Table]:
-    """Tables of about so many rows that end where ``key`` (of a table) changes, if it does."""
+    """Tables of about so many rows that end where ``key`` (of a table) changes; rows of one key stay together."""
     held: list[pa.RecordBatch] = []
     pieces = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
     for piece in pieces:
@@ -151,8 +142,9 @@ def _collected(batches: Iterator[pa.RecordBatch], key, rows: int) -> Iterator[pa
             whole = pa.Table.from_batches(held).combine_chunks()
             keys = key(whole)
             last = int(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[-1])
-            yield whole.slice(0, last or len(keys))
-            held = whole.slice(last).to_batches() if last else []
+            if last:
+                yield whole.slice(0, last)
+            held = whole.slice(last).to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -174,63 +166,84 @@ def _unite(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(region, sid)`` of rows sorted by order and label, for regions of several rows."""
-    from pyspark import TaskContext
-
-    def prefix(whole: pa.Table) -> np.ndarray:
-        label = _column(whole, "label").to_numpy() >> (8 * (LABEL_BYTES - MIN_DEPTH))
-        return label * TREES + _column(whole, "tree").to_numpy()
-
-    base = TaskContext.get().partitionId() << 40
-    for whole in _collected(batches, prefix, CHUNK):
-        tree, label = _column(whole, "tree").to_numpy(), _column(whole, "label").to_numpy()
-        region = _ends(_regions(tree, label))  # the place where a region ends names it in this table
-        keep = np.flatnonzero(np.bincount(region)[region] > 1)
-        if len(keep):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(base + region[keep], pa.int64()), _column(whole, "sid").take(pa.array(keep))],
-                names=["region", "sid"])
-        base += len(region)
+    """``(region, sid)`` of rows sorted by order and label, without the regions that are seen to have one row;
+    the first and the last region of a table may go on in another one or another task."""
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        region = _regions(_column(whole, "tree").to_numpy(), _column(whole, "label").to_numpy())
+        cuts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
+        size = np.diff(cuts)
+        size[[0, -1]] += 1
+        keep = np.flatnonzero(np.repeat(size, np.diff(cuts)) > 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(region[keep], pa.int64()), _column(whole, "sid").take(pa.array(keep))], names=["region", "sid"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield flush(held)
+            held = []
+    if held:
+        yield flush(held)
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by region, those with a candidate there, as ``(region, sid, head)``; ``head`` is a
+    """Of rows sorted by group, those with a candidate there, as ``(region, sid, head)``; ``head`` is a
     row that candidates join them to."""
-    for whole in _collected(batches, lambda t: _column(t, "region").to_numpy(), CHUNK):
-        region, sid = _column(whole, "region").to_numpy(), _column(whole, "sid").to_numpy()
-        n, sketch = _column(whole, "n").to_numpy(), _sketches(_column(whole, "sketch"))
-        live, head = np.zeros(len(region), bool), np.arange(len(region))
-        for a, b in _pairs(region, n, sketch, REGION):
-            live[a] = live[b] = True
-            head = _unite(head, a, b)
-        keep = np.flatnonzero(live)
+    for whole in _collected(batches, lambda t: _column(t, "part").to_numpy(), SKETCH_CHUNK):
+        part, sid = _column(whole, "part").to_numpy(), _column(whole, "sid").to_numpy()
+        head = _candidate_heads(part, _column(whole, "n").to_numpy(), _sketches(_column(whole, "sketch")))
+        keep = np.flatnonzero(np.bincount(head, minlength=len(head))[head] > 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(region[keep]), pa.array(sid[keep]), pa.array(sid[head[keep]])], names=["region", "sid", "head"])
+            [_column(whole, "region").take(pa.array(keep)), pa.array(sid[keep]), pa.array(sid[head[keep]])],
+            names=["region", "sid", "head"])
+
+
+def _block_pairs(rows: DataFrame, blocks: str) -> DataFrame:
+    """``rows`` once for each pair of blocks that holds their own one; ``least`` and ``greatest`` name the pair."""
+    return (rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col(blocks)))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
+            .withColumns({"least": F.least("mine", "other"), "greatest": F.greatest("mine", "other")}))
 
 
-def _candidates(signed: DataFrame, partitions: int) -> DataFrame:
+def _candidates(signed: DataFrame, partitions: int, most: int) -> DataFrame:
     """``(region, sid, head)``: the classes that have candidates, per region."""
     labelled = signed.select(F.col("_tm_row").alias("sid"), F.posexplode("labels").alias("tree", "label"))
     order = ["tree", "label", F.xxhash64("sid", "tree")]
     met = (labelled.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-           .mapInArrow(_region_rows, "region long, sid long"))
-    sketched = met.join(signed.select(F.col("_tm_row").alias("sid"), "n", "sketch"), "sid")
-    return (sketched.select("region", "sid", "n", "sketch").repartition(partitions, "region")
-            .sortWithinPartitions("region", "sid").mapInArrow(_candidate_rows, "region long, sid long, head long"))
+           .mapInArrow(_region_rows, "region long, sid long")).checkpoint()
+    large = (met.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")).filter("blocks > 1").checkpoint())
+    n_large = large.count()
+    dealt = met.withColumn("part", F.col("region"))
+    if n_large:
+        large = F.broadcast(large) if n_large <= BROADCAST_IDS else large
+        pairs = _block_pairs(met.join(large, "region"), "blocks")
+        dealt = met.join(large, "region", "left_anti").withColumn("part", F.col("region")).unionByName(
+            pairs.select("region", "sid", F.xxhash64("region", "least", "greatest").alias("part")))
+    sketched = dealt.join(signed.select(F.col("_tm_row").alias("sid"), "n", "sketch"), "sid")
+    return (sketched.select("region", "part", "sid", "n", "sketch").repartition(partitions, "part")
+            .sortWithinPartitions("part", "sid").mapInArrow(_candidate_rows, "region long, sid long, head long"))
 
 
 def _groups(active: DataFrame, clumps: DataFrame, block: int) -> DataFrame:
     """``(part, sub, sid)``: the groups that together hold every candidate pair."""
     members = clumps.select(F.col("node").alias("sid"), F.col("root").alias("clump")).unionByName(
         clumps.select(F.col("root").alias("sid"), F.col("root").alias("clump")).distinct())
-    sizes = members.groupBy("clump").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "clump").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    by_blocks = (members.filter(F.col("blocks") <= TREES)
-                 .select("sid", "clump", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-                 .select(F.col("clump").alias("part"), "sid", (F.least("mine", "other") * TREES
-                                                               + F.greatest("mine", "other")).cast("long").alias("sub")))
-    by_regions = (active.join(members.filter(F.col("blocks") > TREES).select("sid"), "sid", "left_semi")
-                  .select(F.col("region").alias("part"), "sid", F.lit(-1).cast("long").alias("sub")))
+    sizes = members.groupBy("clump").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    large = members.join(sizes.filter(F.col("blocks") > TREES).select("clump"), "clump", "left_semi")
+    held = active.select("region", "sid").distinct().join(large, "sid").checkpoint()
+    runs = held.groupBy("region", "clump").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block))
+    copies = runs.groupBy("clump").agg(F.sum(F.col("n") * F.col("parts")).alias("copies"))
+    sizes = sizes.join(copies, "clump", "left").withColumn(
+        "whole", F.coalesce(F.col("n") * F.col("blocks") <= F.col("copies"), F.lit(True))).checkpoint()
+    by_blocks = _block_pairs(members.join(sizes.filter("whole").select("clump", "blocks"), "clump"), "blocks").select(
+        F.col("clump").alias("part"), "sid", (F.col("least") * (1 << 31) + F.col("greatest")).alias("sub"))
+    cut = runs.join(sizes.filter("NOT whole").select("clump"), "clump", "left_semi").select("region", "clump", "parts")
+    by_regions = _block_pairs(held.join(cut, ["region", "clump"]), "parts").select(
+        F.xxhash64("region", "clump").alias("part"), "sid",
+        (-1 - F.col("least") * (1 << 31) - F.col("greatest")).alias("sub"))
     return by_blocks.unionByName(by_regions)
 
 
@@ -275,7 +288,7 @@ def _links(sets: DataFrame, partitions: int, percent: int) -> DataFrame:
             .sortWithinPartitions("part", "sub", "sid"))
 
     def key(whole: pa.Table) -> np.ndarray:
-        return _column(whole, "part").to_numpy() * (TREES * TREES + 1) + _column(whole, "sub").to_numpy()
+        return _column(whole, "part").to_numpy() * 0x9E3779B97F4A7C1 + _column(whole, "sub").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _collected(batches, key, SET_CHUNK):
@@ -299,7 +312,7 @@ def _links(sets: DataFrame, partitions: int, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                percent: int = 80, block: int = BLOCK) -> DataFrame:
+                percent: int = 80, block: int = BLOCK, region: int = REGION) -> DataFrame:
     """One row per document row: ``doc_id, n_shingles, component_id, kept`` and
     ``_tm_row`` (see ``with_row_id``).
 
@@ -327,7 +340,8 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         .filter("_tm_row <> sid").select("_tm_row").checkpoint())
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
-    active = _candidates(signed.filter("n > 0").join(copies, "_tm_row", "left_anti"), partitions).checkpoint()
+    active = _candidates(signed.filter("n > 0").join(copies, "_tm_row", "left_anti"), partitions,
+                         region).checkpoint()
     clumps = connected_components(active.select(F.col("sid").alias("u"), F.col("head").alias("v")))
     groups = _groups(active, clumps, block).checkpoint()
     roots = connected_components(_links(_sets(rows, "_tm_text", words, groups), partitions, percent))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
 from pyspark.sql import Row
 
 from tastemap.llm.components import connected_components
-from tastemap.llm.near_dedup import drop_near_copies, near_groups, op9_near_dedup
+from tastemap.llm.near_dedup import _groups, drop_near_copies, near_groups, op9_near_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -82,6 +83,32 @@ def test_large_clumps_are_dealt_in_blocks_and_by_regions(spark):
         check(near_groups(rows, block=block).collect(), docs)
 
 
+def test_pairs_in_a_large_family_of_boilerplate(spark):
+    """Two thousand texts that share most of a label with all others, and a link only with one."""
+    base = [f"b{i}" for i in range(41)]
+    docs = [(2 * i + j, " ".join([*base, f"p{i}", *(f"d{i}.{j}.{k}" for k in range(5))]))
+            for i in range(1000) for j in range(2)]
+    want = by_all_pairs(docs)
+    assert len({root for _, root in want.values()}) == 1000
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for sizes in ({"block": 16}, {"block": 16, "region": 100}):  # more blocks than orders; regions in blocks too
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(rows, **sizes).collect()}
+        assert got == want
+
+
+def test_regions_and_clumps_of_any_size_keep_every_pair(spark):
+    """All pairs that share a prefix in an order meet in a group, by regions as well."""
+    active = spark.createDataFrame([(7, i, 0) for i in range(300)] + [(8 + i // 2, i, 0) for i in range(300, 2000)]
+                                   + [(5000, 299, 0), (5000, 300, 0)], "region long, sid long, head long")
+    clumps = spark.createDataFrame([(i, 0) for i in range(1, 2000)], "node long, root long")
+    groups = {}
+    for r in _groups(active, clumps, 4).collect():
+        groups.setdefault((r.part, r.sub), set()).add(r.sid)
+    met = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+    assert met >= set(itertools.combinations(range(300), 2)) | {(i, i + 1) for i in range(300, 2000, 2)} | {(299, 300)}
+    assert len(met) < 100_000  # by regions
+
+
 def test_many_copies_and_chains(spark):
     base = [f"t{i}" for i in range(60)]
     docs = [(i, " ".join(base)) for i in range(400)]  # one large group of copies
