@@ -5,7 +5,8 @@ dropped without a retry).  Further candidates, runs of base64, base64url or hex
 characters, are only reported when what they decode to parses: a DER key
 structure whose nested lengths fill the value exactly, an OpenSSH key blob whose
 length-prefixed fields do, or a signed token whose header is JSON with an
-algorithm.
+algorithm.  A key may start at any line of a run of lines (line breaks may be
+escaped) and ends at the line end that its own lengths name.
 
 Row-local: the text is scanned where it is read, nothing is shuffled.
 """
@@ -17,7 +18,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +41,14 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # the maximal runs of at least 16
 _SIGNED = re.compile(rb"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(rb"(?:[A-Za-z0-9+/_-]{%d,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2})" % MIN_RUN)
+_BREAK = rb"(?:\r?\n|(?:\\+r)?\\+n)"  # as such or escaped
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]+)*={0,2}" % (MIN_RUN, _BREAK))
+_FRAME = re.compile(rb"-{5,}")
+_LINE_BREAK = re.compile(_BREAK)
+#: Fields of the usual public keys after which they end, their name counted.
+_SSH_FIELDS = {b"ssh-ed25519": 2, b"ssh-rsa": 3, b"ssh-dss": 5, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3,
+               b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+_SSH_PRIVATE = b"openssh-key-v1\x00"
 _HEX_RUN = re.compile(rb"(?i:[0-9a-f]{%d,})" % MIN_RUN)
 
 
@@ -99,8 +109,7 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private key blob, or a public key whose fields fill it."""
-    magic = b"openssh-key-v1\x00"
-    at, texts = (len(magic), 3) if data.startswith(magic) else (0, 1)
+    at, texts = (len(_SSH_PRIVATE), 3) if data.startswith(_SSH_PRIVATE) else (0, 1)
     for _ in range(texts):
         size = int.from_bytes(data[at:at + 4], "big")
         if at + 4 > len(data) or at + 4 + size > len(data):
@@ -138,6 +147,80 @@ def _key_kind(data: bytes | None) -> str | None:
     return "ssh_key" if data and is_ssh_key(data) else None
 
 
+def _named_sizes(body: bytes, start: int) -> list[int]:
+    """How many bytes a key that starts at ``body[start]`` (base64) says that it has; several for an
+    unknown kind of public key.  Only the lengths are decoded."""
+    def read(at: int, n: int) -> bytes:
+        first, skip = start + at // 3 * 4, at % 3
+        part = body[first:first + (skip + n + 2) // 3 * 4]
+        return (_decode64(part[:len(part) - (len(part) % 4 == 1)]) or b"")[skip:skip + n]
+
+    def field(at: int) -> int | None:
+        size = read(at, 4)
+        end = at + 4 + int.from_bytes(size, "big")
+        return end if len(size) == 4 and end <= total else None
+
+    total = (len(body) - start) * 3 // 4
+    head = read(0, 6)
+    if head[:1] == b"\x30" and len(head) == 6:
+        n = head[1] & 0x7F if head[1] >= 0x80 else 0
+        return [2 + n + (int.from_bytes(head[2:2 + n], "big") if n else head[1])] if n <= 4 else []
+    if read(0, len(_SSH_PRIVATE)) == _SSH_PRIVATE:
+        at = len(_SSH_PRIVATE)
+        for _ in range(3):
+            if (at := field(at)) is None:
+                return []
+        keys, at = int.from_bytes(read(at, 4), "big"), at + 4
+        for _ in range(keys + 1):  # the public keys and the private ones, which are one field
+            if (at := field(at)) is None:
+                return []
+        return [at]
+    if (at := field(0)) is None or at > 64:
+        return []
+    usual, ends = _SSH_FIELDS.get(read(4, at - 4)), []
+    while (at := field(at)) is not None:
+        ends.append(at)
+        if len(ends) + 1 == usual:
+            return [at, *ends[-2::-1]]
+    return ends[::-1]
+
+
+def _keys(raw: bytes, m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """The keys in a run of base64 lines: each starts at a line and ends at a line end, or at dashes of a frame."""
+    lines, at = [], m.start()
+    for gap in _LINE_BREAK.finditer(raw, m.start(), m.end()):
+        lines.append((at, gap.start()))
+        at = gap.end()
+    lines.append((at, m.start() + len(m[0].rstrip(b"="))))
+    body = b"".join(raw[s:e] for s, e in lines)
+    ends = list(accumulate(e - s for s, e in lines))
+    escaped = raw[m.start() - 1:m.start()] == b"\\" and raw[m.start():m.start() + 1] in (b"n", b"r", b"t")
+    done, found = 0, False
+    for i, (s, e) in enumerate(lines):
+        begin = ends[i] - (e - s)
+        starts = [begin, *(f.end() for f in _FRAME.finditer(body, begin, ends[i]))]
+        if escaped and not i:  # the letter may belong to an escape before the run
+            starts.insert(1, begin + 1)
+        for start in starts:
+            if start < done or body[start:start + 1] not in (b"M", b"A", b"b"):  # how sequences, lengths and the private kind begin
+                continue
+            for size in _named_sizes(body, start):
+                stop = start + (4 * size + 2) // 3
+                j = bisect_left(ends, stop)
+                if stop > len(body) or (stop != ends[j] and body[stop:stop + 5] != b"-----"):
+                    continue
+                if kind := _key_kind(_decode64(body[start:stop])):
+                    last = m.end() if stop == len(body) else lines[j][1] - (ends[j] - stop)
+                    yield s + start - begin, last, kind
+                    done, found = stop, True
+                    break
+    if not found:  # a private key whose parts do not end where they say: all the lines, else the first alone
+        for stop, last in ((len(body), m.end()), (ends[0], lines[0][1] if len(lines) > 1 else m.end())):
+            if kind := _key_kind(_decode64(body[:stop])):
+                yield m.start(), last, kind
+                return
+
+
 def find_secrets(raw: bytes) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in byte offsets of a UTF-8 text, base kinds and confirmed ones."""
     found = [(*m.span(), "assign") for m in _ASSIGN.finditer(raw) if len(m[1]) >= 12]
@@ -145,11 +228,8 @@ def find_secrets(raw: bytes) -> list[tuple[int, int, str]]:
     found += [(*m.span(), "hex") for m in _HEX.finditer(raw)]
     if b"." in raw:
         found += [(*m.span(), "signed_token") for m in _SIGNED.finditer(raw) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(raw):  # all its lines, else the first alone
-        for value in dict.fromkeys((m[0], re.split(rb"\r?\n", m[0], maxsplit=1)[0])):
-            if kind := _key_kind(_decode64(value)):
-                found.append((m.start(), m.start() + len(value), kind))
-                break
+    for m in _BASE64.finditer(raw):
+        found += _keys(raw, m)
     for m in _HEX_RUN.finditer(raw):
         if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0].decode()))):
             found.append((*m.span(), kind))

@@ -104,6 +104,37 @@ def test_encoded_keys_are_confirmed(encode):
     assert "der_key" not in [k for _, _, k in find_secrets(text.replace(b"M", b"N", 1).replace(b"3082", b"3083", 1))]
 
 
+@pytest.mark.parametrize("line_end", [b"\n", b"\r\n", b"\\n", b"\\r\\n"])
+@pytest.mark.parametrize("extra", range(3))
+def test_framed_keys_of_all_lengths(line_end, extra):
+    """With and without padding, up to the frame and with words or a second key after it."""
+    key = _der(0x30, b"".join(_der(0x02, bytes([1 + i]) * k)
+                              for i, k in enumerate([1, 300, 3, 300, 130, 130, 130, 130, 70 + extra])))
+    assert is_der_key(key)
+    lines = base64.b64encode(key)
+    lines = [lines[i:i + 64] for i in range(0, len(lines), 64)]
+    begin, end = b"-----BEGIN RSA PRIVATE KEY-----", b"-----END RSA PRIVATE KEY-----"
+    first = len(begin + line_end)
+    for text in (line_end.join([begin, *lines, end, begin, *lines, end]), line_end.join([begin, *lines, end])):
+        spans = [f for f in find_secrets(text) if f[2] == "der_key"]
+        assert spans[0] == (first, first + len(line_end.join(lines)), "der_key")
+        assert len(spans) == text.count(begin)
+    assert [k for _, _, k in find_secrets(line_end.join([b"-" * 50, *lines, b"Then", b"some", b"words"]))] == ["der_key"]
+    assert [k for _, _, k in find_secrets(begin + b"".join(lines) + end)] == ["der_key"]
+    assert find_secrets(line_end.join([begin, *lines[:-1], end])) == []
+
+
+def test_ssh_keys_end_where_their_fields_do():
+    public = base64.b64encode(SSH).rstrip(b"=")
+    assert [(e - s, k) for s, e, k in find_secrets(public + b"\n" + public + b"\nwords\nhere")] == [
+        (len(public), "ssh_key")] * 2
+    fields = (b"none", b"none", b"")
+    private = b"openssh-key-v1\0" + b"".join(len(p).to_bytes(4, "big") + p for p in fields) + (1).to_bytes(4, "big")
+    private += b"".join(len(p).to_bytes(4, "big") + p for p in (SSH, bytes(137)))
+    lines = base64.encodebytes(private).rstrip(b"\n")
+    assert find_secrets(b"-----BEGIN\n" + lines + b"\n-----END") == [(11, 11 + len(lines), "ssh_key")]
+
+
 def test_signed_tokens():
     head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').rstrip(b"=")
     body = base64.urlsafe_b64encode(b'{"sub":"1"}').rstrip(b"=")
