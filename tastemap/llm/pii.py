@@ -8,11 +8,12 @@ The bootstrap works on *phrases*, runs of tokens that hold a digit or ``@``.
 A phrase that holds a valid base entity is a seed of its kind.  The words
 around a phrase are its lexical patterns: the two words before it, and the word
 before with the word after.  Patterns and phrase texts form a bipartite graph
-that is scored in turns: a pattern's confidence in a kind is the mean score of
+that is scored until it settles: a pattern's confidence in a kind is the mean score of
 its distinct instances (one more in the divisor), an instance's score is the
 noisy-or of its patterns, seeds stay at 1.  Patterns with ``min_support``
-distinct seeds and a confidence of ``threshold`` after ``rounds`` turns mark the
-other phrases in their context as personal data of that kind.
+distinct seeds and a confidence of ``threshold`` mark the other phrases in their
+context as personal data of that kind.  These count as support as well, and
+patterns that they bring in are scored with the rest, until none is new.
 
 Scale: the graph is made of distinct (pattern, instance) pairs, so a context
 shared by a third of all rows is collapsed before its shuffle; only patterns
@@ -29,7 +30,9 @@ from tastemap.llm.common import hex_digest, prepare, table, with_row_id
 BASE_KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
 THRESHOLD = 0.8
-ROUNDS = 3
+#: Scores have settled when no confidence changes by more than ``SETTLED``; not after ``ROUNDS`` rounds is an error.
+SETTLED = 1e-9
+ROUNDS = 1000
 CONTEXT_CHARS = 80
 
 #: The contract's patterns.  Possessive runs, and starts at the front of a run only (or where the
@@ -113,27 +116,65 @@ def _phrases(found: DataFrame) -> DataFrame:
             .join(seeds, ["_tm_row", "start"], "left"))
 
 
-def score_patterns(phrases: DataFrame, *, min_support: int = MIN_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """``(pattern, kind, confidence)`` after ``rounds`` turns over the pattern-instance graph."""
-    edges = (phrases.select(F.explode("patterns").alias("pattern"), "instance", "seed")
-             .groupBy("pattern", "instance").agg(F.min("seed").alias("seed")))
-    seeds = phrases.filter("seed IS NOT NULL").groupBy("instance").agg(F.min("seed").alias("kind"))
-    supported = (edges.filter("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind"))
-                 .agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support))
-    live = supported.select("pattern").distinct()
-    graph = edges.join(live, "pattern", "left_semi").select("pattern", "instance").checkpoint()
+def _may_be(instance: Column, kind: Column) -> Column:
+    """Whether a phrase can be of the kind at all: three characters of ``[0-9@]``."""
+    return F.length(F.regexp_replace(instance, "[^0-9@]", "")) >= 3
+
+
+def _settled(graph: DataFrame, seeds: DataFrame, confidence: DataFrame, rounds: int) -> DataFrame:
+    """``confidence`` (of ``pattern, kind``) carried on, from below, until it settles.
+
+    An instance's score is ``1 - q * (1 - confidence)`` in the confidence of one of its patterns, ``q`` being the product
+    over its other patterns, so each round solves every pattern's equation for itself exactly.  A pattern
+    with far more unseen instances than seeds then settles as fast as any other.
+    """
+    unseen = graph.join(seeds.select("instance"), "instance", "left_anti").checkpoint()
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    roots = (graph.select("instance").distinct().join(seeds, "instance")
-             .select("instance", "kind", F.lit(1.0).alias("score")).checkpoint())
-    kinds = supported.select("pattern", "kind").checkpoint()
-    scores, confidence = roots, None
+    held = graph.join(seeds, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("s"))
+    counts = (confidence.select("pattern", "kind").join(sizes, "pattern").join(held, ["pattern", "kind"], "left")
+              .select("pattern", "kind", "n", F.coalesce("s", F.lit(0)).alias("s")).checkpoint())
     for _ in range(rounds):
-        confidence = (graph.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-                      .join(kinds, ["pattern", "kind"], "left_semi").join(sizes, "pattern")
-                      .select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence")).checkpoint())
-        implied = (graph.join(confidence, "pattern").groupBy("instance", "kind")
-                   .agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score")))
-        scores = (implied.join(roots.select("instance"), "instance", "left_anti").unionByName(roots)).checkpoint()
+        doubts = unseen.join(confidence, "pattern").select(
+            "pattern", "instance", "kind", F.log1p(-F.col("confidence")).alias("doubt"))
+        whole = doubts.groupBy("instance", "kind").agg(F.sum("doubt").alias("whole"))
+        others = (doubts.join(whole, ["instance", "kind"]).groupBy("pattern", "kind")
+                  .agg(F.count(F.lit(1)).alias("k"), F.sum(F.exp(F.col("whole") - F.col("doubt"))).alias("q")))
+        k, q = F.coalesce("k", F.lit(0)), F.coalesce("q", F.lit(0.0))
+        moved = (counts.join(others, ["pattern", "kind"], "left")
+                 .select("pattern", "kind", ((F.col("s") + k - q) / (F.col("n") + 1 - q)).alias("moved"))
+                 .join(confidence, ["pattern", "kind"]).checkpoint())
+        change = moved.agg(F.max(F.abs(F.col("moved") - F.col("confidence")))).first()[0]
+        confidence = moved.select("pattern", "kind", F.col("moved").alias("confidence"))
+        if change is None or change <= SETTLED:
+            return confidence
+    raise RuntimeError(f"confidences still change by {change} after {rounds} rounds")
+
+
+def score_patterns(phrases: DataFrame, *, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD,
+                   rounds: int = ROUNDS) -> DataFrame:
+    """``(pattern, kind, confidence)`` of the settled pattern-instance graph."""
+    edges = (phrases.select(F.explode("patterns").alias("pattern"), "instance", "seed")
+             .groupBy("pattern", "instance").agg(F.min("seed").alias("seed")))
+    seeds = phrases.filter("seed IS NOT NULL").groupBy("instance").agg(F.min("seed").alias("kind")).checkpoint()
+    seeded = (edges.filter("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind"))
+              .agg(F.count(F.lit(1)).alias("support")).checkpoint())
+    kinds = seeded.filter(F.col("support") >= min_support).select("pattern", "kind")
+    confidence, n_kinds = kinds.withColumn("confidence", F.lit(0.0)), kinds.count()
+    while n_kinds:
+        graph = (edges.join(confidence.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance")
+                 .checkpoint())
+        confidence = _settled(graph, seeds, confidence, rounds)
+        accepted = (graph.join(confidence.filter(F.col("confidence") >= threshold), "pattern").select("instance", "kind")
+                    .filter(_may_be(F.col("instance"), F.col("kind"))).distinct()
+                    .join(seeds.select("instance"), "instance", "left_anti"))
+        added = edges.join(accepted, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("more"))
+        wider = (seeded.join(added, ["pattern", "kind"], "full_outer")
+                 .filter(F.coalesce("support", F.lit(0)) + F.coalesce("more", F.lit(0)) >= min_support)
+                 .select("pattern", "kind").join(confidence, ["pattern", "kind"], "full_outer")
+                 .select("pattern", "kind", F.coalesce("confidence", F.lit(0.0)).alias("confidence")).checkpoint())
+        if (n := wider.count()) == n_kinds:
+            break
+        confidence, n_kinds = wider, n
     return confidence
 
 
@@ -153,10 +194,11 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     rows = with_row_id(docs).select("_tm_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))
     found = find_matches(rows, "_tm_text").checkpoint()
     phrases = _phrases(found).checkpoint()
-    confident = score_patterns(phrases, min_support=min_support, rounds=rounds).filter(F.col("confidence") >= threshold)
+    confident = score_patterns(phrases, min_support=min_support, threshold=threshold, rounds=rounds).filter(
+        F.col("confidence") >= threshold)
     added = (phrases.filter("seed IS NULL")
-             .filter(F.length(F.regexp_replace("instance", "[^0-9@]", "")) >= 3)
-             .select("_tm_row", "start", "end", F.explode("patterns").alias("pattern")).join(confident, "pattern")
+             .select("_tm_row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+             .join(confident, "pattern").filter(_may_be(F.col("instance"), F.col("kind")))
              .select("_tm_row", F.concat(F.lit("found_"), "kind").alias("kind"), "start", "end").distinct())
     spans = found.filter("kind <> 'phrase'").select("_tm_row", "kind", "start", "end").unionByName(added)
     rank = F.array_position(F.array(*(F.lit(k) for k in BASE_KINDS)), F.col("kind"))

@@ -65,6 +65,32 @@ def test_patterns_learned_from_seeds_find_unseen_identifiers(spark):
     assert got[11] == "" and got[0] == "email:16:31"
 
 
+def _spans(spark, texts):
+    rows = [Row(doc_id=i, text=t) for i, t in enumerate(texts)]
+    return [r.spans for r in sorted(personal_data(spark.createDataFrame(rows)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_many_more_unseen_identifiers_than_seeds(spark):
+    """One pattern of ten seeds (settled confidence 10/11) with forty unseen ones, and two patterns of as many."""
+    known = [f"please write to w{i}@mail.example" for i in range(10)]
+    unseen = [f"please write to user-{77700 + i}" for i in range(40)]
+    one = [f"{t} {'ab'[i % 2]}{'x' * i}" for i, t in enumerate([*known, *unseen])]  # the word after each is another
+    two = [f"{t} today" for t in [*known, *unseen]]
+    for texts in (one, two):
+        got = _spans(spark, texts)
+        assert all(s.startswith("email:16:") for s in got[:10])
+        assert all("found_email:16:26" in s for s in got[10:])
+
+
+def test_discovered_identifiers_support_new_patterns(spark):
+    """No seed stands after 'ticket of'; identifiers found elsewhere do, and lead to one that stands only there."""
+    seeds = [f"please write to w{i}@mail.example today" for i in range(10)]
+    found = [f"please write to user-{77700 + i} today" for i in range(10)]
+    again = [f"the ticket of user-{77700 + i} was closed" for i in range(10)]
+    got = _spans(spark, [*seeds, *found, *again, "the ticket of user-88888 was closed", "the number of user-88889 is odd"])
+    assert got[-2:] == ["found_email:14:24", ""]
+
+
 def test_no_pattern_without_support(spark):
     rows = [Row(doc_id=1, text="call me on a1@b.cc now"), Row(doc_id=2, text="call me on 123456 now")]
     got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows)).collect()}
