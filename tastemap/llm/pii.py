@@ -117,8 +117,8 @@ def _phrases(found: DataFrame) -> DataFrame:
 
 
 def _may_be(instance: Column, kind: Column) -> Column:
-    """Whether a phrase can be of the kind at all: three characters of ``[0-9@]``."""
-    return F.length(F.regexp_replace(instance, "[^0-9@]", "")) >= 3
+    """Whether a phrase can be of the kind at all: an ``@`` for an address, else three characters of ``[0-9@]``."""
+    return (F.length(F.regexp_replace(instance, "[^0-9@]", "")) >= 3) | ((kind == "email") & instance.contains("@"))
 
 
 def _settled(graph: DataFrame, seeds: DataFrame, confidence: DataFrame, rounds: int) -> DataFrame:
@@ -188,7 +188,7 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     row each (``docs`` must be a stable scan); an empty table gives no rows;
     other columns are ignored.  At equal starts the base kinds come first, in
     their order.  A phrase with a digit or ``@`` is only discovered when it
-    holds at least three such characters and overlaps no base span.
+    holds at least three such characters, or as an address an ``@``, and overlaps no base span.
     """
     prepare(docs.sparkSession)
     rows = with_row_id(docs).select("_tm_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))

@@ -91,6 +91,13 @@ def test_discovered_identifiers_support_new_patterns(spark):
     assert got[-2:] == ["found_email:14:24", ""]
 
 
+def test_addresses_without_digits_or_dots_are_discovered(spark):
+    seeds = [f"please write to w{i}@mail.example today" for i in range(10)]
+    unseen = ["jane@localhost", "jane.doe@intranet", "j2@host", "x1"]
+    got = _spans(spark, [*seeds, *(f"please write to {u} today" for u in unseen)])[10:]
+    assert got == [*(f"found_email:16:{16 + len(u)}" for u in unseen[:3]), ""]
+
+
 def test_no_pattern_without_support(spark):
     rows = [Row(doc_id=1, text="call me on a1@b.cc now"), Row(doc_id=2, text="call me on 123456 now")]
     got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows)).collect()}
