@@ -38,8 +38,8 @@ from tastemap.llm.shingles import mix
 
 BUCKETS = 1 << 15
 FIT_ROWS = 3000
-#: The model holds at most so many languages, those with most labelled rows.
-MAX_LANGUAGES = 64
+#: The model holds every label.  It is broadcast, so beyond this size (8,192 labels) it is an error.
+MODEL_BYTES = 1 << 30
 TEXT_WEIGHT = 4.0
 DECLARED_RIGHT = 0.9
 SUFFIX_RIGHT = 0.7
@@ -89,33 +89,34 @@ def fit(labelled: DataFrame, *, text: str, label: str, row_id: str, fit_rows: in
     """
     rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
                            F.col(row_id).alias("id")).filter("label IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in sizes)
+    sizes = sorted((r["label"], r["count"]) for r in rows.groupBy("label").count().collect())
+    languages = [label for label, _ in sizes]
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
+    if len(languages) * BUCKETS * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} labels are too many for one broadcast model")
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("label") == r["label"], F.lit(int(min(1.0, fit_rows / r["count"]) * (1 << 30)))
-                       ).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame(
+        [(label, i, int(min(1.0, fit_rows / n) * (1 << 30))) for i, (label, n) in enumerate(sizes)],
+        "label string, rank int, share long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lang, value in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for lang, value in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen = np.bincount(trigram_buckets(value), minlength=BUCKETS)
                 totals[lang] = totals[lang] + seen if lang in totals else seen
         for lang, seen in totals.items():
             used = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(seen[used], pa.int64())],
-                names=["label", "bucket", "n"])
+                [pa.array([lang] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(seen[used], pa.int64())],
+                names=["rank", "bucket", "n"])
 
-    counted = (rows.filter(place < share).select("label", "text").mapInArrow(run, "label string, bucket long, n long")
-               .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas())  # languages * BUCKETS rows at most
+    counted = (rows.join(F.broadcast(shares), "label").filter(place < F.col("share")).select("rank", "text")
+               .mapInArrow(run, "rank int, bucket int, n long")
+               .groupBy("rank", "bucket").agg(F.sum("n").alias("n")).toPandas())  # languages * BUCKETS rows at most
     counts = np.zeros((len(languages), BUCKETS))
-    rank = {lang: i for i, lang in enumerate(languages)}
-    counts[counted["label"].map(rank).to_numpy(int), counted["bucket"].to_numpy(int)] = counted["n"].to_numpy(float)
+    counts[counted["rank"].to_numpy(int), counted["bucket"].to_numpy(int)] = counted["n"].to_numpy(float)
     return Model(languages, counts)
 
 

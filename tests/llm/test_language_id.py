@@ -108,3 +108,20 @@ def test_pages(spark):
                                            Row(page_id=2, url=None, html=None)])).orderBy("page_id").collect()
     assert (row[0].declared, row[0].host, row[0].text.split()) == ("de", "Sub.Host.de", ["Der", "Hund"])
     assert (row[1].declared, row[1].host, row[1].text) == (None, None, None)
+
+
+def test_more_than_64_languages(spark):
+    """Every label has its column in the model, the rarest too."""
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for i in range(70):
+        words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(100 * i + k, " ".join(draw.choices(words, k=40)), f"l{i:02d}") for k in range(3 if i % 10 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs, text="text", label="lang", row_id="doc_id")
+    assert model.languages == [*(f"l{i:02d}" for i in range(70)), "und"]
+    judged = identify(docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit("a.example").alias("host")),
+                      model, keep=("doc_id",)).collect()
+    assert {r.doc_id: (r.lang, r.kept) for r in judged} == {d: (lang, True) for d, _, lang in rows}
