@@ -53,3 +53,27 @@ def without_rows(docs: DataFrame, dropped: DataFrame, row_id: str = "_tm_row") -
 def hex_digest(text: Column) -> Column:
     """Lower-case SHA-256 of a string column's UTF-8 bytes."""
     return F.sha2(text.cast("binary"), 256)
+
+
+def crc32_sql(strings: str) -> str:
+    """DuckDB CTEs that end in ``crcs(s, crc)``: the unsigned CRC-32 of each string of a query with one column ``s``.
+
+    The code is linear over XOR, so it is the XOR of what each byte adds by its distance from the end
+    (``crc_far``) and of what the starting value adds by the length (``crc_len``).
+    """
+    return f"""
+crc_one AS (SELECT b, list_reduce([b] || [CAST(0 AS BIGINT) FOR x IN range(8)],
+                   lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+            FROM (SELECT unnest(range(256)) AS b)),
+crc_strings AS MATERIALIZED ({strings}),
+crc_most AS (SELECT coalesce(max(octet_length(encode(s))), 0) AS n FROM crc_strings),
+crc_far AS (SELECT CAST(0 AS BIGINT) AS k, b, v FROM crc_one
+            UNION ALL SELECT k + 1, f.b, xor(f.v >> 8, o.v) FROM crc_far f JOIN crc_one o ON o.b = f.v & 255
+            WHERE k < (SELECT n FROM crc_most)),
+crc_len AS (SELECT CAST(0 AS BIGINT) AS k, CAST(4294967295 AS BIGINT) AS v
+            UNION ALL SELECT k + 1, xor(l.v >> 8, o.v) FROM crc_len l JOIN crc_one o ON o.b = l.v & 255
+            WHERE k < (SELECT n FROM crc_most)),
+crc_bytes AS (SELECT s, octet_length(encode(s)) AS n, unnest(range(octet_length(encode(s)))) AS i, hex(encode(s)) AS h FROM crc_strings),
+crcs AS (SELECT s, xor(xor(bit_xor(f.v), any_value(l.v)), 4294967295) AS crc
+         FROM crc_bytes JOIN crc_far f ON f.k = n - 1 - i AND f.b = CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)
+         JOIN crc_len l ON l.k = n GROUP BY s)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tastemap.llm.chat_format import OP10_SQL, op10_chat_format
+from tastemap.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from tastemap.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tastemap.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tastemap.llm.language_id import op2_language_id
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op10_chat_format": OP10_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
