@@ -11,7 +11,9 @@ from tastemap.llm.line_dedup import op7_line_dedup
 from tastemap.llm.near_dedup import op9_near_dedup
 from tastemap.llm.packing import op8_best_fit_packing
 from tastemap.llm.pii import op5_personal_data
+from tastemap.llm.quality import op11_quality_fm
 from tastemap.llm.secrets_scan import op6_secret_scan
+from tastemap.llm.spelling_variants import OP12_SQL, op12_spelling_variants
 from tastemap.llm.token_rollup import op4_token_rollup
 
 QUERIES = {
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_quality_fm": op11_quality_fm,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -32,5 +36,6 @@ ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
