@@ -32,9 +32,9 @@ def popular_items(interactions: DataFrame, catalogue: DataFrame, n: int = 12) ->
     Details are looked up after the top-n, for the ``n`` winners only (broadcast
     of at most ``n`` ids); products without a catalogue row keep null details.
     """
-    # n rows, read by two branches (result and catalogue filter): keep them
+    # n rows, read by two branches (result and catalogue filter): written down
     # so the interactions join and aggregate run once
-    top = top_n(popularity_table(interactions), "popularity_score", "product_id", n).persist()
+    top = top_n(popularity_table(interactions), "popularity_score", "product_id", n).checkpoint()
     det = cat_ops.details(catalogue, F.broadcast(top.select("product_id")))
     return top.join(F.broadcast(det), "product_id", "left").select(
         "rank", "product_id", *cat_ops.DETAIL_COLS, "avg_rating", "rating_count", "popularity_score")
@@ -42,12 +42,15 @@ def popular_items(interactions: DataFrame, catalogue: DataFrame, n: int = 12) ->
 
 def trending(popularity: DataFrame, catalogue: DataFrame, n: int = 13, exclude_ids=(),
              page_size: int = 3) -> DataFrame:
-    """R2: top ``n`` of a precomputed popularity table, minus excluded ids,
+    """R2: top ``n`` of a precomputed popularity table, minus excluded ids (P13:
+    a short list, or a table ``(product_id)`` of any size, which is anti-joined),
     joined to catalogue details by product id (inner, J9), in pages (W4)."""
     pop = popularity
-    if exclude_ids:
+    if isinstance(exclude_ids, DataFrame):
+        pop = pop.join(exclude_ids.select("product_id"), "product_id", "left_anti")
+    elif exclude_ids:
         pop = pop.filter(~F.col("product_id").isin(list(exclude_ids)))
-    top = top_n(pop.select("product_id", "popularity_score"), "popularity_score", "product_id", n).persist()
+    top = top_n(pop.select("product_id", "popularity_score"), "popularity_score", "product_id", n).checkpoint()
     det = cat_ops.details(catalogue, F.broadcast(top.select("product_id")))
     return (top.join(F.broadcast(det), "product_id", "inner")
             .select("rank", page_number("rank", page_size).alias("page_no"), "product_id",

@@ -6,7 +6,7 @@ result does not depend on partitioning or retries and can be checked in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DRAW_RANGE, md5_draw, randint
@@ -19,23 +19,50 @@ def generated_ids(spark: SparkSession, prefix: str, start: int, stop: int, col:
     return spark.range(start, stop).select(format_id(prefix, "id").alias(col))
 
 
+#: Rows that one ordered take may hold, and bins that a range of draws is cut into in one pass.
 TAKE_ORDERED_MAX = 100_000
+DRAW_BINS = 4096
 
 
 def sample_exact(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFrame:
     """G1 ``sample(n, random_state)`` without replacement: the ``n`` rows with
-    the smallest draw (ties by key).
+    the smallest draw (ties by key; of rows that share a key any).
 
     Up to ``TAKE_ORDERED_MAX`` rows: ``orderBy().limit()`` (each task keeps at
-    most ``n`` rows, one task merges them).  Larger samples rank every row by
-    its draw with the distributed dense index and keep ranks below ``n``, so
-    no single task ever holds the sample.
+    most ``n`` rows, one task merges them).  For a larger sample the ``n``-th
+    draw is found first: passes that count draws by bin (a partial aggregate of
+    fixed size) narrow its range until an ordered take can end it; the sample
+    is then a filter, so its rows are neither sorted nor shuffled.
     """
     drawn = df.withColumn("_h", md5_draw(key_col, seed=seed))
     if n <= TAKE_ORDERED_MAX:
         return drawn.orderBy("_h", key_col).limit(n).drop("_h")
-    ranked = dense_index(drawn.withColumn("_o", F.struct("_h", key_col)), "_o", "_r")
-    return ranked.filter(F.col("_r") < n).drop("_h", "_o", "_r")
+    low, width, left = 0, DRAW_RANGE, n  # the n-th row is the left-th of [low, low + width)
+    while True:
+        step = max(1, width // DRAW_BINS)
+        here = drawn.filter((F.col("_h") >= low) & (F.col("_h") < low + width))
+        bins = (here.groupBy(F.expr(f"(_h - {low}) DIV {step}").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+                .orderBy("bin").collect())  # about DRAW_BINS rows
+        for r in bins:
+            if left <= r["n"]:
+                low, width, inside = low + r["bin"] * step, step, r["n"]
+                break
+            left -= r["n"]
+        else:
+            return df  # fewer than n rows
+        if inside <= TAKE_ORDERED_MAX or width == 1:
+            break
+    head = drawn.filter((F.col("_h") >= low) & (F.col("_h") < low + width))
+    if inside <= TAKE_ORDERED_MAX:
+        last = head.orderBy("_h", key_col).limit(left).agg(
+            F.max(F.struct(F.col("_h").alias("h"), F.col(key_col).alias("k"))).alias("m")).first()["m"]
+    else:  # one draw, so one key but for collisions of draws
+        last = head.agg(F.min(F.struct(F.col("_h").alias("h"), F.col(key_col).alias("k"))).alias("m")).first()["m"]
+    edge = F.struct(F.col("_h").alias("h"), F.col(key_col).alias("k"))
+    at = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).cast(df.schema[key_col].dataType).alias("k"))
+    before = drawn.filter(edge < at)
+    equal = left - head.filter(edge < at).count()
+    return before.unionByName(drawn.filter(edge == at).limit(equal)).drop("_h")
 
 
 def sample_fraction(df: DataFrame, fraction: float, key_col: str, seed: int = 42) -> DataFrame:
@@ -81,26 +108,18 @@ def distinct_draws(keys: DataFrame, key_col: str, items: DataFrame, item_col: st
     want = min(k, n_items)
     users = keys.select(key_col).distinct()
     batch = 2 * max(want, 1)
-    start = 0
-    picked = None
-    pending = users
-    firsts = None
+    start, firsts, pending = 0, None, users
     while True:
         draws = (pending.withColumn("_j", F.explode(F.sequence(F.lit(start), F.lit(start + batch - 1))))
                  .withColumn("_pos", F.pmod(md5_draw(key_col, "_j", seed=seed), F.lit(n_items))))
-        picked = draws if picked is None else picked.unionByName(draws)
-        previous = firsts
-        # read by the completeness check and by the result: keep it once
-        firsts = picked.groupBy(key_col, "_pos").agg(F.min("_j").alias("_j")).persist()
-        if previous is not None:
-            previous.unpersist()
+        # former draws are read back, not drawn again
+        drawn = draws if firsts is None else firsts.unionByName(draws.select(firsts.columns))
+        firsts = drawn.groupBy(key_col, "_pos").agg(F.min("_j").alias("_j")).checkpoint()
         short = firsts.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < want)
         if want == 0 or short.isEmpty():
             break
         pending = short.select(key_col)
         start += batch
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key_col).orderBy("_j")
     top = firsts.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= want)
     return top.join(indexed, "_pos").select(key_col, F.col(item_col), rank_col)

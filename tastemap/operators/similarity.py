@@ -14,9 +14,10 @@ Two exact plans, chosen by measured cost (one small sizing job):
   in every document, a product a third of all users rated), the join would
   emit nearly all pairs.  Then rows are placed on a grid of (left chunk x
   right block) cells: every left entry is replicated to each right block and
-  every right entry to each left chunk (fixed factors), a NumPy kernel scores
-  the block (dense product for frequent keys, per-key outer products for the
-  rest) and returns only the top ``n`` per left row.  No pair is shuffled and
+  every right entry to each left chunk, so what moves grows with the product of
+  both sides; a NumPy kernel scores the block (a dense product for frequent
+  keys, sorted entries expanded by key for the rest) and returns only the top
+  ``n`` per left row.  No pair is shuffled and
   no group can exceed one cell.
 
 Both plans end with a per-left-id top-``n`` (WindowGroupLimit) over the
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,6 +248,12 @@ def l2_normalise(long_df: DataFrame, id_col: str, key_col: str, value_col: str)
 
 
 _DENSE_LEFT_CHUNK = 2048
+#: Bytes of the vectors of one block of a dense cell.
+_DENSE_BYTES = 16 << 20
+#: Bands of similar norm that the right side is cut into; a band holds any number of blocks.
+NORM_BANDS = 64
+#: Scores are compared after rounding; a bound must clear the last place and the rounding of the products.
+_SLACK = 1.1e-6
 
 
 def _dense_kernel(n: int, exclude_self: bool):
@@ -277,17 +284,52 @@ def _dense_kernel(n: int, exclude_self: bool):
     return kernel
 
 
+def _norm(vec: str) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda total, x: total + x * x))
+
+
+def _norm_blocks(right: DataFrame, n_rows: int, rows: int) -> tuple[DataFrame, list[tuple[float, int]]]:
+    """``(rid, vec, rb)`` with blocks of about ``rows`` rows, numbered by descending norm, and for each band of
+    norms its greatest norm and the first block after it.
+
+    Bands are cut at approximate quantiles of the norm and counted exactly; inside a band rows go to blocks by
+    hash, so any number of equal norms is spread.
+    """
+    normed = right.select(F.col("id").alias("rid"), F.col("vec").alias("vec"), _norm("vec").alias("norm"))
+    bands = min(NORM_BANDS, max(1, math.ceil(n_rows / rows)))
+    cuts = [] if bands == 1 else normed.agg(
+        F.percentile_approx("norm", [i / bands for i in range(1, bands)], 10 * bands)).first()[0]
+    cuts = sorted(set(cuts), reverse=True)
+    band = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>"),
+                           lambda c: c > F.col("norm")))
+    banded = normed.withColumn("band", band)
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).orderBy("band").collect()
+    place, bounds, first = [], [], 0
+    for r in sizes:  # NORM_BANDS rows at most
+        blocks = max(1, math.ceil(r["n"] / rows))
+        place.append((r["band"], first, blocks))
+        first += blocks
+        bounds.append((r["most"], first))
+    numbered = banded.sparkSession.createDataFrame(place, "band int, first int, blocks int")
+    return (banded.join(F.broadcast(numbered), "band")
+            .select("rid", "vec", (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("blocks"))).cast("int").alias("rb")), bounds)
+
+
 def dense_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool = False,
                 exclude_pairs: DataFrame | None = None, left_chunk: int = _DENSE_LEFT_CHUNK,
-                right_block: int = RIGHT_BLOCK) -> DataFrame:
-    """Top ``n`` right ids per left id by the dot product of dense vectors.
-
-    ``left``/``right``: ``(id, vec array<double>)`` of equal width.  The same
-    grid as ``cosine_top_n``: each left row is replicated to every right block
-    and each right row to every left chunk; the kernel scores one
-    ``left_chunk x right_block`` block with one matrix product and keeps the
-    top ``n`` per row.  ``exclude_pairs (lid, rid)`` travel with the left row
-    of their cell as an id list, which is bounded by the block size.
+                right_block: int = RIGHT_BLOCK, cells: list | None = None) -> DataFrame:
+    """Top ``n`` right ids per left id by the dot product of dense vectors, exactly.
+
+    ``left``/``right``: ``(id, vec array<double>)`` of equal width.  Right rows
+    are dealt into blocks by descending norm, left rows into chunks; a NumPy
+    kernel scores one ``chunk x block`` cell with one matrix product and keeps
+    the top ``n`` per row.  Every left row meets the block of the greatest norms
+    first.  Its ``n``-th score there, if it has one, is a bound: no product
+    exceeds the product of the norms, so the row goes on only to the blocks
+    whose norms still reach it (a prefix of the blocks).  A cell's sides are
+    bounded in bytes.  ``exclude_pairs (lid, rid)`` travel with the left row of
+    their cell as an id list, which is bounded by the block size.  ``cells``, if
+    given, takes the numbers of row-block visits without and with the bound.
     Returns ``(lid, rid, score, rank)``; ties by ``rid``.
     """
     spark = left.sparkSession
@@ -296,27 +338,46 @@ def dense_top_n(left: DataFrame, right: DataFrame, n: int, *, exclude_self: bool
     left = left.checkpoint()
     right = left if same else right.checkpoint()
     sizes = spark.range(1).select(left.select(F.count(F.lit(1))).scalar().alias("nl"),
-                                  right.select(F.count(F.lit(1))).scalar().alias("nr")).first()
+                                  right.select(F.count(F.lit(1))).scalar().alias("nr"),
+                                  right.select(F.max(F.size("vec"))).scalar().alias("width")).first()
+    most_rows = max(64, _DENSE_BYTES // (8 * max(1, sizes["width"] or 1)))
+    left_chunk, right_block = min(left_chunk, most_rows), min(right_block, most_rows)
     n_lchunks = max(1, math.ceil((sizes["nl"] or 1) / left_chunk))
-    n_rblocks = max(1, math.ceil((sizes["nr"] or 1) / right_block))
-    lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
-    rblock = F.pmod(F.xxhash64("rid"), F.lit(n_rblocks))
-
+    blocked, bounds = _norm_blocks(right, sizes["nr"] or 0, right_block)
+    blocked = blocked.checkpoint()
+    n_rblocks = bounds[-1][1] if bounds else 1
     rid_type = right.schema["id"].dataType
-    # fresh aliases keep the two sides distinct when left is right
-    lrep = (left.select(F.col("id").alias("lid"), F.col("vec").alias("vec"))
-            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rblocks - 1)))))
+    no_list = F.array().cast(T.ArrayType(rid_type))
+    lists = None
     if exclude_pairs is not None:
-        lists = (exclude_pairs.select("lid", "rid").distinct().withColumn("rb", rblock)
-                 .groupBy("lid", "rb").agg(F.collect_list("rid").alias("excl")))
-        lrep = lrep.join(lists, ["lid", "rb"], "left")
-    else:
-        lrep = lrep.withColumn("excl", F.lit(None).cast(T.ArrayType(rid_type)))
-    left_cells = lrep.select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid", "vec",
-                             F.coalesce("excl", F.array().cast(T.ArrayType(rid_type))).alias("excl"))
-    right_cells = (right.select(F.col("id").alias("rid"), F.col("vec").alias("vec"))
-                   .withColumn("lc", F.explode(F.sequence(F.lit(0), F.lit(n_lchunks - 1))))
-                   .select((F.col("lc") * n_rblocks + rblock).alias("cell"), "rid", "vec"))
-    grid = (left_cells.groupBy("cell").cogroup(right_cells.groupBy("cell"))
-            .applyInPandas(_dense_kernel(n, exclude_self), _pair_schema(left.schema["id"].dataType, rid_type)))
-    return top_n_per_group(grid, "lid", "score", "rid", n)
+        lists = (exclude_pairs.select("lid", "rid").distinct().join(blocked.select("rid", "rb"), "rid")
+                 .groupBy("lid", "rb").agg(F.collect_list("rid").alias("excl")).checkpoint())
+
+    def scored(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Top ``n`` per left row of each cell; ``rows (lid, vec, rb)``."""
+        with_lists = rows.withColumn("excl", no_list) if lists is None else rows.join(lists, ["lid", "rb"], "left")
+        lchunk = F.pmod(F.xxhash64("lid"), F.lit(n_lchunks))
+        left_cells = with_lists.select((lchunk * n_rblocks + F.col("rb")).alias("cell"), "lid", "vec",
+                                       F.coalesce("excl", no_list).alias("excl"))
+        wanted = rows.select(lchunk.alias("lc"), "rb").distinct()
+        right_cells = blocks.join(wanted, "rb").select((F.col("lc") * n_rblocks + F.col("rb")).alias("cell"), "rid", "vec")
+        return (left_cells.groupBy("cell").cogroup(right_cells.groupBy("cell"))
+                .applyInPandas(_dense_kernel(n, exclude_self), _pair_schema(left.schema["id"].dataType, rid_type)))
+
+    # fresh aliases keep the sides distinct when left is right
+    rows = left.select(F.col("id").alias("lid"), F.col("vec").alias("vec"))
+    best = top_n_per_group(scored(rows.withColumn("rb", F.lit(0)), blocked.filter("rb = 0")), "lid", "score", "rid", n)
+    if n_rblocks == 1:
+        return best
+    best = best.checkpoint()
+    least = best.filter(F.col("rank") == n).select("lid", F.col("score").alias("least"))
+    ends = F.array(*(F.struct(F.lit(float(most)).alias("most"), F.lit(int(end)).alias("end")) for most, end in bounds))
+    # blocks go down in norm, so those that can still reach the bound are the first ones
+    reach = F.aggregate(ends, F.lit(0), lambda end, b: F.when(
+        F.col("least").isNull() | (b["most"] * F.col("norm") >= F.col("least") - F.lit(_SLACK)), F.greatest(end, b["end"])).otherwise(end))
+    onward = (rows.join(least, "lid", "left").withColumn("norm", _norm("vec")).withColumn("upto", reach)
+              .filter("upto > 1").select("lid", "vec", F.explode(F.expr("sequence(1, upto - 1)")).alias("rb")))
+    if cells is not None:
+        cells += [(sizes["nl"] or 0) * n_rblocks, (sizes["nl"] or 0) + onward.count()]
+    rest = scored(onward, blocked.filter("rb > 0"))
+    return top_n_per_group(best.select("lid", "rid", "score").unionByName(rest), "lid", "score", "rid", n)

@@ -7,6 +7,7 @@ without an oracle are iterative fits; they are checked by their own tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ..functions.ranking import half_up, top_n_per_group
 from ..operators import catalogue as catalogue_ops
 from ..operators import als, cleaning, content, factors, lookup, neighbours, popularity, profile, sampling, serving, tfidf
 from ..operators.similarity import dense_top_n
+from ..session import ensure_checkpoint_dir
+from ..sources import files
 from ..sources import tables as T
 from . import oracle as O
 
@@ -53,7 +56,8 @@ def q_popular_items(spark, sf):
 
 @register("trending_pages", f"""
 WITH i AS ({O.INTERACTIONS}),
-p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS popularity_score FROM i GROUP BY product_id),
+p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS popularity_score FROM i
+      WHERE product_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY product_id),
 r AS (SELECT product_id, popularity_score, {O.rank_col(None, 'popularity_score', 'product_id')} FROM p),
 cat AS ({O.CATALOGUE}),
 d AS ({O.DETAILS})
@@ -62,8 +66,10 @@ SELECT r.rank, CAST(floor((r.rank - 1) / 3) AS INTEGER) AS page_no, r.product_id
 FROM r JOIN d USING (product_id) WHERE r.rank <= 13
 """)
 def q_trending_pages(spark, sf):
+    """The ids that the labels flag are excluded."""
     pop = popularity.popularity_table(T.interactions(spark, sf))
-    return popularity.trending(pop, T.catalogue(spark, sf), n=13, page_size=3)
+    flagged = T.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("product_id"))
+    return popularity.trending(pop, T.catalogue(spark, sf), n=13, page_size=3, exclude_ids=flagged)
 
 
 # --------------------------------------------------------------------------- A2
@@ -136,11 +142,11 @@ FROM r LEFT JOIN d USING (product_id) WHERE r.rank <= 10
 """
 
 
-def _product_searches(spark, sf, catalogue):
+def _product_searches(spark, sf, catalogue, model=None):
     part = T.table(spark, sf, "part")
     queries = part.groupBy("p_name").agg(F.min("p_partkey").alias("request_key")) \
                   .select("request_key", F.col("p_name").alias("query"))
-    res = content.search(content.fit_catalogue(catalogue), queries, n=10)
+    res = content.search(model or content.fit_catalogue(catalogue), queries, n=10)
     res = res.select("request_key", F.col("doc_id").alias("product_id"), "rank", "score")
     return catalogue_ops.with_details(res, catalogue)
 
@@ -471,28 +477,40 @@ def q_missing_products(spark, sf):
     return lookup.missing_ids(T.table(spark, sf, "documents").select("doc_id"), T.table(spark, sf, "labels"), "doc_id")
 
 
-@register("recs_unknown_users", f"""
-WITH i AS ({O.INTERACTIONS}),
-fitted AS (SELECT user_id FROM i JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING')
+@register("recs_unknown_users", """
 SELECT user_id FROM (SELECT c_custkey AS user_id FROM customer UNION SELECT user_id FROM events) r
-WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM fitted)
+WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)
 """)
 def q_recs_unknown_users(spark, sf):
-    """P14 for R8 and R10: requested users that a matrix (here of one market segment) does not hold, so they get no list."""
-    customer = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    requests = (customer.select("user_id").unionByName(T.table(spark, sf, "events").select("user_id"))
-                .filter("user_id IS NOT NULL"))
-    segment = T.interactions(spark, sf).join(customer.filter("c_mktsegment = 'BUILDING'"), "user_id")
-    return lookup.unknown_ids(requests, neighbours.rating_matrix(segment), "user_id")
+    """P14 for R8 and R10: requested users that a fitted model (of the event values) does not hold, so they get no list."""
+    customer = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    events = T.table(spark, sf, "events")
+    requests = customer.unionByName(events.select("user_id")).filter("user_id IS NOT NULL")
+    m = neighbours.rating_matrix(events.select("user_id", F.col("event_type").alias("product_id"), F.col("value").alias("rating")))
+    f = factors.truncated_svd(m.filter("user_id IS NOT NULL").checkpoint(), k=2)
+    return factors.unknown_users(f, requests)
+
+
+@register("recs_missing_products", f"""
+WITH i AS ({O.INTERACTIONS}),
+p AS (SELECT product_id, round(avg(rating) * count(rating), 6) AS s FROM i GROUP BY product_id),
+r AS (SELECT product_id, {O.rank_col(None, 's', 'product_id')} FROM p)
+SELECT product_id FROM r WHERE product_id NOT IN (SELECT doc_id FROM documents)
+""")
+def q_recs_missing_products(spark, sf):
+    """J10 for R8 and R10: recommended ids (here the whole popularity ranking) without a row in a catalogue
+    (here the documents, which hold other ids as well)."""
+    scored = popularity.popularity_table(T.interactions(spark, sf))
+    return lookup.missing_ids(scored.select("product_id"), T.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("product_id")), "product_id")
 
 
 @register("point_lookup", """
-SELECT p_partkey AS product_id, p_partkey AS row_pos FROM part
-WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)
+SELECT p_partkey AS product_id, p_partkey AS row_pos FROM part WHERE p_partkey IN (SELECT doc_id FROM documents)
 """)
 def q_point_lookup(spark, sf):
-    """P5: first catalogue position of each requested product (those once bought by the fifty)."""
-    wanted = T.table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("product_id"))
+    """P5: first catalogue position of each requested product (the ids of the documents; unknown ones give no row)."""
+    wanted = T.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"))
     return catalogue_ops.point_lookup(T.catalogue(spark, sf), "product_id", wanted)
 
 
@@ -613,9 +631,23 @@ def q_user_random_list(spark, sf):
 
 # --------------------------------------------------------------------------- M3/M4, R7, R8, R9 (no SQL)
 
+#: Paths of the models fitted for a table in this application, so queries on one model fit it once.
+_FITTED: dict[tuple, str] = {}
+
+
+def _fitted(spark, sf, name, matrix, k):
+    """The rank-``k`` model of a matrix: fitted and saved by the first query that needs it, then loaded."""
+    key = (spark.sparkContext.applicationId, sf, name, k)
+    if key not in _FITTED:
+        path = f"{ensure_checkpoint_dir(spark)}/svd-model-{uuid.uuid4().hex}"
+        factors.save(factors.truncated_svd(matrix, k=k, seed=42), path)
+        _FITTED[key] = path
+    return factors.load(spark, _FITTED[key])
+
+
 def _svd(spark, sf, k):
     m = neighbours.rating_matrix(T.interactions(spark, sf)).checkpoint()  # read by the fit and the exclusions
-    return m, factors.truncated_svd(m, k=k, seed=42)
+    return m, _fitted(spark, sf, "ratings", m, k)
 
 
 @register("svd_recs")
@@ -634,44 +666,67 @@ def q_svd_recs_with_rating(spark, sf):
     return catalogue_ops.with_details(recs, T.catalogue(spark, sf))
 
 
-def _type_matrix(spark, sf):
-    """Mean value by user and event type; a third of the pairs left out by a rule."""
-    ev = T.table(spark, sf, "events").select("user_id", F.col("event_type").alias("product_id"),
-                                              F.col("value").alias("rating"))
-    return neighbours.rating_matrix(ev.filter("(user_id + length(product_id)) % 3 > 0")).checkpoint()
+def _brand_matrix(spark, sf):
+    """Mean quantity by user and brand: many pairs never occur."""
+    brands = T.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), "p_brand")
+    rows = T.interactions(spark, sf).join(brands, "product_id").select("user_id", F.col("p_brand").alias("product_id"), "rating")
+    return neighbours.rating_matrix(rows).checkpoint()
 
 
-TYPE_MATRIX_SQL = """
-m AS (SELECT user_id, event_type AS product_id, avg(value) AS rating FROM events
-      WHERE (user_id + length(event_type)) % 3 > 0 GROUP BY user_id, event_type),
+BRAND_MATRIX_SQL = f"""
+i AS ({O.INTERACTIONS}),
+m AS (SELECT user_id, p_brand AS product_id, avg(rating) AS rating FROM i JOIN part ON p_partkey = product_id
+      GROUP BY user_id, p_brand),
 g AS (SELECT u.user_id, t.product_id, coalesce(m.rating, 0) AS rating, m.rating IS NOT NULL AND m.rating > 0 AS rated
       FROM (SELECT DISTINCT user_id FROM m) u CROSS JOIN (SELECT DISTINCT product_id FROM m) t
       LEFT JOIN m USING (user_id, product_id))"""
 
 
 @register("svd_recs_with_rating_full_rank", f"""
-WITH {TYPE_MATRIX_SQL},
+WITH {BRAND_MATRIX_SQL},
 r AS (SELECT user_id, product_id, round(rating, 6) AS predicted_rating,
              {O.rank_col('user_id', 'round(rating, 6)', 'product_id')} FROM g)
-SELECT user_id, product_id, rank, predicted_rating FROM r WHERE rank <= 3
+SELECT user_id, product_id, rank, predicted_rating FROM r WHERE rank <= 12
 """)
 def q_svd_full_rank(spark, sf):
-    """R8 at full rank on the user x event type matrix: a prediction is the mean value itself (0 where missing)."""
-    m = _type_matrix(spark, sf)
-    f = factors.truncated_svd(m, k=8)
-    return factors.recommend(f, m, 3, exclude_rated=False).withColumnRenamed("score", "predicted_rating")
+    """R8 at full rank on the user x brand matrix: a prediction is the mean value itself (0 where missing)."""
+    m = _brand_matrix(spark, sf)
+    f = _fitted(spark, sf, "brands", m, 64)
+    return factors.recommend(f, m, 12, exclude_rated=False).withColumnRenamed("score", "predicted_rating")
 
 
 @register("svd_recs_full_rank", f"""
-WITH {TYPE_MATRIX_SQL},
+WITH {BRAND_MATRIX_SQL},
 r AS (SELECT user_id, product_id, CAST(0 AS DOUBLE) AS score, {O.rank_col('user_id', 'rating', 'product_id')}
       FROM g WHERE NOT rated)
-SELECT user_id, product_id, rank, score FROM r WHERE rank <= 3
+SELECT user_id, product_id, rank, score FROM r WHERE rank <= 12
 """)
 def q_svd_unrated_full_rank(spark, sf):
-    """R7 at full rank on the same matrix: only the unrated types remain, and they are predicted 0."""
-    m = _type_matrix(spark, sf)
-    return factors.recommend(factors.truncated_svd(m, k=8), m, 3, exclude_rated=True)
+    """R7 at full rank on the same matrix: only the unrated brands remain, and they are predicted 0."""
+    m = _brand_matrix(spark, sf)
+    return factors.recommend(_fitted(spark, sf, "brands", m, 64), m, 12, exclude_rated=True)
+
+
+BRAND_DOCS = "SELECT p_brand AS doc_id, string_agg(p_name || ' ' || p_type, ' ') AS text FROM part GROUP BY p_brand"
+
+
+@register("hybrid_recs_full_rank", f"""
+WITH {BRAND_MATRIX_SQL},
+{O.tfidf_ctes(BRAND_DOCS, 'b')},
+c AS (SELECT term, sum(w) / (SELECT n FROM bn) AS c FROM bdv GROUP BY term),
+bias AS (SELECT doc_id AS product_id, sum(w * c) AS bias FROM bdv JOIN c USING (term) GROUP BY doc_id),
+s AS (SELECT user_id, product_id, round(coalesce(bias, 0), 6) AS score FROM g LEFT JOIN bias USING (product_id) WHERE NOT rated),
+r AS (SELECT *, {O.rank_col('user_id', 'score', 'product_id')} FROM s)
+SELECT user_id, product_id, rank, score FROM r WHERE rank <= 10
+""")
+def q_hybrid_full_rank(spark, sf):
+    """R9 at full rank on the same matrix: an unrated brand scores 0 plus the mean similarity of its words to all brands."""
+    m = _brand_matrix(spark, sf)
+    part = T.table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    model = tfidf.fit(part)
+    bias = tfidf.centrality(model.weights, part.select("doc_id").distinct()).select(
+        F.col("doc_id").alias("product_id"), F.col("centrality").alias("bias"))
+    return factors.recommend(_fitted(spark, sf, "brands", m, 64), m, 10, exclude_rated=True, item_bias=bias)
 
 
 @register("hybrid_recs")
@@ -696,16 +751,14 @@ def q_als_recs(spark, sf):
 
 # --------------------------------------------------------------------------- R11, R12
 
-@register("home_lists", "WITH " + _draws_sql(
-    "SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer)", 12, 24) + """,
-unknown AS (SELECT DISTINCT c_custkey AS user_id FROM customer
-            WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)),
+@register("home_lists", "WITH " + _draws_sql("SELECT c_custkey AS user_id FROM customer", 12, 24) + """,
+unknown AS (SELECT p_partkey AS user_id FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)),
 head AS (SELECT p_partkey AS product_id, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS rank
          FROM part ORDER BY p_partkey LIMIT 12),
 i AS (SELECT user_id, product_id, round(avg(rating), 6) AS score FROM (""" + O.INTERACTIONS + """) x
-      WHERE user_id % 2 = 0 GROUP BY user_id, product_id),
+      WHERE user_id IN (SELECT user_id FROM events) GROUP BY user_id, product_id),
 best AS (SELECT user_id, product_id, """ + O.rank_col("user_id", "score", "product_id") + """ FROM i),
-lists AS (SELECT * FROM best WHERE rank <= 12 AND user_id IN (SELECT user_id FROM u))
+lists AS (SELECT * FROM best WHERE rank <= 12)
 SELECT user_id, 'personal' AS source, rank, product_id FROM lists
 UNION ALL
 SELECT user_id, 'random' AS source, rank, product_id FROM picked WHERE user_id NOT IN (SELECT user_id FROM lists)
@@ -713,9 +766,11 @@ UNION ALL
 SELECT unknown.user_id, 'default' AS source, head.rank, head.product_id FROM unknown, head
 """)
 def q_home_lists(spark, sf):
-    requests = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-    known = T.table(spark, sf, "events").select("user_id")
-    m = neighbours.rating_matrix(T.interactions(spark, sf).filter("user_id % 2 = 0"))  # the others have no ranked list
+    """Users with events have ranked lists, other customers random ones, and ids of no customer the default."""
+    known = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    requests = known.unionByName(T.table(spark, sf, "part").select(F.col("p_partkey").alias("user_id")))
+    active = T.table(spark, sf, "events").select("user_id").distinct()
+    m = neighbours.rating_matrix(T.interactions(spark, sf)).join(active, "user_id", "left_semi")
     ranked = top_n_per_group(m.withColumn("rating", half_up("rating")), "user_id", "rating", "product_id", 12)
     return serving.home_lists(requests, known, T.catalogue(spark, sf), n=12, seed=42, ranked=ranked)
 
@@ -809,3 +864,60 @@ def q_search_no_results(spark, sf):
                                                        F.col("text").alias("query"))
     log = names.unionByName(passages)
     return content.without_results(model, log)
+
+
+# --------------------------------------------------------------------------- S1/S2 damaged files, S5, A3 over parts
+
+def _damaged_lines(spark, sf):
+    """part as delimited lines, some of them short, long, with a broken quote or with a word for a number."""
+    key = F.col("p_partkey")
+    fields = [key.cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), F.col("p_brand"), F.col("p_size").cast("string")]
+    line = (F.when(key % 50 == 1, F.concat_ws(",", *fields[:2])).when(key % 50 == 2, F.concat_ws(",", *fields, F.lit("more")))
+            .when(key % 50 == 3, F.concat_ws(",", fields[0], F.concat(F.lit('"'), "p_name"), *fields[2:]))
+            .when(key % 50 == 4, F.concat_ws(",", *fields[:3], F.lit("large"))).otherwise(F.concat_ws(",", *fields)))
+    return T.table(spark, sf, "part").select(line.alias("value"))
+
+
+@register("ingest_damaged", """
+SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand, p_size AS size, CAST(NULL AS VARCHAR) AS record
+FROM part WHERE p_partkey % 50 NOT IN (1, 2, 3, 4)
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, CASE p_partkey % 50
+         WHEN 1 THEN concat_ws(',', p_partkey, '"' || p_name || '"')
+         WHEN 2 THEN concat_ws(',', p_partkey, '"' || p_name || '"', p_brand, p_size, 'more')
+         WHEN 3 THEN concat_ws(',', p_partkey, '"' || p_name, p_brand, p_size)
+         ELSE concat_ws(',', p_partkey, '"' || p_name || '"', p_brand, 'large') END
+FROM part WHERE p_partkey % 50 IN (1, 2, 3, 4)
+""")
+def q_ingest_damaged(spark, sf):
+    """The whole catalogue written as lines, some damaged, and read back: clean rows, and records in quarantine."""
+    folder = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    _damaged_lines(spark, sf).write.text(f"{folder}/raw")
+    clean, bad = files.ingest_delimited(spark, f"{folder}/raw", "product_id bigint, name string, brand string, size int",
+                                        f"{folder}/staged", header=False)
+    return clean.withColumn("record", F.lit(None).cast("string")).unionByName(bad.select("record"), allowMissingColumns=True)
+
+
+@register("search_saved_model", ORACLE["search_products"])
+def q_search_saved_model(spark, sf):
+    """The fitted TF-IDF is saved as a version, loaded, and searched."""
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    tfidf.save(_part_model(spark, sf), path)
+    return _product_searches(spark, sf, T.catalogue(spark, sf), tfidf.load(spark, path))
+
+
+@register("distinct_over_parts", """
+SELECT 'l_partkey' AS column_name, count(DISTINCT l_partkey) AS exact, TRUE AS inside_error FROM lineitem
+UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey), TRUE FROM lineitem
+UNION ALL SELECT 'l_orderkey', count(DISTINCT l_orderkey), TRUE FROM lineitem
+""")
+def q_distinct_over_parts(spark, sf):
+    """A3: distinct sketches stored per part (return flag), united on read, next to the exact counts."""
+    cols = ["l_partkey", "l_suppkey", "l_orderkey"]
+    items = T.table(spark, sf, "lineitem")
+    path = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    profile.distinct_sketches(items, "l_returnflag", cols).write.partitionBy("part").parquet(path)
+    estimates = profile.distinct_estimates(spark.read.parquet(path))
+    exact = items.agg(*(F.count_distinct(c).alias(c) for c in cols)).unpivot([], cols, "column_name", "exact")
+    return exact.join(estimates, "column_name").select("column_name", "exact", (
+        F.abs(F.col("estimate") - F.col("exact")) <= profile.SKETCH_ERROR * F.col("exact")).alias("inside_error"))

@@ -60,7 +60,7 @@ def test_svd_that_cannot_converge_is_an_error(spark):
     rows = [(i, j, float(rng.normal())) for i in range(40) for j in range(40)]
     m = spark.createDataFrame(rows, "user_id long, product_id long, rating double")
     with pytest.raises(RuntimeError, match="not converged"):
-        factors.truncated_svd(m, k=3, width=4, max_dim=8)
+        factors.truncated_svd(m, k=3, width=4, max_rounds=1)
 
 
 def test_saved_model_keeps_its_singular_values(spark, tmp_dir):
