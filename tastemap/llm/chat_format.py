@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object in some layout.  The set of its nested field paths
-(array places written ``[]``) is hashed to a fingerprint, and the fingerprint
-selects a declarative mapping that says which paths hold the turns.  Mapped
+(array places written ``[]``), as far as a mapping looks at them, is hashed to a
+fingerprint, and the fingerprint selects the declarative mapping that says which
+paths hold the turns.  Mapped
 records become canonical turns ``(role, text)`` and one formatted string.
 
 The template opens and closes every turn with control strings.  A control
@@ -18,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,53 +38,84 @@ _ESCAPED = re.compile(rf"([<\[])\\(?=\\*(?:{_RESTS}))")
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
 
 #: Mappings by the field paths of a layout: either a list of turns with the places of role and
-#: text and the names of the roles, or fixed fields, each with its role, in order.
+#: text and the names of the roles, or fixed fields, each with its role, in order.  A record fits
+#: if it has all paths that the mapping ``needs`` and one of each set of ``forms``; what it ``may``
+#: have is mapped as well, and any other field is left aside.
 LAYOUTS = {
-    "messages": {"paths": ("messages[].content", "messages[].role"),
+    "messages": {"needs": ("messages[].role",), "forms": (("messages[].content", "messages[].content[]", "messages[].content[].text"),),
                  "turns": "messages", "role": "role", "text": "content", "names": {}},
-    "conversations": {"paths": ("conversations[].from", "conversations[].value"),
+    "conversations": {"needs": ("conversations[].from", "conversations[].value"),
                       "turns": "conversations", "role": "from", "text": "value",
                       "names": {"human": "user", "gpt": "assistant"}},
-    "prompt": {"paths": ("prompt", "response"),
+    "prompt": {"needs": ("prompt", "response"),
                "fields": (("prompt", "user"), ("response", "assistant"))},
-    "instruction": {"paths": ("input", "instruction", "output"),
+    "instruction": {"needs": ("input", "instruction", "output"),
                     "fields": (("instruction", "system"), ("input", "user"), ("output", "assistant"))},
-    "nested": {"paths": ("dialog.turns[].speaker.role", "dialog.turns[].utterance"),
+    "bare_instruction": {"needs": ("instruction", "output"),
+                         "fields": (("instruction", "user"), ("output", "assistant"))},
+    "nested": {"needs": ("dialog.turns[].speaker.role", "dialog.turns[].utterance"),
                "turns": "dialog.turns", "role": "speaker.role", "text": "utterance", "names": {}},
 }
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    """The nested field paths of a JSON value; places of an array are not told apart."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+def field_paths(value) -> set[str]:
+    """The nested field paths of a JSON value; places of an array are not told apart.  Any depth will do."""
+    paths, waiting = set(), [("", value)]
+    while waiting:
+        at, value = waiting.pop()
+        if isinstance(value, dict) and value:
+            waiting += [(f"{at}.{k}" if at else k, v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            waiting += [(f"{at}[]", v) for v in value]
+        else:
+            paths.add(f"{at}[]" if isinstance(value, list) else at)
+    return paths
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def registry(layouts: dict) -> dict[str, tuple[str, dict]]:
-    """Mappings by fingerprint; a list of turns may also be empty."""
-    out = {}
+def registry(layouts: dict) -> list[tuple[str, dict, frozenset, set[str]]]:
+    """Each mapping with the paths that it looks at and the fingerprints of the sets of them that it takes; a list of
+    turns may also be empty."""
+    out = []
     for name, layout in layouts.items():
-        out[fingerprint(layout["paths"])] = (name, layout)
+        forms = layout.get("forms", ())
+        seen = frozenset(layout["needs"]).union(*forms, [f"{layout['turns']}[]"] if "turns" in layout else [])
+        choices = [[subset for n in range(1, len(form) + 1) for subset in combinations(form, n)] for form in forms]
+        taken = {fingerprint({*layout["needs"], *(p for subset in chosen for p in subset)}) for chosen in product(*choices)}
         if "turns" in layout:
-            out[fingerprint({f"{layout['turns']}[]"})] = (name, layout)
+            taken.add(fingerprint({f"{layout['turns']}[]"}))
+        out.append((name, layout, seen, taken))
     return out
 
 
+def mapping_of(record, known: list) -> tuple[str | None, dict | None]:
+    """The first mapping that takes the fingerprint of those paths of a record that it looks at."""
+    paths = field_paths(record)
+    for name, layout, seen, taken in known:
+        if fingerprint(paths & seen) in taken:
+            return name, layout
+    return None, None
+
+
 def _get(value, path: str):
     for key in path.split("."):
         value = value.get(key) if isinstance(value, dict) else None
     return value
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _word(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """The text of a field: parts of a list (texts, or objects with a ``text``) in order, anything else as JSON;
+    lone surrogates, which no encoding has, are U+FFFD."""
+    if isinstance(value, list) and all(isinstance(v, str) or isinstance(v, dict) and isinstance(v.get("text", ""), str) for v in value):
+        value = "".join(v if isinstance(v, str) else v.get("text", "") for v in value)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _SURROGATE.sub("\ufffd", text)
 
 
 def canonical_turns(record, layout: dict) -> list[tuple[str, str]]:
@@ -139,8 +172,9 @@ _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def format_chats(records: DataFrame, *, record_id: str, payload: str, layouts: dict | None = None) -> DataFrame:
     """One row per record: ``conv_id, layout, n_turns, formatted, loss_spans``.
 
-    ``payload`` is a JSON string.  A record that is null, not a JSON object or
-    of an unknown layout keeps its row, with a null ``layout``, no turns and an
+    ``payload`` is a JSON string.  A record may have fields that its mapping does
+    not know.  One that is null, not a JSON object, nested too deeply to be read
+    or of an unknown layout keeps its row, with a null ``layout``, no turns and an
     empty string, so it can be counted and mapped later.  A null role or text
     is empty; a role without marks is written out.  Repeated and empty records
     are kept, other columns ignored; an empty table gives no rows.
@@ -160,9 +194,11 @@ def format_chats(records: DataFrame, *, record_id: str, payload: str, layouts: d
                     record = json.loads(raw) if raw is not None else None
                 except (ValueError, RecursionError):
                     record = None
-                name, layout = known.get(fingerprint(field_paths(record)), (None, None)) \
-                    if isinstance(record, dict) else (None, None)
-                turns = canonical_turns(record, layout) if layout else []
+                name, layout = mapping_of(record, known) if isinstance(record, dict) else (None, None)
+                try:
+                    turns = canonical_turns(record, layout) if layout else []
+                except RecursionError:  # a text that is itself a value nested without end
+                    name, turns = None, []
                 text, spans = render(turns)
                 names.append(name)
                 counts.append(len(turns))

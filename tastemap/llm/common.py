@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,27 +28,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_id(docs: DataFrame, row_id: str = "_tm_row") -> DataFrame:
-    """Number the rows of a stable scan (files or a checkpoint).
+#: Plan nodes that keep each row of a file scan as one row.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias"}
 
-    ``monotonically_increasing_id`` depends on the partition and the place in
-    it, so two evaluations agree as long as the input is read from files; ids
-    of the data are not used as row ids because they may be null or repeated.
-    """
-    return docs.withColumn(row_id, F.monotonically_increasing_id())
+
+def _is_one_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is one file scan with filters and projections at most."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROW_BY_ROW:
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame, row_id: str = "_tm_row") -> DataFrame:
-    """``docs`` (numbered by ``with_row_id``) less the row ids in ``dropped``.
+def with_row_id(docs: DataFrame, row_id: str = "_tm_row") -> DataFrame:
+    """``docs`` with a long that stays with its row, whichever job reads it and however the files are split.
+
+    In a scan of Parquet files it is the number of the file (in the order of
+    the paths, which Spark's driver lists anyway) and the place of the row in
+    the file.  Any other frame is numbered once and written into the checkpoint
+    folder, and later plans read it from there.  Ids of the data are not used
+    as row ids because they may be null or repeated.
+    """
+    if _is_one_scan(docs):
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("_tm_path"), F.col("_metadata.row_index").alias("_tm_index"))
+        except AnalysisException:  # a format without row places
+            placed = None
+        if placed is not None:
+            # one row a file, read from the footers: bounded by the listing that the driver holds for the scan
+            files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+            if len(files) <= 1:
+                return placed.withColumn(row_id, F.col("_tm_index")).drop("_tm_path", "_tm_index")
+            numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_tm_path string, _tm_file long")
+            return (placed.join(F.broadcast(numbers), "_tm_path")
+                    .withColumn(row_id, F.col("_tm_file") * (1 << 40) + F.col("_tm_index"))
+                    .drop("_tm_path", "_tm_file", "_tm_index"))
+    return docs.withColumn(row_id, F.monotonically_increasing_id()).checkpoint()
+
+
+def fresh_name(docs: DataFrame, stem: str = "_tm_row") -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def keyed(docs: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame, str]:
+    """``(numbered, narrow, name)``: ``docs`` with a row id under a name that it does not have, and ``columns``
+    of it beside the id as ``_tm_row``.  Both come from one numbering, so ids judged in one select in the other."""
+    name = fresh_name(docs)
+    numbered = with_row_id(docs, name)
+    return numbered, numbered.select(F.col(name).alias("_tm_row"), *columns), name
+
+
+def without_rows(numbered: DataFrame, dropped: DataFrame, row_id: str) -> DataFrame:
+    """``numbered`` (see ``keyed``) less the rows whose ids are ``_tm_row`` in ``dropped``, and without the id.
 
     The id list is counted first: a short one is broadcast, so the texts are
     not shuffled; a long one is joined by shuffle on the row id, which is
     unique and therefore even.
     """
-    ids = dropped.select(row_id)
+    ids = dropped.select(F.col("_tm_row").alias(row_id))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, row_id, "left_anti").drop(row_id)
+    return numbered.join(ids, row_id, "left_anti").drop(row_id)
 
 
 def hex_digest(text: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.llm.common import prepare, table, with_row_id, without_rows
+from tastemap.llm.common import keyed, prepare, table, without_rows
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -173,11 +173,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     return source.mapInArrow(run, out)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` (a stable scan) without its contaminated rows."""
-    numbered = with_row_id(docs)
-    judged = decontaminate(numbered, benchmark, doc_id="_tm_row", **options)
-    return without_rows(numbered, judged.filter("contaminated").select(F.col("doc_id").alias("_tm_row")).checkpoint())
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that ``decontaminate`` calls contaminated.
+
+    Null and empty texts stay; repeated rows go or stay together; an empty table of documents stays empty, and
+    nothing goes for an empty benchmark; all columns come back, whatever their names."""
+    prepare(docs.sparkSession)
+    numbered, rows, name = keyed(docs, F.col(text).alias("text"))
+    judged = decontaminate(rows, benchmark, doc_id="_tm_row", **options)
+    dropped = judged.filter("contaminated").select(F.col("doc_id").alias("_tm_row")).checkpoint()
+    return without_rows(numbered, dropped, name)
 
 
 def op1_decontaminate(spark, sf_dir):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import hex_digest, prepare, table, with_row_id, without_rows
+from tastemap.llm.common import hex_digest, keyed, prepare, table, without_rows
 
 BLOCK_CHARS = 4096
 #: Blocks dealt over several partitions; any other block has under 1/HOT of all rows.
@@ -86,20 +86,22 @@ def _name_pairs(current: DataFrame, partitions: int) -> DataFrame:
 
 def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                  block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document row: ``doc_id, keep_id, group_size, kept,
-    text_sha256`` and ``_tm_row`` (see ``with_row_id``).
+    """One row per document row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the row with the most code points in the original text
     stays, then the one with the smallest ``doc_id`` (nulls last), then the
     first row.  Null counts as empty, and all empty texts are one group.  Of
     repeated rows exactly one is kept.  An empty table gives no rows; other
-    columns are ignored.  ``docs`` must be a stable scan if the row ids are
-    used to select its rows.
+    columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_row_id(docs).select("_tm_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))
+    prepare(docs.sparkSession)
+    rows = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))[1]
+    return _groups(rows, block_chars).drop("_tm_row")
+
+
+def _groups(rows: DataFrame, block_chars: int) -> DataFrame:
+    """``exact_groups`` with ``_tm_row`` for ``rows (_tm_row, doc_id, _tm_text)``."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = _name_blocks(_blocks(rows, "_tm_text", block_chars), partitions)
     current = named.select("_tm_row", "pos", "n", "name")
     done, level = [], 0
@@ -124,15 +126,19 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         (F.col("_tm_row") == F.col("best._tm_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (a stable scan) with one row of each group of equal texts."""
-    groups = exact_groups(docs, **options).filter("NOT kept").select("_tm_row").checkpoint()
-    return without_rows(with_row_id(docs), groups)
+def drop_exact_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` with the row that ``exact_groups`` keeps of each group of equal texts.
+
+    Null and blank texts are one group; of repeated rows one stays; an empty table stays empty; all columns
+    come back, whatever their names."""
+    prepare(docs.sparkSession)
+    numbered, rows, name = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))
+    return without_rows(numbered, _groups(rows, block_chars).filter("NOT kept").select("_tm_row").checkpoint(), name)
 
 
 def op3_exact_dedup(spark, sf_dir):
     """All of ``documents``."""
-    return exact_groups(table(spark, sf_dir, "documents")).drop("_tm_row")
+    return exact_groups(table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = r"""

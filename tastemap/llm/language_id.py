@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.llm.common import prepare, table, with_row_id, without_rows
+from tastemap.llm.common import keyed, prepare, table, without_rows
 from tastemap.llm.shingles import mix
 
 BUCKETS = 1 << 15
 FIT_ROWS = 3000
-#: The model holds every label.  It is broadcast, so beyond this size (8,192 labels) it is an error.
-MODEL_BYTES = 1 << 30
+#: The model holds every label.  It is broadcast, and a worker holds it besides its rows, so beyond this size (2,048 labels) it is an error.
+MODEL_BYTES = 256 << 20
 TEXT_WEIGHT = 4.0
 DECLARED_RIGHT = 0.9
 SUFFIX_RIGHT = 0.7
@@ -68,9 +68,11 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = [*languages, UNKNOWN]
-        smooth = counts + 0.5
-        logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        self.logs = np.ascontiguousarray(np.vstack([logs, np.full((1, BUCKETS), -math.log(BUCKETS))]).T, np.float32)
+        self.logs = np.empty((BUCKETS, len(languages) + 1), np.float32)
+        for i, row in enumerate(counts):  # one language at a time
+            smooth = row.astype(np.float64) + 0.5
+            self.logs[:, i] = np.log(smooth / smooth.sum())
+        self.logs[:, -1] = -math.log(BUCKETS)
 
     def evidence(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of trigrams and tempered log likelihoods."""
@@ -84,11 +86,12 @@ def fit(labelled: DataFrame, *, text: str, label: str, row_id: str, fit_rows: in
     """The trigram model of the labelled rows.
 
     At most about ``fit_rows`` rows a language are used: those whose hash of id
-    and text falls under the share that leaves that many.  Rows with a null
-    label or text are left out; without any labelled row only ``und`` remains.
+    and text falls under the share that leaves that many.  Labels count in lower
+    case.  Rows with a null label or text, or labelled ``und``, are left out;
+    without any labelled row only ``und`` remains.
     """
-    rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
-                           F.col(row_id).alias("id")).filter("label IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(F.lower(F.col(label).cast("string")).alias("label"), F.col(text).alias("text"),
+                           F.col(row_id).alias("id")).filter(f"label <> '{UNKNOWN}' AND text IS NOT NULL")
     sizes = sorted((r["label"], r["count"]) for r in rows.groupBy("label").count().collect())
     languages = [label for label, _ in sizes]
     if not languages:
@@ -115,7 +118,7 @@ def fit(labelled: DataFrame, *, text: str, label: str, row_id: str, fit_rows: in
     counted = (rows.join(F.broadcast(shares), "label").filter(place < F.col("share")).select("rank", "text")
                .mapInArrow(run, "rank int, bucket int, n long")
                .groupBy("rank", "bucket").agg(F.sum("n").alias("n")).toPandas())  # languages * BUCKETS rows at most
-    counts = np.zeros((len(languages), BUCKETS))
+    counts = np.zeros((len(languages), BUCKETS), np.float32)  # at most MODEL_BYTES
     counts[counted["rank"].to_numpy(int), counted["bucket"].to_numpy(int)] = counted["n"].to_numpy(float)
     return Model(languages, counts)
 
@@ -165,15 +168,19 @@ def identify(rows: DataFrame, model: Model, *, keep: tuple[str, ...], text: str
     ``lang`` is the most probable language (ties: the first in the alphabet,
     ``und`` last) and ``kept`` says that it is not ``und``, has at least half the
     posterior and the text has a letter.  A null, empty or letterless text has
-    no text evidence and is rejected with its best guess.  A null declared
-    language or host adds no evidence; a host without a dot has no domain
+    no text evidence and is rejected with its best guess.  A declared language
+    counts without case, and by its first part where the model has no other; a
+    null or unknown one, ``und``, or a null host adds no evidence; a host without a dot has no domain
     levels.  Repeated rows are judged alike; an empty table gives no rows.
     """
     prepare(rows.sparkSession)
     size = len(model.languages)
     lower = F.lower(F.col(host))
-    base = rows.select(*keep, F.col(text).alias("_tm_text"), F.lower(F.col(declared)).alias("_tm_declared"),
-                       lower.alias("_tm_host"))
+    said = F.lower(F.trim(F.col(declared).cast("string")))
+    known = F.array(*(F.lit(x) for x in model.languages[:-1])) if size > 1 else F.array().cast("array<string>")
+    main = F.regexp_extract(said, "^[^-_]*", 0)  # en-US without a label of its own is en
+    said = F.when(F.array_contains(known, said), said).when(F.array_contains(known, main), main)
+    base = rows.select(*keep, F.col(text).alias("_tm_text"), said.alias("_tm_declared"), lower.alias("_tm_host"))
     scored = _text_evidence(base, model, "_tm_text", [*keep, "_tm_declared", "_tm_host"]).checkpoint()
 
     hosts = _sums(scored, "_tm_host", "p", size, "of_host").withColumns({
@@ -225,13 +232,15 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` (documents, a stable scan) without the rows whose language is rejected; the declared
-    language is ``lang``, the host ``source``, and the model is fitted on the labelled rows themselves."""
-    numbered = with_row_id(docs)
+    """``docs`` (``doc_id, text, lang, source``) without the rows whose language is rejected; the declared
+    language is ``lang``, the host ``source``, and the model is fitted on the labelled rows themselves.
+
+    Null and empty texts are rejected; a null label or host is no evidence; repeated rows are judged alike;
+    an empty table stays empty; all columns come back, whatever their names."""
+    numbered, rows, name = keyed(docs, F.col("text"), F.col("lang").alias("declared"), F.col("source").alias("host"))
     model = fit(docs, text="text", label="lang", row_id="doc_id")
-    rows = numbered.select("_tm_row", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     judged = identify(rows, model, keep=("_tm_row",))
-    return without_rows(numbered, judged.filter("NOT kept").select("_tm_row").checkpoint())
+    return without_rows(numbered, judged.filter("NOT kept").select("_tm_row").checkpoint(), name)
 
 
 def op2_language_id(spark, sf_dir):

@@ -5,10 +5,16 @@ set are one *class*; only classes go on.  Every class has a label of eight
 MinHash bytes in each of ``TREES`` orders and a 256-bit sketch.
 
 1. Each order is sorted by label (a range partitioning over all orders at
-   once).  A *region* is all rows that share a prefix of ``MIN_DEPTH`` bytes there.
-   The rows of one region are candidates if their sketch and size allow a link;
-   a region of more than ``REGION`` rows is dealt in blocks, each pair of blocks to
-   one group, so that all its pairs are compared.
+   once), so the longest-common-prefix neighbours of a row stand around it.  A
+   *region* is a run of rows that share a prefix there, and its depth adapts: the
+   run of the shallowest prefix that has at most ``SMALL`` rows, and where even
+   five bytes are shared by more, the run of ``MIN_DEPTH`` bytes, whatever its size.
+   (The shallowest depth considered is the one at which chance alone would
+   hardly bring two rows together; it grows with the table.)  The rows of one
+   region are candidates if their sketch and size allow a link; a region of more
+   than ``REGION`` rows is dealt in blocks, each pair of blocks to one group, so
+   that all its pairs are compared.  No depth is ever beyond ``MIN_DEPTH``, so all
+   rows that share that many bytes meet.
 2. Candidates are joined to *clumps*, connected components of the candidate
    graph; most documents are in none.
 3. A clump is dealt in blocks of ``BLOCK`` classes, each pair of blocks to one
@@ -19,8 +25,8 @@ MinHash bytes in each of ``TREES`` orders and a 256-bit sketch.
    the components.
 
 The only things lost are links that meet in no order or fail the sketch: at a
-similarity of exactly 0.8 a pair misses all 48 orders with a chance of 5e-7 and
-the sketch with one of 1e-7; more similar pairs far more rarely, and a pair
+similarity of exactly 0.8 a pair misses all 48 orders with a chance of 5e-7 at
+most (that of six bytes; less where regions are shallower) and the sketch with one of 1e-7; more similar pairs far more rarely, and a pair
 that shares a clump dealt in blocks is compared anyway.  The size of a region or
 clump does not change this; its cost grows with the square of it.
 """
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.llm.common import BROADCAST_IDS, prepare, table, with_row_id, without_rows
+from tastemap.llm.common import BROADCAST_IDS, keyed, prepare, table, without_rows
 from tastemap.llm.components import connected_components
 from tastemap.llm.shingles import batch_sets, min_hashes, set_identity
 
@@ -43,6 +49,9 @@ WORDS = 2
 TREES = 48
 LABEL_BYTES = 8
 MIN_DEPTH = 6
+#: Rows of a region that may be shallower than MIN_DEPTH, and prefixes for each row at the shallowest depth.
+SMALL = 16
+ROOM = 64
 #: Sketches and classes of a block; larger regions and clumps are compared by pairs of blocks.
 REGION = 2048
 BLOCK = 256
@@ -165,16 +174,45 @@ def _unite(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             head = up
 
 
-def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    return cuts[:-1], np.diff(cuts)
+
+
+def adapted_regions(tree: np.ndarray, label: np.ndarray, shallowest: int) -> np.ndarray:
+    """The region of each of some rows sorted by order and label, named after its first row.
+
+    A run of a shorter prefix is a region if it is small and does not touch the first or the last row, so that
+    it is known to be whole: then every row that shares ``MIN_DEPTH`` bytes with one of its rows is in it too.
+    """
+    deep = _regions(tree, label)
+    region = deep.copy()
+    for depth in range(MIN_DEPTH - 1, shallowest - 1, -1):  # the shallowest small run is taken last
+        start, size = _runs(deep >> (8 * (MIN_DEPTH - depth)))
+        whole = (size <= SMALL) & (start > 0) & (start + size < len(deep))
+        region = np.where(np.repeat(whole, size), np.repeat(deep[start], size), region)
+    return region
+
+
+def _shallowest(rows: int) -> int:
+    """The depth at which there are ``ROOM`` prefixes for each row, ``MIN_DEPTH`` at most."""
+    depth = 1
+    while depth < MIN_DEPTH and 256 ** depth < ROOM * rows:
+        depth += 1
+    return depth
+
+
+def _region_rows(batches: Iterator[pa.RecordBatch], shallowest: int) -> Iterator[pa.RecordBatch]:
     """``(region, sid)`` of rows sorted by order and label, without the regions that are seen to have one row;
     the first and the last region of a table may go on in another one or another task."""
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks()
-        region = _regions(_column(whole, "tree").to_numpy(), _column(whole, "label").to_numpy())
-        cuts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
-        size = np.diff(cuts)
-        size[[0, -1]] += 1
-        keep = np.flatnonzero(np.repeat(size, np.diff(cuts)) > 1)
+        region = adapted_regions(_column(whole, "tree").to_numpy(), _column(whole, "label").to_numpy(), shallowest)
+        size = _runs(region)[1]
+        seen = size.copy()
+        seen[[0, -1]] += 1
+        keep = np.flatnonzero(np.repeat(seen, size) > 1)
         return pa.RecordBatch.from_arrays(
             [pa.array(region[keep], pa.int64()), _column(whole, "sid").take(pa.array(keep))], names=["region", "sid"])
 
@@ -212,8 +250,9 @@ def _candidates(signed: DataFrame, partitions: int, most: int) -> DataFrame:
     """``(region, sid, head)``: the classes that have candidates, per region."""
     labelled = signed.select(F.col("_tm_row").alias("sid"), F.posexplode("labels").alias("tree", "label"))
     order = ["tree", "label", F.xxhash64("sid", "tree")]
+    shallowest = _shallowest(signed.count())
     met = (labelled.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-           .mapInArrow(_region_rows, "region long, sid long")).checkpoint()
+           .mapInArrow(lambda batches: _region_rows(batches, shallowest), "region long, sid long")).checkpoint()
     large = (met.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")).filter("blocks > 1").checkpoint())
     n_large = large.count()
     dealt = met.withColumn("part", F.col("region"))
@@ -273,13 +312,13 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[used], column[used]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.int64)
     for first in range(0, int(common.sum()), COLUMNS):
         a, b = np.searchsorted(column, (first, first + COLUMNS))
         ones = np.zeros((len(sets), min(COLUMNS, int(common.sum()) - first)), np.float32)
         ones[owner[a:b], column[a:b] - first] = 1
-        out += ones @ ones.T
-    return out.astype(np.int64)
+        out += (ones @ ones.T).astype(np.int64)  # at most COLUMNS each, so exact in single precision
+    return out
 
 
 def _links(sets: DataFrame, partitions: int, percent: int) -> DataFrame:
@@ -313,23 +352,25 @@ def _links(sets: DataFrame, partitions: int, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                 percent: int = 80, block: int = BLOCK, region: int = REGION) -> DataFrame:
-    """One row per document row: ``doc_id, n_shingles, component_id, kept`` and
-    ``_tm_row`` (see ``with_row_id``).
+    """One row per document row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when their shingle sets share at least ``percent`` of
     their union; ``component_id`` is the smallest ``doc_id`` (nulls last) that
     links reach, and one row of a component is kept, the first with that id.
     A text with fewer words than a shingle is one shingle; null, empty and blank
     texts have none, link with nothing and are kept.  Repeated rows are equal
-    sets; an empty table gives no rows; other columns are ignored.  ``docs`` must
-    be a stable scan.
+    sets; an empty table gives no rows; other columns are ignored.
     """
+    prepare(docs.sparkSession)
+    rows = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))[1]
+    return _linked(rows, words, percent, block, region).drop("_tm_row")
+
+
+def _linked(rows: DataFrame, words: int, percent: int, block: int, region: int) -> DataFrame:
+    """``near_groups`` with ``_tm_row`` for ``rows (_tm_row, doc_id, _tm_text)``."""
     if percent != 80:
         raise ValueError("the sketch bound and the number of orders are set for 80 percent")
-    spark = docs.sparkSession
-    prepare(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_row_id(docs).select("_tm_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = _signatures(rows, "_tm_text", words).checkpoint()
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_tm_row")
     classes = (signed.filter("n > 0").groupBy("n", "h1", "h2")
@@ -359,12 +400,18 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         F.coalesce(F.col("head._tm_row") == F.col("_tm_row"), F.lit(True)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (a stable scan) with one document of each component."""
-    dropped = near_groups(docs, **options).filter("NOT kept").select("_tm_row").checkpoint()
-    return without_rows(with_row_id(docs), dropped)
+def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80,
+                     block: int = BLOCK, region: int = REGION) -> DataFrame:
+    """``docs`` with the one document that ``near_groups`` keeps of each component.
+
+    Null and blank texts stay; of repeated rows one stays; an empty table stays empty; all columns come
+    back, whatever their names."""
+    prepare(docs.sparkSession)
+    numbered, rows, name = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))
+    dropped = _linked(rows, words, percent, block, region).filter("NOT kept").select("_tm_row").checkpoint()
+    return without_rows(numbered, dropped, name)
 
 
 def op9_near_dedup(spark, sf_dir):
     """All of ``documents``."""
-    return near_groups(table(spark, sf_dir, "documents")).drop("_tm_row")
+    return near_groups(table(spark, sf_dir, "documents"))

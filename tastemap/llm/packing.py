@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.llm.common import prepare, table, with_row_id
+from tastemap.llm.common import prepare, table
 from tastemap.llm.exact_dedup import normalised
 
 CAPACITY = 2048
@@ -80,8 +80,8 @@ class Bins:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Pieces of the rows of one shard with ``bin`` and ``offset``; columns ``_tm_row, _tm_source,
-    _tm_cluster, _tm_words`` are read, null sources are one source, null clusters none."""
+    """Pieces of the rows of one shard with ``bin`` and ``offset``, pieces of equal size in the order of the
+    rows; columns ``_tm_source, _tm_cluster, _tm_words`` are read, null sources are one source, null clusters none."""
     source = pd.factorize(rows["_tm_source"], use_na_sentinel=False)[0]
     cluster, names = pd.factorize(rows["_tm_cluster"])
     shared = np.bincount(cluster[cluster >= 0], minlength=len(names)) > 1
@@ -93,7 +93,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     piece = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, np.bincount(owner, minlength=len(rows))])[:-1],
                                               np.bincount(owner, minlength=len(rows)))
     size = np.minimum(words[owner] - piece * capacity, capacity)
-    order = np.lexsort((piece, rows["_tm_row"].to_numpy()[owner], -size))
+    order = np.lexsort((piece, owner, -size))
     bins = Bins(capacity, int(source.max(initial=-1)) + 1, int(shared.sum()))
     placed = np.zeros((len(owner), 2), np.int64)
     for i in order:
@@ -108,21 +108,26 @@ def pack(rows: DataFrame, *, doc_id: str = "doc_id", source: str = "source", clu
 
     ``bin_id`` is the shard and the bin in it (``shard * 2**32 + bin``).  No bin
     exceeds ``capacity`` or holds two pieces of a source or of a cluster (so no
-    two of a document); pieces of equal size go in row order.  A document
+    two of a document); pieces of equal size go in the order of their ``doc_id``
+    (nulls last), source, cluster and words, so the bins do not depend on how the
+    rows are stored.  A document
     without words gives one row with no bin.  Null sources conflict as one
     source, null clusters never; null ids and repeated rows are packed like any
-    other.  An empty table gives no rows; other columns are ignored.  ``rows``
-    must be a stable scan or a function of one, row by row.
+    other.  An empty table gives no rows; other columns are ignored.
     """
     shards = max(1, -(-rows.count() // shard_rows))
-    numbered = with_row_id(rows).select(
-        F.pmod(F.xxhash64("_tm_row"), F.lit(shards)).alias("_tm_shard"), "_tm_row", F.col(doc_id).alias("doc_id"),
-        F.col(source).cast("string").alias("_tm_source"), F.col(cluster).cast("string").alias("_tm_cluster"),
+    plain = rows.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("_tm_source"), F.col(cluster).cast("string").alias("_tm_cluster"),
         F.coalesce(F.col(words).cast("long"), F.lit(0)).alias("_tm_words"))
+    alike = ["doc_id", "_tm_source", "_tm_cluster", "_tm_words"]
+    # rows that are alike are told apart by their number, so that many of them spread over the shards
+    numbered = plain.withColumn("_tm_nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(1))))
+    numbered = numbered.withColumn("_tm_shard", F.pmod(F.xxhash64(*alike, "_tm_nth"), F.lit(shards)))
     out = T.StructType([
         numbered.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("piece", "n_words", "bin_id", "bin_offset"))])
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values([*alike, "_tm_nth"], kind="stable", ignore_index=True)
         packed = pack_shard(shard, capacity)
         bare = shard[shard["_tm_words"] == 0]
         result = pd.DataFrame({

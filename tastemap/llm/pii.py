@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import hex_digest, prepare, table, with_row_id
+from tastemap.llm.common import hex_digest, keyed, prepare, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
@@ -185,13 +185,13 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     (``found_<kind>``) as ``kind:start:end`` by start, then kind.
 
     Null and empty texts have no spans.  Repeated rows and null ids give one
-    row each (``docs`` must be a stable scan); an empty table gives no rows;
+    row each; an empty table gives no rows;
     other columns are ignored.  At equal starts the base kinds come first, in
     their order.  A phrase with a digit or ``@`` is only discovered when it
     holds at least three such characters, or as an address an ``@``, and overlaps no base span.
     """
     prepare(docs.sparkSession)
-    rows = with_row_id(docs).select("_tm_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))
+    rows = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("_tm_text"))[1]
     found = find_matches(rows, "_tm_text").checkpoint()
     phrases = _phrases(found).checkpoint()
     confident = score_patterns(phrases, min_support=min_support, threshold=threshold, rounds=rounds).filter(

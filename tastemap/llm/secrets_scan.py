@@ -33,23 +33,32 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Order of kinds at equal starts: the base kinds as listed, then the confirmed ones.
 KINDS = (*BASE_KINDS, "signed_token", "der_key", "ssh_key")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-#: Shortest base64 or hex run that is decoded; below it no key structure fits.
+#: Shortest base64 or hex run, its lines taken together, that is decoded; below it no key structure fits.
 MIN_RUN = 40
+#: Least size of an RSA modulus and greatest one of its exponent, in bytes: two integers of like size are a signature.
+MIN_MODULUS, MAX_EXPONENT = 48, 8
 
 _ASSIGN = re.compile(
     rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # the maximal runs of at least 16
 _SIGNED = re.compile(rb"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_BREAK = rb"(?:\r?\n|(?:\\+r)?\\+n)"  # as such or escaped
+_BREAK = rb"(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n)"  # as such, with blanks around it, or escaped
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]+)*={0,2}" % (MIN_RUN, _BREAK))
+#: Runs that may be short in their first line, told by how sequences, lengths and the private kind begin.
+_SHORT_LINES = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:M[C-I]|AAAA|b3Bl)[A-Za-z0-9+/_-]{0,%d}(?:%s[A-Za-z0-9+/_-]+)+={0,2}"
+                          % (MIN_RUN - 3, _BREAK))
+#: The frame of a key in base64, at each of the three places where it may begin.
+_WRAPPED = (b"LS0tLS1CRUdJTi", b"0tLS0tQkVHSU4", b"tLS0tLUJFR0lO")
 _FRAME = re.compile(rb"-{5,}")
 _LINE_BREAK = re.compile(_BREAK)
 #: Fields of the usual public keys after which they end, their name counted.
 _SSH_FIELDS = {b"ssh-ed25519": 2, b"ssh-rsa": 3, b"ssh-dss": 5, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3,
                b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 _SSH_PRIVATE = b"openssh-key-v1\x00"
-_HEX_RUN = re.compile(rb"(?i:[0-9a-f]{%d,})" % MIN_RUN)
+#: Hex digits of a key from its first one on, in lines or with colons between bytes.
+_HEX_RUN = re.compile(rb"(?<![0-9A-Fa-f])(?i:30|000000|6f7065)(?i:(?::|:?%s)?[0-9a-f]){%d,}" % (_BREAK, MIN_RUN - 6))
+_HEX_DIGIT = re.compile(rb"[0-9A-Fa-f]")
 
 
 def _decode64(raw: bytes) -> bytes | None:
@@ -81,7 +90,7 @@ def is_der_key(data: bytes) -> bool:
     outer = _der_value(data, 0, len(data))
     if not outer or outer[0] != 0x30 or outer[2] != len(data):
         return False
-    tags, at = [], outer[1]
+    tags, sizes, at = [], [], outer[1]
     while at < outer[2]:
         value = _der_value(data, at, outer[2])
         if not value:
@@ -98,8 +107,11 @@ def is_der_key(data: bytes) -> bool:
             if first not in (0x06, 0x02):
                 return False
         tags.append(value[0])
+        sizes.append(value[2] - value[1])
         at = value[2]
     integers = len(tags) in (2, 9) and set(tags) == {0x02}  # RSA public or private
+    if len(tags) == 2:
+        integers = integers and sizes[0] >= MIN_MODULUS and sizes[1] <= MAX_EXPONENT
     pkcs8 = tags[:3] == [0x02, 0x30, 0x04]
     public = tags == [0x30, 0x03]
     ec = tags[:2] == [0x02, 0x04] and all(0xA0 <= t <= 0xA1 for t in tags[2:])
@@ -221,6 +233,27 @@ def _keys(raw: bytes, m: re.Match) -> Iterator[tuple[int, int, str]]:
                 return
 
 
+def _wrapped_kind(body: bytes) -> str | None:
+    """The kind of the key in a framed text that is itself written in base64."""
+    inner = _decode64(body.rstrip(b"=")[:len(body.rstrip(b"=")) - (len(body.rstrip(b"=")) % 4 == 1)])
+    for m in (m for pattern in (_BASE64, _SHORT_LINES) for m in pattern.finditer(inner or b"")):
+        for _, _, kind in _keys(inner, m):
+            return kind
+    return None
+
+
+def _hex_key(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """The key at the start of a run of hex digits: a DER one ends where its length says, others fill the digits."""
+    places = [d.start() for d in _HEX_DIGIT.finditer(m[0])]
+    digits = bytes(m[0][p] for p in places)
+    data = bytes.fromhex(digits[:len(digits) // 2 * 2].decode())
+    if data[:1] == b"\x30":
+        n = data[1] & 0x7F if data[1] >= 0x80 else 0
+        data = data[:2 + n + (int.from_bytes(data[2:2 + n], "big") if n else data[1])] if n <= 4 else b""
+    if kind := _key_kind(data):
+        yield m.start(), m.start() + places[2 * len(data) - 1] + 1, kind
+
+
 def find_secrets(raw: bytes) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in byte offsets of a UTF-8 text, base kinds and confirmed ones."""
     found = [(*m.span(), "assign") for m in _ASSIGN.finditer(raw) if len(m[1]) >= 12]
@@ -230,9 +263,12 @@ def find_secrets(raw: bytes) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "signed_token") for m in _SIGNED.finditer(raw) if is_signed_token(m[0])]
     for m in _BASE64.finditer(raw):
         found += _keys(raw, m)
-    for m in _HEX_RUN.finditer(raw):
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0].decode()))):
+        if any(mark in m[0] for mark in _WRAPPED) and (kind := _wrapped_kind(_LINE_BREAK.sub(b"", m[0]))):
             found.append((*m.span(), kind))
+    for m in _SHORT_LINES.finditer(raw):
+        found += _keys(raw, m)
+    for m in _HEX_RUN.finditer(raw):
+        found += _hex_key(m)
     return sorted(set(found), key=lambda f: (f[0], _ORDER[f[2]], f[1]))
 
 

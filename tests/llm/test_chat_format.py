@@ -9,8 +9,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
-from tastemap.llm.chat_format import (CONTROLS, LAYOUTS, as_records, canonical_turns, digests, escape, field_paths,
-                                      fingerprint, format_chats, op10_chat_format, read_back, registry, render, unescape)
+from tastemap.llm.chat_format import (CONTROLS, LAYOUTS, as_records, canonical_turns, digests, escape,
+                                      format_chats, mapping_of, op10_chat_format, read_back, registry, render, unescape)
 
 TEXTS = st.lists(st.sampled_from([*CONTROLS, "\\", "<", "[", "/", "s>", "INST]", "é", " ", "\n", "<\\s>"]),
                  max_size=12).map("".join)
@@ -39,10 +39,31 @@ def test_formatted_turns_read_back(turns):
      [("system", "s"), ("user", "q"), ("assistant", "a")]),
     ("nested", {"dialog": {"turns": [{"speaker": {"role": "user"}, "utterance": "q"}]}}, [("user", "q")]),
     ("messages", {"messages": []}, []),
+    ("messages", {"id": 7, "messages": [{"role": "user", "content": "q", "name": "n"}], "meta": {"a": [1]}}, [("user", "q")]),
+    ("messages", {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image"}, "r"]},
+                               {"role": "assistant", "content": "a"}]}, [("user", "qr"), ("assistant", "a")]),
+    ("bare_instruction", {"instruction": "q", "output": "a", "id": "x"}, [("user", "q"), ("assistant", "a")]),
+    ("prompt", {"prompt": "q", "response": {"a": 1}, "x": 1}, None),
 ])
 def test_layouts(name, record, turns):
-    found, layout = registry(LAYOUTS)[fingerprint(field_paths(record))]
-    assert (found, canonical_turns(record, layout)) == (name, turns)
+    found, layout = mapping_of(record, registry(LAYOUTS))
+    if turns is None:  # a field that is not a text has other paths
+        assert found is None
+    else:
+        assert (found, canonical_turns(record, layout)) == (name, turns)
+
+
+def test_deep_records_and_lone_surrogates(spark):
+    deep = '{"prompt": "q", "response": "a", "x": ' + "[" * 3000 + "]" * 3000 + "}"
+    broken = '{"prompt": "a\\ud800b", "response": "\\udfff"}'
+    endless = '{"prompt": ' + '{"a":' * 200_000
+    value = '{"messages": [{"role": "user", "content": ' + "[" * 900 + "]" * 900 + "}]}"
+    rows = spark.createDataFrame(list(enumerate([deep, broken, endless, value])), "conv_id long, payload string")
+    got = {r.conv_id: r for r in format_chats(rows, record_id="conv_id", payload="payload").collect()}
+    assert read_back(got[0].formatted) == [("user", "q"), ("assistant", "a")]
+    assert read_back(got[1].formatted) == [("user", "a\ufffdb"), ("assistant", "\ufffd")]
+    assert (got[2].layout, got[2].n_turns) == (None, 0)
+    assert len(got) == 4
 
 
 def test_unknown_and_broken_records(spark):
@@ -62,7 +83,7 @@ def test_rows_become_records_in_every_layout(spark):
              Row(conv_id=98, turn=2, role="user", text="b", extra=1), Row(conv_id=98, turn=2, role="user", text="a", extra=1),
              Row(conv_id=97, turn=1, role="user", text="b", extra=1), Row(conv_id=97, turn=1, role="user", text="b", extra=1)]
     out = format_chats(as_records(spark.createDataFrame(rows)), record_id="conv_id", payload="payload")
-    assert {r.layout for r in out.collect()} == set(LAYOUTS)
+    assert {r.layout for r in out.collect()} == set(LAYOUTS) - {"bare_instruction"}
     want = {}
     for r in sorted(rows, key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.turn or 0, r.role or "", r.text or "")):
         want.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))

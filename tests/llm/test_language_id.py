@@ -125,3 +125,17 @@ def test_more_than_64_languages(spark):
     judged = identify(docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit("a.example").alias("host")),
                       model, keep=("doc_id",)).collect()
     assert {r.doc_id: (r.lang, r.kept) for r in judged} == {d: (lang, True) for d, _, lang in rows}
+
+
+def test_labels_and_claims_count_without_case_and_und_is_no_label(spark):
+    train = [(i, t, lab) for i, (t, lab) in enumerate([("the cat and the dog", "EN"), ("der hund und die katze", "de"),
+                                                        ("el gato y el perro", "zh-CN"), ("zzz qqq", "und")] * 5)]
+    labelled = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = fit(labelled, text="text", label="lang", row_id="doc_id")
+    assert model.languages == ["de", "en", "zh-cn", "und"]
+    asked = [(0, "", "EN", None), (1, "", "en-US", None), (2, "", "zh-CN", None), (3, "", "und", None), (4, "", None, None),
+             (5, "the cat and the dog " * 20_000, None, None)]
+    rows = spark.createDataFrame(asked, "doc_id long, text string, declared string, host string")
+    got = {r.doc_id: (r.lang, r.posterior) for r in identify(rows, model, keep=("doc_id",)).collect()}
+    assert [got[i][0] for i in (0, 1, 2, 5)] == ["en", "en", "zh-cn", "en"]
+    assert got[0] == got[1] and got[3] == got[4]

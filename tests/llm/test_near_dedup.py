@@ -6,6 +6,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from pyspark.sql import Row
 
 from tastemap.llm.components import connected_components
@@ -142,3 +144,32 @@ def test_components(spark):
     want = {x: 0 for x in range(1, 300)} | {1000 + i: 1000 for i in range(1, 200)} | {5001: 5000}
     assert got == want
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_depth_varies_by_region_and_six_bytes_always_meet():
+    from tastemap.llm import near_dedup as nd
+
+    draw = random.Random(2)
+    crowd = 0x11223344_0000_0000  # many rows share four bytes, so their regions go deeper
+    labels = [crowd + draw.randrange(40) * (1 << 24) + draw.randrange(1 << 16) * (1 << 8) for _ in range(600)]
+    labels += [0x55667700_0000_0000 + draw.randrange(1 << 40) for _ in range(9)]  # few rows share three
+    labels += [draw.randrange(1 << 62) for _ in range(300)]
+    tree = np.repeat([0, 1], len(labels))
+    label = np.concatenate([np.sort(np.array(labels, np.int64))] * 2)
+    region = nd.adapted_regions(tree, label, 3)
+    groups = {}
+    for k, r in enumerate(region.tolist()):
+        groups.setdefault(r, []).append(k)
+
+    def depth(ks):
+        first, last = (int(label[k]).to_bytes(8, "big") for k in (ks[0], ks[-1]))
+        return next((d for d in range(8) if first[d] != last[d]), 8)
+
+    shared = {depth(ks) for ks in groups.values() if len(ks) > 1}
+    assert min(shared) <= 3 and max(shared) >= 6
+    six = {}
+    for k in range(len(label)):
+        six.setdefault((tree[k], int(label[k]) >> 16), set()).add(int(region[k]))
+    assert all(len(rs) == 1 for rs in six.values())
+    assert all(len(ks) <= nd.SMALL or depth(ks) >= 6 for ks in groups.values())
+    assert nd._shallowest(1000) < nd._shallowest(10**9) <= nd.MIN_DEPTH

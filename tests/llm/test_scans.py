@@ -173,3 +173,39 @@ def test_signed_tokens():
     body = base64.urlsafe_b64encode(b'{"sub":"1"}').rstrip(b"=")
     assert [k for _, _, k in find_secrets(head + b"." + body + b".c2lnbmF0dXJl")] == ["signed_token"]
     assert find_secrets(b"www.example.com and file.name.txt " + body + b"." + head + b".c2ln") == []
+
+
+def _der(tag, body):
+    size = len(body)
+    head = bytes([size]) if size < 128 else bytes([0x80 + (n := (size.bit_length() + 7) // 8)]) + size.to_bytes(n, "big")
+    return bytes([tag]) + head + body
+
+
+def _rsa_key():
+    numbers = [b"\x00", b"\x00" + bytes(range(100, 228)), b"\x01\x00\x01", *(bytes([7 * k + 1]) * 64 for k in range(1, 7))]
+    return _der(0x30, b"".join(_der(0x02, n) for n in numbers))
+
+
+def _wrapped_at(text, width, before=""):
+    return "\n".join(before + text[i:i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("write", [
+    lambda k: _wrapped_at(base64.b64encode(k).decode(), 64), lambda k: _wrapped_at(base64.b64encode(k).decode(), 32),
+    lambda k: _wrapped_at(base64.b64encode(k).decode(), 8), lambda k: _wrapped_at(base64.b64encode(k).decode(), 64, "    "),
+    lambda k: base64.b64encode(b"-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(k) + b"-----END PRIVATE KEY-----\n").decode(),
+    lambda k: base64.b64encode(b"x\n-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(k)).decode(),
+    lambda k: k.hex(), lambda k: k.hex() + "a", lambda k: k.hex().upper(), lambda k: _wrapped_at(k.hex(), 64), lambda k: k.hex(":"),
+    lambda k: _wrapped_at(k.hex(":"), 45, "    ")])
+def test_keys_are_found_however_they_are_written(write):
+    key = _rsa_key()
+    assert is_der_key(key)
+    for text in (write(key), f"key:\n-----BEGIN PRIVATE KEY-----\n{write(key)}\n-----END PRIVATE KEY-----\nmore words\n"):
+        assert "der_key" in {kind for _, _, kind in find_secrets(text.encode())}
+
+
+def test_a_signature_is_no_key():
+    signature = _der(0x30, _der(0x02, bytes(range(1, 33))) + _der(0x02, bytes(range(40, 72))))
+    assert not is_der_key(signature)
+    assert {k for _, _, k in find_secrets(base64.b64encode(signature))} == set()
+    assert is_der_key(_der(0x30, _der(0x02, b"\x00" + bytes(range(100, 228))) + _der(0x02, b"\x01\x00\x01")))
