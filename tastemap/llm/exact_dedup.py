@@ -11,8 +11,8 @@ Scale: the text is shuffled once, as blocks, and sorted by content; from then
 on only integers move, half as many on each level.  A block that very many
 documents share would fill one partition, so the ``HOT`` most frequent blocks
 (found by a count of block hashes, which only decides how rows are dealt) are
-dealt over ``SALTS`` partitions, named in each, and the few names they get are
-merged by comparing the blocks.  A pair that many documents share is collapsed
+dealt over salts in proportion to their counts, named in each, and the few names
+they get are merged by comparing the blocks.  A pair that many documents share is collapsed
 before its shuffle, and its name comes back by a join that Spark splits.  State is cut with
 ``checkpoint()`` into the shared folder after each level.
 """
@@ -22,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import hex_digest, keyed, prepare, table, without_rows
+from tastemap.llm.common import BROADCAST_IDS, hex_digest, keyed, prepare, table, without_rows
 
 BLOCK_CHARS = 4096
 #: Blocks dealt over several partitions; any other block has under 1/HOT of all rows.
 HOT = 1024
-SALTS = 64
+#: Rows of a hot block that share a salt: a block gets salts in proportion to its count.
+SALT_ROWS = 512
 #: Right half of a pair whose left half is the last name of an odd row.
 MISSING = -1
 
@@ -56,10 +57,11 @@ def _blocks(rows: DataFrame, text: str, block_chars: int) -> DataFrame:
 def _name_blocks(blocks: DataFrame, partitions: int) -> DataFrame:
     """``(_tm_row, pos, n, own, name)`` with one integer per distinct block."""
     key = F.xxhash64("block")
-    hot = (blocks.select(key.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 8")
-           .orderBy(F.desc("c"), "h").limit(HOT).select("h", F.lit(True).alias("hot")))
-    dealt = (blocks.withColumn("h", key).join(F.broadcast(hot), "h", "left")
-             .withColumn("salt", F.expr(f"IF(hot, pmod(_tm_row, {SALTS}), 0L)"))
+    hot = (blocks.select(key.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(f"c > {SALT_ROWS}")
+           .orderBy(F.desc("c"), "h").limit(HOT)
+           .select("h", F.lit(True).alias("hot"), F.ceil(F.col("c") / SALT_ROWS).alias("salts")))
+    dealt = (blocks.withColumn("h", key).join(F.broadcast(hot), "h", "left")  # at most HOT rows
+             .withColumn("salt", F.expr("IF(hot, pmod(xxhash64(_tm_row), salts), 0L)"))
              .repartition(partitions, "block", "salt").sortWithinPartitions("block", "salt")
              .withColumn("seq", F.monotonically_increasing_id())
              .withColumn("name", F.min("seq").over(Window.partitionBy("block", "salt")))
@@ -68,8 +70,10 @@ def _name_blocks(blocks: DataFrame, partitions: int) -> DataFrame:
              .checkpoint())
     parts = dealt.filter("seen IS NOT NULL").select("name", "seen")
     merged = (parts.join(parts.groupBy("seen").agg(F.min("name").alias("one")), "seen")
-              .filter("one <> name").select("name", "one"))
-    return (dealt.drop("seen").join(F.broadcast(merged), "name", "left")  # at most HOT * SALTS names
+              .filter("one <> name").select("name", "one").checkpoint())
+    if merged.count() <= BROADCAST_IDS:
+        merged = F.broadcast(merged)
+    return (dealt.drop("seen").join(merged, "name", "left")
             .withColumn("name", F.coalesce("one", "name")).drop("one"))
 
 

@@ -54,3 +54,11 @@ def test_edges_of_the_input(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 4, 5, 7]
     assert exact_groups(docs.filter("false")).count() == 0
+
+
+def test_a_block_in_a_third_of_the_rows_gets_salts_in_proportion(spark, monkeypatch):
+    from tastemap.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 10)
+    docs = [(i, ("hot" * 10 + " " * (i % 5)) if i % 3 == 0 else f"text {i % 170}") for i in range(600)]
+    check(exact_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), block_chars=16).collect(), docs)
