@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark writes."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Plan nodes that keep each row of a file scan as one row.
 _ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias"}
 
