@@ -15,8 +15,12 @@ that more than ``HOT_GROUP`` lines share, as in a family of variants, would join
 all of them with each other; these lines also carry sixteen letter counts in four
 bits each.  One edit changes these counts by at most two in sum, so the join
 itself drops pairs whose counts differ by more than ``2 * threshold`` and yields
-no row for them.  Lines under ``MIN_CHARS`` characters are only compared for
-equality.
+no row for them.
+
+The segments of a line under ``SEGMENT_CHARS`` characters are so short that nearly
+all such lines would meet.  These lines meet by their deletion neighbourhoods
+instead: what is left of a line when up to ``threshold`` characters are deleted.  Two
+strings within ``threshold`` edits share such a rest, so every line that is not blank is compared.
 """
 
 from __future__ import annotations
@@ -28,7 +32,10 @@ from tastemap.llm.common import BROADCAST_IDS, keyed, prepare, table
 from tastemap.llm.components import connected_components
 
 THRESHOLD = 2
-MIN_CHARS = 16
+#: Characters of the shortest line that is compared for edits: every line that is not blank has them.
+MIN_CHARS = 1
+#: From this length on lines meet by segments, below it by what is left after deletions.
+SEGMENT_CHARS = 16
 HOT_GROUP = 8
 #: Letters whose counts are compared.
 LETTERS = "etaonirsldhucmgb"
@@ -80,7 +87,7 @@ def _index_keys(threshold: int) -> list[Column]:
 
 def _probe_keys(threshold: int) -> list[list[Column]]:
     """By length difference, the keys of the places where ``line`` can hold a segment of a line that is so much
-    shorter.  They lie inside a line of ``MIN_CHARS``: a segment is longer than its shift."""
+    shorter.  They lie inside a line of ``SEGMENT_CHARS``: a segment is longer than its shift."""
     out = []
     for apart in range(threshold + 1):
         length, keys = f"(chars - {apart})", []
@@ -91,13 +98,23 @@ def _probe_keys(threshold: int) -> list[list[Column]]:
     return out
 
 
+def _rest_keys(threshold: int) -> Column:
+    """Keys of the distinct strings that are left of ``line`` after up to ``threshold`` deletions, none included."""
+    rests = F.array("line")
+    for _ in range(threshold):
+        rests = F.array_distinct(F.concat(rests, F.flatten(F.transform(rests, lambda s: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))),
+            lambda i: F.concat(F.left(s, i - 1), F.substring(s, i + 1, F.char_length(s))))))))
+    return F.transform(rests, lambda s: F.xxhash64(s))
+
+
 def line_table(rows: DataFrame, text: str, *more: str, threshold: int = THRESHOLD) -> DataFrame:
     """``(_tm_row, pos, id, keys, first, repeated)`` of every non-blank line: ``keys`` are its
-    index keys, null for a short line; ``first`` marks one place of each different
+    index keys, null for a line under ``SEGMENT_CHARS``; ``first`` marks one place of each different
     line, ``repeated`` the lines that have several places."""
     lines = _exploded(rows, text, *more).withColumn("chars", F.char_length("line")).select(
         "_tm_row", *more, "pos", "id",
-        F.when(F.col("chars") >= MIN_CHARS, F.array(*_index_keys(threshold))).alias("keys")).checkpoint()
+        F.when(F.col("chars") >= SEGMENT_CHARS, F.array(*_index_keys(threshold))).alias("keys")).checkpoint()
     common = lines.groupBy("id").agg(F.min("_tm_row").alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     common = common.select("id", "r").checkpoint()
     heads = (lines.select("id", "_tm_row", "pos").join(_small(common), "id").filter("_tm_row = r")
@@ -116,7 +133,8 @@ def _lines_of(rows: DataFrame, text: str, table_: DataFrame, ids: DataFrame) ->
 
 
 def candidates(rows: DataFrame, text: str, table_: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of line ids, ``a < b``, that share a segment where their lengths allow it."""
+    """Distinct pairs ``(a, b)`` of line ids, ``a < b``, that share a segment where their lengths allow it,
+    or of which one is under ``SEGMENT_CHARS`` and both leave the same string after deletions."""
     index = table_.filter("first").select("id", F.explode("keys").alias("key"))
     hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_GROUP).select("key").checkpoint()
     few = hot.count() <= BROADCAST_IDS
@@ -126,9 +144,9 @@ def candidates(rows: DataFrame, text: str, table_: DataFrame, *, threshold: int
     index = index.join(_small(counted), "id", "left")
 
     heads = table_.filter("first AND repeated").select("id", F.col("_tm_row").alias("r"), F.col("pos").alias("p"))
-    once = (_exploded(rows, text).join(_small(heads.checkpoint()), "id", "left")
-            .filter("r IS NULL OR (r = _tm_row AND p = pos)").join(_small(counted), "id", "left")
-            .withColumn("chars", F.char_length("line")).filter(F.col("chars") >= MIN_CHARS))
+    every = (_exploded(rows, text).join(_small(heads.checkpoint()), "id", "left")
+             .filter("r IS NULL OR (r = _tm_row AND p = pos)").withColumn("chars", F.char_length("line")))
+    once = every.filter(F.col("chars") >= SEGMENT_CHARS).join(_small(counted), "id", "left")
     by_length = _probe_keys(threshold)
     probes = once.select("id", "counts", F.posexplode(F.array(*(k for keys in by_length for k in keys))).alias("n", "key"))
     probes = probes.select(F.col("id").alias("id2"), F.col("counts").alias("counts2"), "key",
@@ -136,7 +154,15 @@ def candidates(rows: DataFrame, text: str, table_: DataFrame, *, threshold: int
     met = index.join(probes, "key").filter(
         (F.col("id") != F.col("id2")) & (F.col("longer") | (F.col("id") < F.col("id2")))
         & (F.col("counts").isNull() | F.col("counts2").isNull() | (_counts_apart("counts", "counts2") <= 2 * threshold)))
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    met = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    rests = (every.filter(F.col("chars") < SEGMENT_CHARS + threshold)
+             .select("id", F.col("chars").cast("int").alias("chars"), _letter_counts(F.col("line")).alias("counts"),
+                     F.explode(_rest_keys(threshold)).alias("key")))
+    others = rests.select(F.col("id").alias("id2"), F.col("chars").alias("chars2"), F.col("counts").alias("counts2"), "key")
+    short = rests.join(others, "key").filter(
+        (F.col("id") < F.col("id2")) & (F.least("chars", "chars2") < SEGMENT_CHARS)
+        & (F.abs(F.col("chars") - F.col("chars2")) <= threshold) & (_counts_apart("counts", "counts2") <= 2 * threshold))
+    return met.unionByName(short.select(F.col("id").alias("a"), F.col("id2").alias("b"))).distinct()
 
 
 def _common_prefix(a: Column, b: Column) -> Column:

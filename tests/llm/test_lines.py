@@ -153,3 +153,23 @@ def test_edges_of_the_input(spark):
     texts = sorted(r.text for r in cleaned.collect() if r.text is not None)
     assert texts == ["", "", "", "short\na line of some lengths\n" + "y" * 100000]
     assert line_dedup(docs.filter("false")).count() == 0
+
+
+def test_short_lines_are_linked_too(spark):
+    draw = random.Random(4)
+    lines = sorted({"".join(draw.choice("abcdé ") for _ in range(draw.randint(1, 18))).strip() for _ in range(300)} - {""})
+    lines = sorted(set(lines) | {edited(draw, x, 2).strip() for x in lines} - {""})
+    docs = [(i, x) for i, x in enumerate(lines)] + [(len(lines), None), (len(lines) + 1, "ab\nab\n \nxyz")]
+    for threshold in (1, 2):
+        near = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1:]
+                if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold}
+        df = spark.createDataFrame(list(enumerate(lines)), "_tm_row long, t string")
+        name = {r.id: r.t for r in df.select("t", F.xxhash64("t").alias("id")).collect()}
+        links = line_links(df, "t", line_table(df, "t", threshold=threshold), threshold=threshold)
+        assert {tuple(sorted((name[r.a], name[r.b]))) for r in links.collect()} == near
+        assert any(len(a) < 16 <= len(b) or len(b) < 16 <= len(a) for a, b in near)
+    got = {r.doc_id: (r.n_lines, r.n_shared, r.n_linked, r.n_links, r.n_dropped) for r in line_dedup(
+        spark.createDataFrame([(1, "teh\nquite another"), (2, "the\nsomething else"), (3, "a longer line")],
+                              "doc_id long, text string")).collect()}
+    assert got == {1: (2, 1, 1, 1, 0), 2: (2, 1, 1, 1, 1), 3: (1, 0, 0, 0, 0)}
+    check(line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
