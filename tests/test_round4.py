@@ -47,3 +47,10 @@ def test_key_join_moves_lists_once(spark, monkeypatch):
             assert not re.search(r"hashpartitioning\(lid#\w+, rid#", plan(res)), plan(res)
 
 
+def test_ratings_of_neighbours_move_once(spark):
+    m = spark.createDataFrame([(u, p, float(1 + (u * p) % 5)) for u in range(12) for p in range(u % 3, 20, 3)],
+                              "user_id long, product_id long, rating double")
+    res = neighbours.user_based(m, neighbours.similar_users(m, n=3, method="join"), n=5)
+    assert not re.search(r"Exchange hashpartitioning\(user_id#\w+, product_id#", plan(res).split("SortMergeJoin")[0]), plan(res)
+
+
