@@ -54,3 +54,29 @@ def test_ratings_of_neighbours_move_once(spark):
     assert not re.search(r"Exchange hashpartitioning\(user_id#\w+, product_id#", plan(res).split("SortMergeJoin")[0]), plan(res)
 
 
+def test_dense_kernel_over_tiles(monkeypatch):
+    monkeypatch.setattr(S, "LEFT_TILE", 7)
+    monkeypatch.setattr(S, "RIGHT_BLOCK", 5)
+    draw = np.random.default_rng(1)
+    for width, ties in ((3, False), (2, True)):
+        vecs = draw.integers(-2, 3, (40, width)).astype(float) if ties else draw.standard_normal((40, width))
+        ids = draw.permutation(100)[:40]
+        banned = [sorted(draw.choice(ids, draw.integers(0, 30), replace=False)) for _ in ids]
+        left = pd.DataFrame({"lid": ids, "vec": list(vecs), "excl": banned})
+        for n in (1, 4, 60):
+            got = S._dense_kernel(n, True)(left, pd.DataFrame({"rid": ids, "vec": list(vecs)}))
+            scores = half_up_array(vecs @ vecs.T)
+            want = []
+            for i, u in enumerate(ids):
+                ranked = sorted((-scores[i, j], v) for j, v in enumerate(ids) if v != u and v not in banned[i])[:n]
+                want += [(u, v, -s) for s, v in ranked]
+            assert [tuple(r) for r in got.itertuples(index=False)] == want
+
+
+def test_dense_copies_follow_the_cores(spark):
+    left = spark.range(200_000).select("id", F.array(F.rand(1), F.rand(2)).alias("vec"))
+    right = left.filter("id < 50")
+    chunks = re.findall(r"pmod\(xxhash64\(\w+#\w+, 42\), (\d+)\)", plan(S.dense_top_n(left, right, 3)))
+    assert chunks and max(map(int, chunks)) <= 2 * spark.sparkContext.defaultParallelism
+
+
