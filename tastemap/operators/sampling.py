@@ -122,7 +122,8 @@ def distinct_draws(keys: DataFrame, key_col: str, items: DataFrame, item_col: st
         start += batch
     w = Window.partitionBy(key_col).orderBy("_j")
     top = firsts.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= want)
-    return top.join(indexed, "_pos").select(key_col, F.col(item_col), rank_col)
+    # both sides by shuffle: the planner guesses the items from the size of their file and would send them all through the driver
+    return top.join(indexed.hint("shuffle_merge"), "_pos").select(key_col, F.col(item_col), rank_col)
 
 
 def synthetic_ratings(pairs: DataFrame, user_col: str, item_col: str, lo: int = 1, hi: int = 6,

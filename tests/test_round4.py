@@ -80,3 +80,7 @@ def test_dense_copies_follow_the_cores(spark):
     assert chunks and max(map(int, chunks)) <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_draws_join_their_items_by_shuffle(spark):
+    res = sampling.distinct_draws(spark.range(30).withColumnRenamed("id", "u"), "u", spark.range(40), "id", 5)
+    assert re.search(r"SortMergeJoin \[_pos#", plan(res)), plan(res)
+    assert res.groupBy("u").count().filter("count = 5").count() == 30
