@@ -1,4 +1,4 @@
-"""What moves in TF-IDF fits."""
+"""What moves in TF-IDF fits and in the sparse grid."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from tastemap.operators import tfidf
+from tastemap.operators import similarity as S
 
 
 def plan(df):
@@ -45,3 +46,10 @@ def test_fit_moves_texts_by_key(spark, monkeypatch, hot_rows, terms):
     if hot_rows == 1024:  # neither postings nor norms move by key once the texts have
         moved = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?(?:, (\w+)#)?", plan(model.weights).split("Initial Plan")[0])
         assert ("doc_id", "") in moved and ("doc_id", "term") not in moved and ("id", "") not in moved, moved
+
+
+def test_grid_copies_do_not_follow_the_rows(spark):
+    rows = spark.range(60_000).selectExpr("id", "CAST(id % 3 AS STRING) AS key", "1D AS w")
+    res = S.cosine_top_n(rows, rows, 2, exclude_self=True, method="grid")
+    chunks = [int(n) for n in re.findall(r"pmod\(xxhash64\(\w+#\w+, 42\), (\d+)\)", plan(res))]
+    assert chunks and max(chunks) <= 2 * spark.sparkContext.defaultParallelism, chunks
