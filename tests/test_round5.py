@@ -53,3 +53,28 @@ def test_grid_copies_do_not_follow_the_rows(spark):
     res = S.cosine_top_n(rows, rows, 2, exclude_self=True, method="grid")
     chunks = [int(n) for n in re.findall(r"pmod\(xxhash64\(\w+#\w+, 42\), (\d+)\)", plan(res))]
     assert chunks and max(chunks) <= 2 * spark.sparkContext.defaultParallelism, chunks
+
+
+def test_right_entries_of_unknown_keys_are_not_written(spark, monkeypatch):
+    written = []
+    checkpoint = type(spark.range(1)).checkpoint
+
+    def counted(df, *args, **kwargs):
+        out = checkpoint(df, *args, **kwargs)
+        written.append(out.count())
+        return out
+
+    left = spark.createDataFrame([(1, "a", 1.0)], "id long, key string, w double")
+    right = spark.range(500).selectExpr("id", "CASE WHEN id % 100 = 0 THEN 'a' ELSE 'b' END AS key", "0.5D AS w")
+    monkeypatch.setattr(type(left), "checkpoint", counted)
+    res = S.cosine_top_n(left, right, 9, method="grid")
+    assert max(written) == 5
+    assert [(r.rid, r.score) for r in res.orderBy("rank").collect()] == [(100 * i, 0.5) for i in range(5)]
+
+
+def test_null_keys_are_shared_with_none(spark):
+    rows = spark.createDataFrame([(1, None, 0.6), (1, "a", 0.8), (2, None, 0.8), (2, "a", 0.6), (3, None, 1.0)],
+                                 "id long, key string, w double")
+    for method in ("grid", "join"):
+        res = S.cosine_top_n(rows, rows, 5, exclude_self=True, method=method)
+        assert {(r.lid, r.rid, r.score) for r in res.collect()} == {(1, 2, 0.48), (2, 1, 0.48)}
