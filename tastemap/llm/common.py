@@ -34,6 +34,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read from there.
+
+    This cuts the lineage as ``checkpoint()`` does, and the planner's size of the frame as well, which is then that
+    of its files.  A checkpointed frame keeps the size estimated for its plan, and a join multiplies the sizes of its
+    sides: where a loop joins its last state, the digits of the estimate would multiply in every round.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Plan nodes that keep each row of a file scan as one row.
 _ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias"}
 

@@ -22,10 +22,13 @@ with enough seeds take part in the joins, and Spark splits their hot keys.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import hex_digest, keyed, prepare, table
+from tastemap.llm.common import delete_folder, hex_digest, keyed, prepare, table, written
+from tastemap.session import ensure_checkpoint_dir
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
@@ -126,25 +129,31 @@ def _settled(graph: DataFrame, seeds: DataFrame, confidence: DataFrame, rounds:
 
     An instance's score is ``1 - q * (1 - confidence)`` in the confidence of one of its patterns, ``q`` being the product
     over its other patterns, so each round solves every pattern's equation for itself exactly.  A pattern
-    with far more unseen instances than seeds then settles as fast as any other.
+    with far more unseen instances than seeds then settles as fast as any other.  Each round is written down
+    (see ``written``), and the one before it deleted.
     """
+    folder, last = f"{ensure_checkpoint_dir(graph.sparkSession)}/settled-{uuid.uuid4().hex}", None
     unseen = graph.join(seeds.select("instance"), "instance", "left_anti").checkpoint()
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     held = graph.join(seeds, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("s"))
     counts = (confidence.select("pattern", "kind").join(sizes, "pattern").join(held, ["pattern", "kind"], "left")
               .select("pattern", "kind", "n", F.coalesce("s", F.lit(0)).alias("s")).checkpoint())
-    for _ in range(rounds):
+    for number in range(rounds):
         doubts = unseen.join(confidence, "pattern").select(
             "pattern", "instance", "kind", F.log1p(-F.col("confidence")).alias("doubt"))
         whole = doubts.groupBy("instance", "kind").agg(F.sum("doubt").alias("whole"))
         others = (doubts.join(whole, ["instance", "kind"]).groupBy("pattern", "kind")
                   .agg(F.count(F.lit(1)).alias("k"), F.sum(F.exp(F.col("whole") - F.col("doubt"))).alias("q")))
         k, q = F.coalesce("k", F.lit(0)), F.coalesce("q", F.lit(0.0))
-        moved = (counts.join(others, ["pattern", "kind"], "left")
-                 .select("pattern", "kind", ((F.col("s") + k - q) / (F.col("n") + 1 - q)).alias("moved"))
-                 .join(confidence, ["pattern", "kind"]).checkpoint())
+        path = f"{folder}/{number}"
+        moved = written(counts.join(others, ["pattern", "kind"], "left")
+                        .select("pattern", "kind", ((F.col("s") + k - q) / (F.col("n") + 1 - q)).alias("moved"))
+                        .join(confidence, ["pattern", "kind"]), path)
         change = moved.agg(F.max(F.abs(F.col("moved") - F.col("confidence")))).first()[0]
         confidence = moved.select("pattern", "kind", F.col("moved").alias("confidence"))
+        if last:
+            delete_folder(graph.sparkSession, last)
+        last = path
         if change is None or change <= SETTLED:
             return confidence
     raise RuntimeError(f"confidences still change by {change} after {rounds} rounds")
@@ -160,6 +169,7 @@ def score_patterns(phrases: DataFrame, *, min_support: int = MIN_SUPPORT, thresh
               .agg(F.count(F.lit(1)).alias("support")).checkpoint())
     kinds = seeded.filter(F.col("support") >= min_support).select("pattern", "kind")
     confidence, n_kinds = kinds.withColumn("confidence", F.lit(0.0)), kinds.count()
+    folder = f"{ensure_checkpoint_dir(phrases.sparkSession)}/patterns-{uuid.uuid4().hex}"
     while n_kinds:
         graph = (edges.join(confidence.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance")
                  .checkpoint())
@@ -168,10 +178,11 @@ def score_patterns(phrases: DataFrame, *, min_support: int = MIN_SUPPORT, thresh
                     .filter(_may_be(F.col("instance"), F.col("kind"))).distinct()
                     .join(seeds.select("instance"), "instance", "left_anti"))
         added = edges.join(accepted, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("more"))
-        wider = (seeded.join(added, ["pattern", "kind"], "full_outer")
-                 .filter(F.coalesce("support", F.lit(0)) + F.coalesce("more", F.lit(0)) >= min_support)
-                 .select("pattern", "kind").join(confidence, ["pattern", "kind"], "full_outer")
-                 .select("pattern", "kind", F.coalesce("confidence", F.lit(0.0)).alias("confidence")).checkpoint())
+        wider = written(seeded.join(added, ["pattern", "kind"], "full_outer")
+                        .filter(F.coalesce("support", F.lit(0)) + F.coalesce("more", F.lit(0)) >= min_support)
+                        .select("pattern", "kind").join(confidence, ["pattern", "kind"], "full_outer")
+                        .select("pattern", "kind", F.coalesce("confidence", F.lit(0.0)).alias("confidence")),
+                        f"{folder}/{n_kinds}")
         if (n := wider.count()) == n_kinds:
             break
         confidence, n_kinds = wider, n

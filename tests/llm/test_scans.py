@@ -7,7 +7,7 @@ import base64
 import pytest
 from pyspark.sql import Row
 
-from tastemap.llm.pii import op5_personal_data, personal_data
+from tastemap.llm.pii import op5_personal_data, personal_data, score_patterns
 from tastemap.llm.secrets_scan import find_secrets, is_der_key, is_ssh_key, op6_secret_scan, scan_secrets
 from tests.llm.reference_scans import personal_base, secret_base
 
@@ -91,6 +91,20 @@ def test_discovered_identifiers_support_new_patterns(spark):
     assert got[-2:] == ["found_email:14:24", ""]
 
 
+def test_planned_sizes_do_not_grow_with_the_rounds(spark):
+    """A chain of patterns, each sharing unseen instances with the next, takes many rounds to settle."""
+    n, rows = 8, []
+    for p in range(n):
+        rows += [Row(instance=f"s{p}-{i}", seed="email", patterns=[f"p{p}"]) for i in range(3)]
+        rows += [Row(instance=f"u{p}-{i}", seed=None, patterns=[f"p{p}", f"p{(p + 1) % n}"]) for i in range(12)]
+    got = score_patterns(spark.createDataFrame(rows, "instance string, seed string, patterns array<string>"))
+    assert int(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 100
+    c = 0.0
+    for _ in range(2000):  # all patterns are alike: 3 seeds, 24 instances of two patterns, one more in the divisor
+        c = (3 + 24 * (1 - (1 - c) ** 2)) / 28
+    assert {r.pattern: round(r.confidence, 6) for r in got.collect()} == {f"p{p}": round(c, 6) for p in range(n)}
+
+
 def test_addresses_without_digits_or_dots_are_discovered(spark):
     seeds = [f"please write to w{i}@mail.example today" for i in range(10)]
     unseen = ["jane@localhost", "jane.doe@intranet", "j2@host", "x1"]
