@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import half_up
+from ..session import written
 from .factors import Factors
 from .lookup import dense_index
 from .similarity import dense_top_n
@@ -23,11 +24,15 @@ def fit(matrix: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1,
     keyed by the original ids (``singular_values`` is empty)."""
     import numpy as np
 
+    matrix = written(matrix)  # read for both indices and the training rows
     users = dense_index(matrix.select("user_id").distinct(), "user_id", "u_idx")
     items = dense_index(matrix.select("product_id").distinct(), "product_id", "i_idx")
-    train = matrix.join(users, "user_id").join(items, "product_id").select("u_idx", "i_idx", "rating")
+    train = written(matrix.join(users, "user_id").join(items, "product_id")
+                    .select(F.col("u_idx").cast("int").alias("u_idx"), F.col("i_idx").cast("int").alias("i_idx"),
+                            F.col("rating").cast("float").alias("rating")))  # as ALS holds them
     blocks = max(10, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    als = ALS(numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="u_idx", itemCol="i_idx",
+    # the items' factors are written in each iteration, which deletes the shuffle files of the one before
+    als = ALS(checkpointInterval=1, numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="u_idx", itemCol="i_idx",
               ratingCol="rating", coldStartStrategy="drop", nonnegative=False)
     model = als.fit(train)
     uf = (model.userFactors.join(users, F.col("id") == F.col("u_idx"))
